@@ -164,13 +164,28 @@ SIGNIF = """signif AS (SELECT * FROM sig WHERE p_value < 0.01)"""
 
 
 def rnd(cols: dict[str, str]) -> str:
-    """Select list with doubles rounded: {"name": "double" | "keep"}."""
+    """Select list with doubles rounded: {"name": "d" (double) | "k" (keep)}."""
     out = []
     for c, kind in cols.items():
         out.append(f"round({c}, {R6}) AS {c}" if kind == "d" else c)
     return ", ".join(out)
 
 
+def chain(src: str, p: str) -> list[str]:
+    """C1-C9 over feature rows ``src`` with CTE names prefixed by ``p``."""
+    ctes = []
+    for frag in (CEM, BASE, TREAT, EFF, ATT, SIG):
+        f = frag
+        for name in ("cem", "base", "treat", "eff", "att", "sig"):
+            f = f.replace(f"{name} AS (", f"{p}{name} AS (", 1) if f.startswith(f"{name} AS (") else f
+            f = f.replace(f"FROM {name} ", f"FROM {p}{name} ").replace(f"FROM {name})", f"FROM {p}{name})")
+            f = f.replace(f"FROM {name}\n", f"FROM {p}{name}\n")
+        f = f.replace(f"FROM {p}feat", f"FROM {src}").replace("FROM feat", f"FROM {src}")
+        f = f.replace("JOIN base b", f"JOIN {p}base b")
+        ctes.append(f)
+    return ctes
+
+
 CORE = [SUBS, CLEAN.format(lo=800), META, FEAT]
 CEM_CHAIN = CORE + [CEM]
 ATT_CHAIN = CEM_CHAIN + [BASE, TREAT, EFF, ATT, SIG]
@@ -192,11 +207,191 @@ ATT_COLS = {"id_of_submission_task": "k", "att_score": "d", "att_variance": "d",
             "total_treated_samples": "k", "avg_rating_level": "d", "att_probability_uplift": "d"}
 SIG_COLS = {**ATT_COLS, "att_std_err": "d", "z_score": "d", "p_value": "d"}
 
+# ---------------------------------------------------------------- survival
+SROWS = """srows AS (
+  SELECT *, CAST(rating_at_submission >= rating_at_solve + 50 AS INTEGER) AS improved_event
+  FROM (
+    SELECT *, CAST(verdict = 'OK' AS INTEGER) AS is_solve,
+           last_value(CASE WHEN verdict = 'OK' THEN rating_at_submission END IGNORE NULLS)
+             OVER (PARTITION BY handle ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             AS rating_at_solve,
+           CAST(row_number() OVER (PARTITION BY handle ORDER BY time) - 1 AS BIGINT) AS submission_idx
+    FROM feat)
+  WHERE rating_at_solve IS NOT NULL)"""
+
+SPAIRS = """spairs AS (
+  SELECT *, event_time - solve_time AS time_to_event,
+         CAST(event_time IS NOT NULL AS INTEGER) AS event_observed
+  FROM (
+    SELECT handle, id_of_submission_task,
+           min(CASE WHEN is_solve = 1 THEN submission_idx END) AS solve_time,
+           min(CASE WHEN improved_event = 1 THEN submission_idx END) AS event_time
+    FROM srows GROUP BY handle, id_of_submission_task)
+  WHERE solve_time IS NOT NULL
+    AND (event_time - solve_time >= 0 OR event_time IS NULL))"""
+
+SURV = """surv0 AS (
+  SELECT id_of_submission_task, avg(event_observed) AS event_rate,
+         median(time_to_event) AS median_time_to_improve, count(*) AS sample_size
+  FROM spairs GROUP BY id_of_submission_task HAVING count(*) >= 20),
+surv AS (
+  SELECT *, coalesce(CASE WHEN (SELECT avg(event_rate) FROM surv0) = 0 THEN NULL
+                          ELSE event_rate / (SELECT avg(event_rate) FROM surv0) END, 1.0) AS hazard_ratio
+  FROM surv0)"""
+
+# ---------------------------------------------------------------- graph and paths
+SOL = """sol AS (SELECT handle, time, id_of_submission_task AS pid FROM feat WHERE verdict = 'OK')"""
+
+GRAPH = """graph AS (
+  SELECT *, transition_count / sum(transition_count) OVER (PARTITION BY source_problem)
+            AS transition_probability
+  FROM (
+    SELECT source_problem, target_problem, count(*) AS transition_count, avg(gap_size) AS avg_gap
+    FROM (
+      SELECT pid AS source_problem, lead(pid, 1) OVER w AS target_problem, 1 AS gap_size FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT pid, lead(pid, 2) OVER w, 2 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT pid, lead(pid, 3) OVER w, 3 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT pid, lead(pid, 4) OVER w, 4 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT pid, lead(pid, 5) OVER w, 5 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time))
+    WHERE target_problem IS NOT NULL
+    GROUP BY source_problem, target_problem
+    HAVING count(*) >= 10))"""
+
+IPTS = """ipts AS (
+  SELECT *, CASE WHEN count(d) OVER t = 20 THEN sum(d) OVER t END >= 100 AS improved
+  FROM (SELECT *, rating_at_submission - lag(rating_at_submission) OVER (PARTITION BY handle ORDER BY time) AS d
+        FROM feat)
+  WINDOW t AS (PARTITION BY handle ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+
+# brute force: every (point, earlier solve) pair, keep the 3 latest
+PATHS = """paths AS (
+  SELECT id_of_submission_task, support, support / max(support) OVER () AS sequence_confidence
+  FROM (
+    SELECT pid AS id_of_submission_task, count(*) AS support
+    FROM (
+      SELECT s.pid, row_number() OVER (PARTITION BY p.handle, p.time ORDER BY s.time DESC) AS rk
+      FROM ipts p JOIN sol s ON s.handle = p.handle AND s.time < p.time
+      WHERE p.improved)
+    WHERE rk <= 3
+    GROUP BY pid HAVING count(*) >= 30))"""
+
+# ---------------------------------------------------------------- placebo
+
+
+def bias_sql(src: str, extra: str, name: str) -> str:
+    k = f"{extra}, " if extra else ""
+    on = f"t.{extra} = b.{extra} AND " if extra else ""
+    return f"""{name} AS (
+  WITH pb AS (
+    SELECT {k}CAST(round(rating_at_submission / 100) AS INTEGER) AS bin_rating,
+           CAST(round(roll_acc_20 * 10) AS INTEGER) AS bin_acc,
+           CAST(round(roll_ok_diff_20 / 200) AS INTEGER) AS bin_diff,
+           id_of_submission_task, placebo_gain, CAST(placebo_gain > 0 AS INTEGER) AS placebo_improved
+    FROM {src} WHERE placebo_gain IS NOT NULL),
+  b AS (SELECT {k}bin_rating, bin_acc, bin_diff, avg(placebo_gain) AS bg, avg(placebo_improved) AS bp,
+               count(placebo_gain) AS bn
+        FROM pb GROUP BY ALL HAVING count(placebo_gain) >= 20),
+  t AS (SELECT {k}id_of_submission_task, bin_rating, bin_acc, bin_diff, avg(placebo_gain) AS tg,
+               count(placebo_gain) AS tn, avg(placebo_improved) AS tp
+        FROM pb GROUP BY ALL HAVING count(placebo_gain) >= 20),
+  j AS (SELECT t.*, tg - bg AS sb, tp - bp AS psb FROM t JOIN b
+          ON {on}t.bin_rating = b.bin_rating AND t.bin_acc = b.bin_acc AND t.bin_diff = b.bin_diff
+        WHERE abs(tg - bg) <= 300)
+  SELECT {k}id_of_submission_task, sum(sb * tn) / sum(tn) AS bias_score,
+         sum(psb * tn) / sum(tn) AS probability_bias_score, CAST(sum(tn) AS BIGINT) AS total_samples
+  FROM j GROUP BY ALL)"""
+
+
+PLACEBO_SRC = """plsrc AS (
+  SELECT *, rating_at_submission - lag(rating_at_submission, 20) OVER (PARTITION BY handle ORDER BY time)
+            AS placebo_gain FROM feat)"""
+
+PRETREND_SRC = """ptsrc AS (
+  SELECT *, unnest([5, 10, 15, 20]) AS lag,
+         unnest([rating_at_submission - lag(rating_at_submission, 5) OVER w,
+                 rating_at_submission - lag(rating_at_submission, 10) OVER w,
+                 rating_at_submission - lag(rating_at_submission, 15) OVER w,
+                 rating_at_submission - lag(rating_at_submission, 20) OVER w]) AS placebo_gain
+  FROM feat WINDOW w AS (PARTITION BY handle ORDER BY time))"""
+
+RFEAT = """rfeat AS (
+  SELECT * REPLACE ('R' || lpad(CAST(
+      CAST(('0x' || substr(md5(handle || ':' || CAST(time AS VARCHAR)), 1, 8)) AS BIGINT)
+      % (SELECT count(DISTINCT id_of_submission_task) FROM feat) AS VARCHAR), 2, '0') AS id_of_submission_task)
+  FROM feat)"""
+
+# ---------------------------------------------------------------- recommender
+
+
+def cat_sql(name: str, src: str) -> str:
+    return f"""{name} AS (
+  SELECT *, CASE WHEN isnan(s0) THEN NULL ELSE s0 END AS final_score FROM (
+    SELECT e.*, sv.median_time_to_improve, coalesce(sv.hazard_ratio, 1.0) AS hazard_ratio,
+           coalesce(ps.sequence_confidence, 0.0) AS sequence_confidence,
+           m.estimated_difficulty, m.acceptance_rate,
+           e.att_score * e.att_probability_uplift * coalesce(sv.hazard_ratio, 1.0)
+             * (1 + coalesce(ps.sequence_confidence, 0.0)) AS s0
+    FROM {src} e LEFT JOIN surv sv USING (id_of_submission_task)
+                 LEFT JOIN paths ps USING (id_of_submission_task)
+                 LEFT JOIN meta m USING (id_of_submission_task)))"""
+
+
+PROF = """prof AS (
+  SELECT handle, CAST(trunc(r) AS INTEGER) AS current_rating, 'local_user' AS rank,
+         round_even(coalesce(a, 0.5), 2) AS recent_accuracy, round_even(coalesce(d, r), 1) AS recent_avg_difficulty
+  FROM (SELECT handle, arg_max(rating_at_submission, time) AS r, arg_max(roll_acc_20, time) AS a,
+               arg_max(roll_ok_diff_20, time) AS d FROM feat GROUP BY handle))"""
+
+
+def recs_sql(cat: str, name: str) -> str:
+    return f"""{name} AS (
+  WITH ratings AS (SELECT DISTINCT current_rating FROM prof),
+  inb AS (SELECT r.current_rating, c.* FROM ratings r JOIN {cat} c
+            ON c.estimated_difficulty BETWEEN r.current_rating - 200 AND r.current_rating + 400),
+  fb AS (SELECT r.current_rating, c.* FROM ratings r, {cat} c
+         WHERE r.current_rating NOT IN (SELECT current_rating FROM inb)),
+  ranked AS (
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY current_rating
+                    ORDER BY final_score DESC NULLS LAST, id_of_submission_task) AS INTEGER) AS rec_rank,
+                   TRUE AS in_band FROM inb) WHERE rec_rank <= 5
+    UNION ALL
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY current_rating
+                    ORDER BY final_score DESC NULLS LAST, id_of_submission_task) AS INTEGER) AS rec_rank,
+                   FALSE AS in_band FROM fb) WHERE rec_rank <= 5)
+  SELECT p.handle, p.current_rating, k.rec_rank, k.in_band, k.id_of_submission_task AS problem_id,
+         k.att_score AS uplift, k.att_probability_uplift AS probability_uplift, k.p_value, k.hazard_ratio,
+         coalesce(CAST(k.median_time_to_improve AS DOUBLE), -1.0) AS median_time_to_improve,
+         k.estimated_difficulty,
+         printf('Highly recommended (Score: %.1f). Causal Uplift: +%.1f points (p=%.4f). Solvers improve %.1fx faster.',
+                k.final_score, k.att_score, k.p_value, k.hazard_ratio) AS explanation,
+         k.total_treated_samples AS sample_size, k.final_score,
+         CASE WHEN k.id_of_submission_task IS NULL THEN 'no_match' ELSE 'success' END AS status
+  FROM prof p LEFT JOIN ranked k USING (current_rating))"""
+
+
+REC_COLS = {"handle": "k", "current_rating": "k", "rec_rank": "k", "in_band": "k", "problem_id": "k",
+            "uplift": "d", "probability_uplift": "d", "p_value": "d", "hazard_ratio": "d",
+            "median_time_to_improve": "d", "estimated_difficulty": "d", "explanation": "k",
+            "sample_size": "k", "final_score": "d", "status": "k"}
+CAT_COLS = {**SIG_COLS, "median_time_to_improve": "d", "hazard_ratio": "d", "sequence_confidence": "d",
+            "estimated_difficulty": "d", "acceptance_rate": "d", "final_score": "d"}
+
+FULL = ATT_CHAIN + [SROWS, SPAIRS, SURV, SOL, IPTS, PATHS]
+
+
+def dtier(c: str) -> str:
+    return f"CASE WHEN {c} <= 1400 THEN 'easy' WHEN {c} <= 1700 THEN 'medium' ELSE 'hard' END"
+
 
 def queries() -> dict[str, str]:
     q = {}
     q["clean_submissions"] = (with_(SUBS, CLEAN.format(lo=1200))
                               + f"SELECT {rnd(SUB_COLS)} FROM clean")
+    cols = ["handle", "time", "id_of_submission_task", "verdict", "rating_at_submission", "problem_rating"]
+    q["profile_submissions"] = with_(*CORE[:2]) + " UNION ALL ".join(
+        f"SELECT (SELECT count(*) FROM clean) AS n_rows, '{c}' AS column_name, {i} AS position, "
+        f"count(*) FILTER (WHERE {c} IS NULL) AS null_count, CAST(min({c}) AS VARCHAR) AS min_value, "
+        f"CAST(max({c}) AS VARCHAR) AS max_value FROM clean" for i, c in enumerate(cols))
     q["problem_metadata"] = with_(*CORE[:3]) + f"SELECT {rnd(META_COLS)} FROM meta"
     q["metadata_summary"] = (with_(*CORE[:3]) + "SELECT count(*) AS total_problems, "
                              "count(*) FILTER (WHERE has_sufficient_support) AS supported_problems, "
@@ -213,8 +408,226 @@ def queries() -> dict[str, str]:
     q["cem_treated"] = (with_(*CEM_CHAIN, TREAT) + "SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, "
                         "round(treated_gain, 6) AS treated_gain, round(treated_std, 6) AS treated_std, "
                         "treated_count, round(treated_improve_prob, 6) AS treated_improve_prob FROM treat")
-    q["cem_effects"] = with_(*ATT_CHAIN) + f"SELECT {rnd(EFF_COLS)} FROM eff"
-    q["att_effects"] = with_(*ATT_CHAIN) + f"SELECT {rnd(ATT_COLS)} FROM att"
-    q["att_significance"] = with_(*ATT_CHAIN) + f"SELECT {rnd(SIG_COLS)} FROM sig"
-    q["att_significant"] = with_(*ATT_CHAIN, SIGNIF) + f"SELECT {rnd(SIG_COLS)} FROM signif"
+    ec = rnd(EFF_COLS).replace("total_treated_samples,", "CAST(total_treated_samples AS BIGINT) AS total_treated_samples,")
+    q["cem_effects"] = with_(*ATT_CHAIN) + f"SELECT {ec} FROM eff"
+    fix = lambda s: s.replace("total_treated_samples,", "CAST(total_treated_samples AS BIGINT) AS total_treated_samples,")
+    q["att_effects"] = with_(*ATT_CHAIN) + f"SELECT {fix(rnd(ATT_COLS))} FROM att"
+    q["att_significance"] = with_(*ATT_CHAIN) + f"SELECT {fix(rnd(SIG_COLS))} FROM sig"
+    q["att_significant"] = with_(*ATT_CHAIN, SIGNIF) + f"SELECT {fix(rnd(SIG_COLS))} FROM signif"
+    q["cohort_examples"] = with_(*ATT_CHAIN, SIGNIF) + """
+      SELECT handle, id_of_submission_task, round(rating_at_submission, 6) AS rating_before,
+             round(future_rating_20, 6) AS rating_after, round(rating_gain_20, 6) AS rating_gain
+      FROM (SELECT *, row_number() OVER (PARTITION BY id_of_submission_task
+                                         ORDER BY rating_gain_20 DESC, handle, time) AS rn
+            FROM cem WHERE rating_gain_20 > 0
+              AND id_of_submission_task IN (SELECT id_of_submission_task FROM signif))
+      WHERE rn <= 5"""
+    q["att_detailed"] = (with_(*ATT_CHAIN, SIGNIF) + f"SELECT {ec} FROM eff WHERE id_of_submission_task IN "
+                         "(SELECT id_of_submission_task FROM signif)")
+    # X2 X3 X4 X13
+    q["att_bonferroni"] = with_(*ATT_CHAIN) + """
+      SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(p_value, 6) AS p_value, n_tests,
+             round(least(1.0, p_value * n_tests), 6) AS p_bonferroni,
+             least(1.0, p_value * n_tests) < 0.01 AS significant_bonferroni
+      FROM sig, (SELECT count(p_value) AS n_tests FROM sig)"""
+    q["att_cohens_d"] = with_(*ATT_CHAIN) + """
+      SELECT id_of_submission_task, round(sum(weight * d), 6) AS cohens_d,
+             CAST(sum(treated_count) AS BIGINT) AS treated_samples
+      FROM (SELECT *, CASE WHEN pooled > 0 THEN uplift / pooled END AS d
+            FROM (SELECT *, sqrt(((treated_count - 1) * treated_std ^ 2 + (baseline_count - 1) * baseline_std ^ 2)
+                                 / (treated_count + baseline_count - 2)) AS pooled FROM eff))
+      GROUP BY id_of_submission_task"""
+    q["welch_stats"] = with_(*ATT_CHAIN) + f"""
+      SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(t_stat, 6) AS t_stat,
+             round(CASE WHEN den = 0 THEN NULL ELSE att_variance ^ 2 / den END, 6) AS welch_df,
+             round({p_of('t_stat')}, 6) AS p_value
+      FROM (SELECT *, {z_of('att_score', 'sqrt(att_variance)')} AS t_stat
+            FROM (SELECT id_of_submission_task, sum(weight * uplift) AS att_score, sum(a + b) AS att_variance,
+                         sum(a ^ 2 / (treated_count - 1) + b ^ 2 / (baseline_count - 1)) AS den
+                  FROM (SELECT *, weight ^ 2 * treated_std ^ 2 / treated_count AS a,
+                               weight ^ 2 * baseline_std ^ 2 / baseline_count AS b FROM eff)
+                  GROUP BY id_of_submission_task))"""
+    q["att_intervals"] = with_(*ATT_CHAIN) + """
+      SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(att_std_err, 6) AS att_std_err,
+             round(att_score - 2.5758293035489004 * att_std_err, 6) AS ci_low,
+             round(att_score + 2.5758293035489004 * att_std_err, 6) AS ci_high
+      FROM sig"""
+    q["balance_check"] = with_(*ATT_CHAIN) + """,
+      lng AS (SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, 'rating' AS covariate,
+                     rating_at_submission AS x FROM cem
+              UNION ALL SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, 'accuracy', roll_acc_20 FROM cem
+              UNION ALL SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, 'difficulty', roll_ok_diff_20 FROM cem),
+      t AS (SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, covariate, count(x) AS t_n,
+                   sum(x) AS t_s, sum(x * x) AS t_ss FROM lng GROUP BY ALL),
+      c AS (SELECT bin_rating, bin_acc, bin_diff, covariate, count(x) AS c_n, sum(x) AS c_s,
+                   sum(x * x) AS c_ss FROM lng GROUP BY ALL),
+      g AS (SELECT t.id_of_submission_task, t.covariate, sum(t_n) AS nt, sum(t_s) AS st, sum(t_ss) AS sst,
+                   sum(e.weight * c_s / c_n) AS mc, sum(e.weight * c_ss / c_n) AS msc
+            FROM t JOIN eff e ON t.id_of_submission_task = e.id_of_submission_task AND t.bin_rating = e.bin_rating
+                              AND t.bin_acc = e.bin_acc AND t.bin_diff = e.bin_diff
+                   JOIN c ON t.bin_rating = c.bin_rating AND t.bin_acc = c.bin_acc AND t.bin_diff = c.bin_diff
+                         AND t.covariate = c.covariate
+            GROUP BY ALL),
+      h AS (SELECT *, st / nt AS mt FROM g)
+      SELECT id_of_submission_task, covariate, round(mt, 6) AS treated_mean, round(mc, 6) AS control_mean,
+             round(CASE WHEN greatest((vt + msc - mc * mc) / 2, 0.0) > 0
+                        THEN (mt - mc) / sqrt(greatest((vt + msc - mc * mc) / 2, 0.0)) END, 6) AS smd
+      FROM (SELECT *, CASE WHEN nt > 1 THEN (sst - nt * mt * mt) / (nt - 1) END AS vt FROM h)"""
+    q["att_effects_solvers"] = with_(*CEM_CHAIN) + f""",
+      a AS (SELECT bin_rating, bin_acc, bin_diff, count(rating_gain_20) AS a_n, sum(rating_gain_20) AS a_s,
+                   sum(rating_gain_20 * rating_gain_20) AS a_ss, sum(improved_20) AS a_imp
+            FROM cem GROUP BY ALL),
+      s AS (SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, count(rating_gain_20) AS t_n,
+                   sum(rating_gain_20) AS t_s, sum(rating_gain_20 * rating_gain_20) AS t_ss,
+                   sum(improved_20) AS t_imp
+            FROM cem WHERE verdict = 'OK' GROUP BY ALL),
+      j AS (SELECT s.*, a_n - t_n AS c_n, a_s - t_s AS c_s, a_ss - t_ss AS c_ss, a_imp - t_imp AS c_imp
+            FROM s JOIN a ON s.bin_rating = a.bin_rating AND s.bin_acc = a.bin_acc AND s.bin_diff = a.bin_diff),
+      k AS (SELECT *, t_s / t_n - c_s / c_n AS uplift,
+                   (t_ss - t_n * (t_s / t_n) * (t_s / t_n)) / (t_n - 1) / t_n
+                   + (c_ss - c_n * (c_s / c_n) * (c_s / c_n)) / (c_n - 1) / c_n AS bucket_variance,
+                   t_imp / t_n - c_imp / c_n AS probability_uplift
+            FROM j WHERE t_n >= {MS} AND c_n >= {MS}),
+      w AS (SELECT *, t_n / sum(t_n) OVER (PARTITION BY id_of_submission_task) AS weight,
+                   sum(t_n) OVER (PARTITION BY id_of_submission_task) AS tot
+            FROM k WHERE abs(uplift) <= 300),
+      att AS (SELECT id_of_submission_task, sum(weight * uplift) AS att_score,
+                     sum(weight ^ 2 * bucket_variance) AS att_variance, CAST(max(tot) AS BIGINT) AS total_treated_samples,
+                     sum(probability_uplift * t_n) / sum(t_n) AS att_probability_uplift
+              FROM w GROUP BY ALL),
+      sig AS (SELECT *, {p_of('z_score')} AS p_value
+              FROM (SELECT *, {z_of('att_score', 'att_std_err')} AS z_score
+                    FROM (SELECT *, sqrt(att_variance) AS att_std_err FROM att)))
+      SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(att_variance, 6) AS att_variance,
+             total_treated_samples, round(att_probability_uplift, 6) AS att_probability_uplift,
+             round(att_std_err, 6) AS att_std_err, round(z_score, 6) AS z_score, round(p_value, 6) AS p_value
+      FROM sig"""
+    # T
+    q["survival_rows"] = with_(*CORE, SROWS) + """
+      SELECT handle, time, id_of_submission_task, is_solve, round(rating_at_solve, 6) AS rating_at_solve,
+             submission_idx, improved_event FROM srows"""
+    q["survival_pairs"] = with_(*CORE, SROWS, SPAIRS) + "SELECT * FROM spairs"
+    q["survival_effects"] = with_(*CORE, SROWS, SPAIRS, SURV) + """
+      SELECT id_of_submission_task, round(event_rate, 6) AS event_rate,
+             round(median_time_to_improve, 6) AS median_time_to_improve, sample_size,
+             round(hazard_ratio, 6) AS hazard_ratio FROM surv"""
+    q["time_quantiles"] = with_(*CORE, SROWS, SPAIRS) + """
+      SELECT id_of_submission_task, round(quantile_cont(time_to_event, 0.5), 6) AS median_time,
+             round(quantile_cont(time_to_event, 0.75), 6) AS p75_time, count(*) AS observed
+      FROM spairs WHERE event_observed = 1 GROUP BY id_of_submission_task"""
+    # G P X9
+    q["transition_graph"] = with_(*CORE, SOL, GRAPH) + """
+      SELECT source_problem, target_problem, transition_count, round(avg_gap, 6) AS avg_gap,
+             round(transition_probability, 6) AS transition_probability FROM graph"""
+    q["improvement_points"] = with_(*CORE, IPTS) + """
+      SELECT handle, time, id_of_submission_task, round(rating_at_submission, 6) AS rating_at_submission
+      FROM ipts WHERE improved"""
+    q["path_support"] = with_(*CORE, SOL, IPTS, PATHS) + """
+      SELECT id_of_submission_task, support, round(sequence_confidence, 6) AS sequence_confidence FROM paths"""
+    q["path_patterns"] = with_(*CORE, SOL) + """,
+      tri AS (SELECT pid AS first, lead(pid, 1) OVER w AS second, lead(pid, 2) OVER w AS third
+              FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)),
+      pr AS (SELECT first, second, count(*) AS pair_support FROM tri WHERE second IS NOT NULL GROUP BY ALL),
+      tr AS (SELECT first, second, third, count(*) AS support FROM tri WHERE third IS NOT NULL
+             GROUP BY ALL HAVING count(*) >= 5)
+      SELECT first, second, third, first || '>' || second || '>' || third AS pattern, support,
+             round(support / pair_support, 6) AS confidence
+      FROM tr JOIN pr USING (first, second)"""
+    # V X6 X7
+    q["placebo_bias"] = with_(*CORE, PLACEBO_SRC, bias_sql("plsrc", "", "pbias")) + """
+      SELECT id_of_submission_task, round(bias_score, 6) AS bias_score,
+             round(probability_bias_score, 6) AS probability_bias_score, total_samples FROM pbias"""
+    q["placebo_summary"] = with_(*CORE, PLACEBO_SRC, bias_sql("plsrc", "", "pbias")) + """
+      SELECT round(avg(bias_score), 6) AS mean_bias_score, count(*) AS problems FROM pbias"""
+    q["pre_trend"] = with_(*CORE, PRETREND_SRC, bias_sql("ptsrc", "lag", "pt")) + """
+      SELECT lag, id_of_submission_task, round(bias_score, 6) AS bias_score,
+             round(probability_bias_score, 6) AS probability_bias_score, total_samples FROM pt"""
+    q["random_placebo"] = with_(*CORE, RFEAT, *chain("rfeat", "r_")) + f"SELECT {fix(rnd(SIG_COLS))} FROM r_sig"
+    # R U X10-X12
+    rec_base = FULL + [cat_sql("cat_all", "sig"), SIGNIF, cat_sql("cat_sig", "signif"), PROF]
+    q["recommender_catalog"] = with_(*rec_base) + f"SELECT {fix(rnd(CAT_COLS))} FROM cat_all"
+    q["user_profiles"] = with_(*CORE, PROF) + """
+      SELECT handle, current_rating, rank, round(recent_accuracy, 6) AS recent_accuracy,
+             round(recent_avg_difficulty, 6) AS recent_avg_difficulty FROM prof"""
+    rc = rnd(REC_COLS).replace("sample_size", "CAST(sample_size AS BIGINT) AS sample_size")
+    q["recommendations"] = with_(*rec_base, recs_sql("cat_sig", "recs")) + f"SELECT {rc} FROM recs"
+    q["recommendations_all"] = with_(*rec_base, recs_sql("cat_all", "recs")) + f"SELECT {rc} FROM recs"
+    gi = {("problem_id" if k == "id_of_submission_task" else k): v for k, v in CAT_COLS.items()}
+    q["global_insights"] = with_(*rec_base) + f"""
+      SELECT {fix(rnd(gi))} FROM (SELECT * RENAME (id_of_submission_task AS problem_id) FROM cat_sig
+                                   ORDER BY att_score DESC NULLS LAST, id_of_submission_task LIMIT 20)"""
+    q["problem_details"] = with_(*rec_base, GRAPH) + """,
+      coh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_of_submission_task
+                                         ORDER BY rating_gain_20 DESC, handle, time) AS rn
+                             FROM cem WHERE rating_gain_20 > 0
+                               AND id_of_submission_task IN (SELECT id_of_submission_task FROM signif))
+              WHERE rn <= 5),
+      su AS (SELECT id_of_submission_task,
+                    string_agg(handle || ':' || CAST(CAST(rating_gain_20 AS BIGINT) AS VARCHAR), ','
+                               ORDER BY rating_gain_20 DESC, handle, rating_at_submission, future_rating_20) AS s
+             FROM coh GROUP BY ALL),
+      ns AS (SELECT source_problem AS id_of_submission_task,
+                    string_agg(target_problem, ',' ORDER BY transition_probability DESC, target_problem) AS s
+             FROM (SELECT *, row_number() OVER (PARTITION BY source_problem
+                                               ORDER BY transition_probability DESC, target_problem) AS r
+                   FROM graph) WHERE r <= 5 GROUP BY ALL)
+      SELECT c.id_of_submission_task, round(att_score, 6) AS att_score, round(p_value, 6) AS p_value,
+             round(hazard_ratio, 6) AS hazard_ratio, round(estimated_difficulty, 6) AS estimated_difficulty,
+             CAST(total_treated_samples AS BIGINT) AS total_treated_samples,
+             coalesce(su.s, '') AS similar_users, coalesce(ns.s, '') AS next_steps
+      FROM cat_sig c LEFT JOIN su USING (id_of_submission_task) LEFT JOIN ns USING (id_of_submission_task)"""
+    q["recommendations_enriched"] = with_(*rec_base, recs_sql("cat_all", "recs")) + f"""
+      SELECT handle, rec_rank, problem_id, 'Unknown Problem' AS title, 0 AS n_tags,
+             {dtier('estimated_difficulty')} AS difficulty_tier, uplift > 50 AS high_impact,
+             CASE WHEN p_value < 0.001 THEN 'Very High' ELSE 'High' END AS confidence,
+             substring(problem_id, 1, length(problem_id) - 1) AS contest_id,
+             substring(problem_id, length(problem_id), 1) AS problem_index
+      FROM recs"""
+    q["user_tiers"] = with_(*CORE, PROF) + """
+      SELECT handle, current_rating,
+             CASE WHEN current_rating >= 3000 THEN 'legendary' WHEN current_rating >= 2600 THEN 'grandmaster'
+                  WHEN current_rating >= 2400 THEN 'master' WHEN current_rating >= 1900 THEN 'candidate'
+                  WHEN current_rating >= 1600 THEN 'expert' WHEN current_rating >= 1400 THEN 'specialist'
+                  WHEN current_rating >= 1200 THEN 'pupil' ELSE 'newbie' END AS rating_tier
+      FROM prof"""
+    q["user_potential"] = with_(*rec_base, recs_sql("cat_all", "recs")) + """
+      SELECT handle, current_rating, round(sum(uplift), 6) AS potential_gain, count(problem_id) AS n_recommended,
+             current_rating - 200 AS range_low, current_rating + 300 AS range_high
+      FROM recs GROUP BY handle, current_rating"""
+    q["recommend_reachable"] = with_(*rec_base, GRAPH) + """,
+      last AS (SELECT handle, arg_max(pid, time) AS last_solved FROM sol GROUP BY handle),
+      cand AS (SELECT p.handle, p.current_rating, l.last_solved, c.id_of_submission_task, c.att_score, c.final_score
+               FROM prof p JOIN last l USING (handle)
+               JOIN graph g ON g.source_problem = l.last_solved
+               JOIN cat_all c ON c.id_of_submission_task = g.target_problem
+               WHERE c.estimated_difficulty BETWEEN p.current_rating - 200 AND p.current_rating + 400)
+      SELECT handle, current_rating, last_solved, rec_rank, id_of_submission_task AS problem_id,
+             round(att_score, 6) AS uplift, round(final_score, 6) AS final_score
+      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY handle ORDER BY final_score DESC NULLS LAST,
+                                              id_of_submission_task) AS INTEGER) AS rec_rank FROM cand)
+      WHERE rec_rank <= 5"""
+    q["recommend_diverse"] = with_(*rec_base) + f""",
+      ratings AS (SELECT DISTINCT current_rating FROM prof),
+      cand AS (SELECT r.current_rating, c.*, {dtier('c.estimated_difficulty')} AS primary_tag
+               FROM ratings r JOIN cat_all c
+                 ON c.estimated_difficulty BETWEEN r.current_rating - 200 AND r.current_rating + 400),
+      capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY current_rating, primary_tag
+                                   ORDER BY final_score DESC NULLS LAST, id_of_submission_task) AS tr FROM cand)
+                 WHERE tr <= 2),
+      top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY current_rating
+                                ORDER BY final_score DESC NULLS LAST, id_of_submission_task) AS INTEGER) AS rec_rank
+                             FROM capped) WHERE rec_rank <= 5)
+      SELECT p.handle, p.current_rating, t.rec_rank, t.id_of_submission_task AS problem_id, t.primary_tag,
+             round(t.final_score, 6) AS final_score
+      FROM prof p JOIN top t USING (current_rating)"""
+    q["uplift_by_band"] = with_(*rec_base) + """
+      SELECT CAST(floor(estimated_difficulty / 100) * 100 AS INTEGER) AS difficulty_band,
+             round(avg(att_score), 6) AS mean_uplift, count(*) AS problems
+      FROM cat_all WHERE estimated_difficulty IS NOT NULL GROUP BY ALL"""
+    q["uplift_by_gap"] = with_(*ATT_CHAIN) + """
+      SELECT gap_band, round(sum(uplift * treated_count) / sum(treated_count), 6) AS mean_uplift,
+             CAST(sum(treated_count) AS BIGINT) AS treated_samples, count(*) AS cells
+      FROM (SELECT e.*, CAST(floor((m.estimated_difficulty - e.bin_rating * 100) / 100) * 100 AS INTEGER) AS gap_band
+            FROM eff e JOIN meta m USING (id_of_submission_task))
+      WHERE gap_band IS NOT NULL GROUP BY gap_band"""
     return q

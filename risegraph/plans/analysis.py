@@ -16,6 +16,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import matching as C
+from ..operators import paths as G
+from ..operators import placebo as V
+from ..operators import recommend as R
+from ..operators import survival as S
 from ..operators.features import user_features
 from ..operators.metadata import metadata_summary, problem_metadata
 from ..params import Params
@@ -101,3 +105,92 @@ class Analysis:
     @cached_property
     def att_detailed(self) -> DataFrame:
         return C.att_detailed(self.effects, self.significant_ids)
+
+    # ------------------------------------------------------------ statistics
+    @cached_property
+    def att_bonferroni(self) -> DataFrame:
+        return C.att_bonferroni(self.att_significance, self.params)
+
+    @cached_property
+    def att_cohens_d(self) -> DataFrame:
+        return C.att_cohens_d(self.effects)
+
+    @cached_property
+    def welch_stats(self) -> DataFrame:
+        return C.welch_stats(self.effects)
+
+    @cached_property
+    def att_intervals(self) -> DataFrame:
+        return C.with_intervals(self.att_significance, self.params)
+
+    @cached_property
+    def balance_check(self) -> DataFrame:
+        return C.balance_check(self.cem, self.effects, self.params)
+
+    @cached_property
+    def att_effects_solvers(self) -> DataFrame:
+        return C.att_effects_solvers(self.cem, self.params)
+
+    # ------------------------------------------------------------ survival
+    @cached_property
+    def survival_rows(self) -> DataFrame:
+        return S.survival_rows(self.features, self.params)
+
+    @cached_property
+    def survival_pairs(self) -> DataFrame:
+        return S.survival_pairs(self.survival_rows)
+
+    @cached_property
+    def survival_effects(self) -> DataFrame:
+        return S.survival_effects(self.survival_pairs, self.params)
+
+    @cached_property
+    def time_quantiles(self) -> DataFrame:
+        return S.time_quantiles(self.survival_pairs)
+
+    # ------------------------------------------------------------ graph and paths
+    @cached_property
+    def transition_graph(self) -> DataFrame:
+        return G.transition_graph(self.features, self.params)
+
+    @cached_property
+    def improvement_points(self) -> DataFrame:
+        return G.improvement_points(self.features, self.params)
+
+    @cached_property
+    def path_support(self) -> DataFrame:
+        return G.path_support(self.features, self.params)
+
+    @cached_property
+    def path_patterns(self) -> DataFrame:
+        return G.path_patterns(self.features, self.params)
+
+    # ------------------------------------------------------------ placebo
+    @cached_property
+    def placebo_bias(self) -> DataFrame:
+        return V.placebo_bias(self.features, self.params)
+
+    @cached_property
+    def placebo_summary(self) -> DataFrame:
+        return V.placebo_summary(self.placebo_bias)
+
+    @cached_property
+    def pre_trend(self) -> DataFrame:
+        return V.pre_trend(self.features, self.params)
+
+    @cached_property
+    def random_placebo(self) -> DataFrame:
+        return V.random_placebo(self.features, self.params)
+
+    # ------------------------------------------------------------ recommender
+    def catalog(self, significant_only: bool = True, use_sequence: bool = True) -> DataFrame:
+        eff = self.att_significant if significant_only else self.att_significance
+        return R.recommender_catalog(eff, self.metadata, self.survival_effects,
+                                     self.path_support if use_sequence else None)
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        return R.user_profiles(self.features, self.params)
+
+    def recommendations(self, significant_only: bool = True) -> DataFrame:
+        return R.recommendations(self.profiles, self.catalog(significant_only), self.params)

@@ -19,6 +19,7 @@ from ..schema import PID
 from ..sources.adapters import load_events_submissions
 from ..sources.ingest import profile
 from ..operators import matching as C
+from ..operators import recommend as R
 from .analysis import Analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +112,186 @@ def _att_sig(a: Analysis) -> DataFrame:
 @register("att_significant")
 def _att_significant(a: Analysis) -> DataFrame:
     return a.att_significant
+
+
+@register("cohort_examples")
+def _cohorts(a: Analysis) -> DataFrame:
+    return a.cohort_examples
+
+
+@register("att_detailed")
+def _detailed(a: Analysis) -> DataFrame:
+    return a.att_detailed
+
+
+# ---------------------------------------------------------------- X statistics
+@register("att_bonferroni")
+def _bonf(a: Analysis) -> DataFrame:
+    return a.att_bonferroni
+
+
+@register("att_cohens_d")
+def _cohen(a: Analysis) -> DataFrame:
+    return a.att_cohens_d
+
+
+@register("welch_stats")
+def _welch(a: Analysis) -> DataFrame:
+    return a.welch_stats
+
+
+@register("att_intervals")
+def _ci(a: Analysis) -> DataFrame:
+    return a.att_intervals
+
+
+@register("balance_check")
+def _balance(a: Analysis) -> DataFrame:
+    return a.balance_check
+
+
+@register("att_effects_solvers")
+def _solvers(a: Analysis) -> DataFrame:
+    return a.att_effects_solvers
+
+
+# ---------------------------------------------------------------- T
+@register("survival_rows")
+def _surv_rows(a: Analysis) -> DataFrame:
+    return a.survival_rows.select("handle", "time", PID, "is_solve", "rating_at_solve",
+                                  "submission_idx", "improved_event")
+
+
+@register("survival_pairs")
+def _surv_pairs(a: Analysis) -> DataFrame:
+    return a.survival_pairs
+
+
+@register("survival_effects")
+def _surv(a: Analysis) -> DataFrame:
+    return a.survival_effects
+
+
+@register("time_quantiles")
+def _tq(a: Analysis) -> DataFrame:
+    return a.time_quantiles
+
+
+# ---------------------------------------------------------------- G / P / X9
+@register("transition_graph")
+def _graph(a: Analysis) -> DataFrame:
+    return a.transition_graph
+
+
+@register("improvement_points")
+def _points(a: Analysis) -> DataFrame:
+    return a.improvement_points.filter(F.col("improved_event") == 1).select(
+        "handle", "time", PID, "rating_at_submission")
+
+
+@register("path_support")
+def _paths(a: Analysis) -> DataFrame:
+    return a.path_support
+
+
+@register("path_patterns")
+def _patterns(a: Analysis) -> DataFrame:
+    return a.path_patterns
+
+
+# ---------------------------------------------------------------- V / X6 / X7
+@register("placebo_bias")
+def _placebo(a: Analysis) -> DataFrame:
+    return a.placebo_bias
+
+
+@register("placebo_summary")
+def _placebo_summary(a: Analysis) -> DataFrame:
+    return a.placebo_summary
+
+
+@register("pre_trend")
+def _pre_trend(a: Analysis) -> DataFrame:
+    return a.pre_trend
+
+
+@register("random_placebo")
+def _random_placebo(a: Analysis) -> DataFrame:
+    return a.random_placebo
+
+
+# ---------------------------------------------------------------- R / U / X10-X12
+@register("recommender_catalog")
+def _catalog(a: Analysis) -> DataFrame:
+    return a.catalog(significant_only=False)
+
+
+@register("user_profiles")
+def _profiles(a: Analysis) -> DataFrame:
+    return a.profiles
+
+
+@register("recommendations")
+def _recs(a: Analysis) -> DataFrame:
+    """Reference catalog: significant problems only (p < 0.01)."""
+    return a.recommendations(significant_only=True)
+
+
+@register("recommendations_all")
+def _recs_all(a: Analysis) -> DataFrame:
+    """Catalog of every tested problem, so most users have in-band candidates."""
+    return a.recommendations(significant_only=False)
+
+
+@register("global_insights")
+def _insights(a: Analysis) -> DataFrame:
+    return R.global_insights(a.catalog(significant_only=True), a.params.top_att)
+
+
+@register("problem_details")
+def _details(a: Analysis) -> DataFrame:
+    d = R.problem_details(a.catalog(significant_only=True), a.cohort_examples, a.transition_graph, a.params)
+    return d.select(
+        PID, "att_score", "p_value", "hazard_ratio", "estimated_difficulty", "total_treated_samples",
+        F.concat_ws(",", F.transform("similar_users", lambda s: F.concat_ws(
+            ":", s["handle"], s["rating_gain"].cast("long").cast("string")))).alias("similar_users"),
+        F.concat_ws(",", F.transform("next_steps", lambda s: s["target_problem"])).alias("next_steps"),
+    )
+
+
+@register("recommendations_enriched")
+def _enriched(a: Analysis) -> DataFrame:
+    e = R.enrich(a.recommendations(significant_only=False))
+    return e.select("handle", "rec_rank", "problem_id", "title", F.size("tags").alias("n_tags"),
+                    "difficulty_tier", "high_impact", "confidence", "contest_id", "problem_index")
+
+
+@register("user_tiers")
+def _tiers(a: Analysis) -> DataFrame:
+    return R.user_tiers(a.profiles)
+
+
+@register("user_potential")
+def _potential(a: Analysis) -> DataFrame:
+    return R.user_potential(a.recommendations(significant_only=False))
+
+
+@register("recommend_reachable")
+def _reachable(a: Analysis) -> DataFrame:
+    return R.recommend_reachable(a.profiles, a.features, a.transition_graph,
+                                 a.catalog(significant_only=False), a.params)
+
+
+@register("recommend_diverse")
+def _diverse(a: Analysis) -> DataFrame:
+    return R.recommend_diverse(a.profiles, a.catalog(significant_only=False), a.params)
+
+
+@register("uplift_by_band")
+def _by_band(a: Analysis) -> DataFrame:
+    return R.uplift_by_band(a.catalog(significant_only=False))
+
+
+@register("uplift_by_gap")
+def _by_gap(a: Analysis) -> DataFrame:
+    return R.uplift_by_gap(a.effects, a.metadata, a.params)
