@@ -239,6 +239,19 @@ surv AS (
                           ELSE event_rate / (SELECT avg(event_rate) FROM surv0) END, 1.0) AS hazard_ratio
   FROM surv0)"""
 
+# T8 by brute force: for each first solve, the first later row reaching the solve rating + 50
+TTI = """trows AS (
+  SELECT handle, id_of_submission_task, verdict, rating_at_submission,
+         CAST(row_number() OVER (PARTITION BY handle ORDER BY time) - 1 AS BIGINT) AS idx FROM feat),
+tq AS (SELECT handle, id_of_submission_task, min(idx) AS solve_idx,
+              arg_min(rating_at_submission, idx) AS solve_rating
+       FROM trows WHERE verdict = 'OK' GROUP BY ALL),
+tti AS (
+  SELECT q.*, (SELECT min(r.idx) FROM trows r WHERE r.handle = q.handle AND r.idx > q.solve_idx
+                 AND r.rating_at_submission >= q.solve_rating + 50) AS event_idx,
+         (SELECT max(r.idx) FROM trows r WHERE r.handle = q.handle) AS last_idx
+  FROM tq q)"""
+
 # ---------------------------------------------------------------- graph and paths
 SOL = """sol AS (SELECT handle, time, id_of_submission_task AS pid FROM feat WHERE verdict = 'OK')"""
 
@@ -515,6 +528,25 @@ def queries() -> dict[str, str]:
       SELECT id_of_submission_task, round(quantile_cont(time_to_event, 0.5), 6) AS median_time,
              round(quantile_cont(time_to_event, 0.75), 6) AS p75_time, count(*) AS observed
       FROM spairs WHERE event_observed = 1 GROUP BY id_of_submission_task"""
+    q["time_to_improve"] = with_(*CORE, TTI) + """
+      SELECT handle, id_of_submission_task, solve_idx, round(solve_rating, 6) AS solve_rating, event_idx,
+             event_idx - solve_idx AS time_to_improve, CAST(event_idx IS NOT NULL AS INTEGER) AS event_observed,
+             CASE WHEN event_idx IS NOT NULL THEN event_idx - solve_idx ELSE last_idx - solve_idx END AS duration
+      FROM tti"""
+    q["kaplan_meier"] = with_(*CORE, TTI) + """,
+      d AS (SELECT id_of_submission_task, CASE WHEN event_idx IS NOT NULL THEN event_idx - solve_idx
+                                               ELSE last_idx - solve_idx END AS t,
+                   CAST(event_idx IS NOT NULL AS INTEGER) AS e FROM tti),
+      g AS (SELECT id_of_submission_task, t, CAST(sum(e) AS BIGINT) AS events,
+                   CAST(sum(1 - e) AS BIGINT) AS censored FROM d GROUP BY ALL),
+      r AS (SELECT *, CAST(sum(events + censored) OVER (PARTITION BY id_of_submission_task ORDER BY t
+                      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS at_risk FROM g)
+      SELECT id_of_submission_task, t AS time, at_risk, events, censored,
+             round(CASE WHEN max(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER up = 1 THEN 0.0
+                        ELSE exp(sum(CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END) OVER up)
+                   END, 6) AS survival
+      FROM r WINDOW up AS (PARTITION BY id_of_submission_task ORDER BY t
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
     # G P X9
     q["transition_graph"] = with_(*CORE, SOL, GRAPH) + """
       SELECT source_problem, target_problem, transition_count, round(avg_gap, 6) AS avg_gap,

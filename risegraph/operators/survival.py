@@ -94,3 +94,85 @@ def kaplan_meier(durations: DataFrame, time_col: str = "time_to_event",
     })
     surv = F.when(F.max("_zero").over(upto) == 1, F.lit(0.0)).otherwise(F.exp(F.sum(F.coalesce("_log", F.lit(0.0))).over(upto)))
     return per_t.select(PID, F.col("t").alias("time"), "at_risk", "events", "censored", surv.alias("survival"))
+
+
+def _level_tables(rows: DataFrame, block: int, levels: int) -> list[DataFrame]:
+    """Level 0 = rows (handle, unit = row index, mx = rating); level k = maxima of
+    ``block`` consecutive level k-1 units. Each carries ``parent = unit div block``."""
+    b = F.lit(block)
+    t = rows.select(HANDLE, F.col("idx").alias("unit"), F.col(RATING).alias("mx"))
+    out = []
+    for k in range(levels + 1):
+        t = t.withColumn("parent", F.floor(F.col("unit") / b).cast("long"))
+        out.append(t)
+        if k < levels:
+            t = t.groupBy(HANDLE, F.col("parent").alias("unit")).agg(F.max("mx").alias("mx"))
+    return out
+
+
+def first_reaching(rows: DataFrame, queries: DataFrame, block: int = 1024, levels: int = 3) -> DataFrame:
+    """For each query (handle, qid, start, th): the first row index > start whose
+    rating >= th, or null. Exact for histories up to block^(levels+1) rows
+    (2^40 by default).
+
+    Search: at every level k, the query looks only at the level-k units that
+    follow its own unit inside the same parent (<= block candidates each); the
+    lowest level with a hit wins. Descent: from the hit unit, the first child
+    with max >= th, down to a row. Every join is an equi-join on
+    (handle, parent) with at most ``block`` matches per query, so no pair
+    explosion, and block keys spread one heavy user over many tasks.
+    """
+    tables = _level_tables(rows, block, levels)
+    hits = None
+    for k, t in enumerate(tables):
+        own = F.floor(F.col("start") / F.lit(block ** k)).cast("long")
+        q = queries.select(HANDLE, "qid", "th", own.alias("_own")).withColumn(
+            "parent", F.floor(F.col("_own") / F.lit(block)).cast("long"))
+        j = q.join(t, [HANDLE, "parent"], "inner").filter((F.col("unit") > F.col("_own")) & (F.col("mx") >= F.col("th")))
+        h = j.groupBy(HANDLE, "qid", "th").agg(F.min("unit").alias("unit")).withColumn("lvl", F.lit(k))
+        hits = h if hits is None else hits.unionByName(h)
+    first = hits.groupBy(HANDLE, "qid", "th").agg(F.min_by(F.struct("lvl", "unit"), F.col("lvl")).alias("_h"))
+    cur = first.select(HANDLE, "qid", "th", F.col("_h.lvl").alias("lvl"), F.col("_h.unit").alias("unit"))
+    for k in range(levels, 0, -1):
+        at = cur.filter(F.col("lvl") == k).select(HANDLE, "qid", "th", F.col("unit").alias("parent"))
+        child = tables[k - 1]
+        step = (at.join(child, [HANDLE, "parent"], "inner").filter(F.col("mx") >= F.col("th"))
+                .groupBy(HANDLE, "qid", "th").agg(F.min("unit").alias("unit")).withColumn("lvl", F.lit(k - 1)))
+        cur = cur.filter(F.col("lvl") != k).unionByName(step)
+    return cur.select(HANDLE, "qid", F.col("unit").alias("event_idx"))
+
+
+def levels_for(max_rows: int, block: int = 1024) -> int:
+    """Fewest block levels so that block^(levels+1) exceeds the longest history."""
+    levels = 0
+    while block ** (levels + 1) <= max(int(max_rows), 1):
+        levels += 1
+    return levels
+
+
+def time_to_improve(features: DataFrame, params: Params = Params(), block: int = 1024,
+                    levels: int = 3) -> DataFrame:
+    """T8 (the documented meaning): from the first solve of a problem, the number
+    of submissions until the user's rating first reaches the rating at that
+    solve + delta, on any problem. Unobserved -> censored at the history end;
+    ``duration`` is the time for observed rows and the follow-up otherwise."""
+    w = user_window(params)
+    rows = features.select(HANDLE, PID, VERDICT, RATING, *[c for c in params.order_by if c not in (HANDLE,)])
+    rows = rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    solves = rows.filter(F.col(VERDICT) == F.lit(OK)).groupBy(HANDLE, PID).agg(
+        F.min_by(F.struct(F.col("idx").alias("i"), F.col(RATING).alias("r")), F.col("idx")).alias("_s"))
+    solves = solves.select(HANDLE, PID, F.col("_s.i").alias("solve_idx"), F.col("_s.r").alias("solve_rating"))
+    queries = solves.select(HANDLE, F.col(PID).alias("qid"), F.col("solve_idx").alias("start"),
+                            (F.col("solve_rating") + F.lit(params.survival_delta)).alias("th"))
+    found = first_reaching(rows.select(HANDLE, "idx", RATING), queries, block, levels)
+    last = rows.groupBy(HANDLE).agg(F.max("idx").alias("_last"))
+    out = (solves.join(found.withColumnRenamed("qid", PID), [HANDLE, PID], "left")
+           .join(last, HANDLE, "inner"))
+    observed = F.col("event_idx").isNotNull()
+    return out.select(
+        HANDLE, PID, "solve_idx", "solve_rating", "event_idx",
+        (F.col("event_idx") - F.col("solve_idx")).alias("time_to_improve"),
+        observed.cast("int").alias("event_observed"),
+        F.when(observed, F.col("event_idx") - F.col("solve_idx"))
+         .otherwise(F.col("_last") - F.col("solve_idx")).alias("duration"),
+    )

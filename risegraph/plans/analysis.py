@@ -148,6 +148,22 @@ class Analysis:
     def time_quantiles(self) -> DataFrame:
         return S.time_quantiles(self.survival_pairs)
 
+    @cached_property
+    def max_history(self) -> int:
+        """Longest user history (one scalar; an upper bound for the feature rows)."""
+        from pyspark.sql import functions as F
+        n = self.submissions.groupBy("handle").count().agg(F.max("count")).first()[0]
+        return int(n or 0)
+
+    @cached_property
+    def time_to_improve(self) -> DataFrame:
+        return S.time_to_improve(self.features, self.params, block=1024,
+                                 levels=S.levels_for(self.max_history, 1024))
+
+    @cached_property
+    def kaplan_meier(self) -> DataFrame:
+        return S.kaplan_meier(self.time_to_improve, time_col="duration")
+
     # ------------------------------------------------------------ graph and paths
     @cached_property
     def transition_graph(self) -> DataFrame:

@@ -177,6 +177,16 @@ def _tq(a: Analysis) -> DataFrame:
     return a.time_quantiles
 
 
+@register("time_to_improve")
+def _tti(a: Analysis) -> DataFrame:
+    return a.time_to_improve
+
+
+@register("kaplan_meier")
+def _km(a: Analysis) -> DataFrame:
+    return a.kaplan_meier
+
+
 # ---------------------------------------------------------------- G / P / X9
 @register("transition_graph")
 def _graph(a: Analysis) -> DataFrame:
