@@ -3,9 +3,11 @@ statistics (X2 Bonferroni, X3 Cohen's d, X4 Welch, X5 balance, X8 solvers
 versus everyone else, X13 intervals).
 
 Plan shape: one exchange on ``handle`` for the outcome window (shared with the
-features), partial aggregation into state cells, a broadcast of the baseline
-(its size is bounded by the bin grid: 33 rating x 12 accuracy x 21
-difficulty bins), and per-problem aggregates over cells.
+features), one partial aggregation of the rows into (problem, state cell)
+moments, then everything else on that small table: the baseline of a cell is
+a window over the cell (a parallel-variance merge, no second pass over the
+rows and no self-join), the weights a window over the problem, the ATT a
+group-by on the same partitioning.
 """
 
 from __future__ import annotations
@@ -42,34 +44,77 @@ def cem_input(features: DataFrame, params: Params = Params()) -> DataFrame:
     return with_state_bins(with_outcome(features, params), params)
 
 
-def _cell_stats(df: DataFrame, keys, prefix: str, params: Params) -> DataFrame:
+def cem_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:
+    """One pass over the rows: gain moments per (problem, state cell).
+
+    Both the treated cells and the baseline derive from this table, so the
+    feature/outcome windows run once; the table has at most
+    problems x cells rows, far fewer than submissions.
+    """
     on = outcome_names(params)
     g, imp = F.col(on["gain"]), F.col(on["improved"])
-    return df.groupBy(*keys).agg(
-        F.avg(g).alias(f"{prefix}_gain"),
-        F.stddev_samp(g).alias(f"{prefix}_std"),
-        F.count(g).alias(f"{prefix}_count"),
-        F.avg(imp).alias(f"{prefix}_improve_prob"),
+    return cem.groupBy(PID, *BINS).agg(
+        F.avg(g).alias("treated_gain"),
+        F.var_samp(g).alias("_var"),
+        F.count(g).alias("treated_count"),
+        F.avg(imp).alias("treated_improve_prob"),
     )
 
 
-def cem_baseline(cem: DataFrame, params: Params = Params()) -> DataFrame:
-    """The all-rows mean gain per state cell (the control), kept at >= min_samples."""
-    return _cell_stats(cem, BINS, "baseline", params).filter(
-        F.col("baseline_count") >= F.lit(params.min_samples))
+def cem_treated(cells: DataFrame, params: Params = Params()) -> DataFrame:
+    """C4: per (problem, state cell) treated stats, kept at >= the treated minimum."""
+    return cells.filter(F.col("treated_count") >= F.lit(params.min_treated_prefilter)).select(
+        PID, *BINS, "treated_gain", F.sqrt("_var").alias("treated_std"), "treated_count",
+        "treated_improve_prob")
 
 
-def cem_treated(cem: DataFrame, params: Params = Params()) -> DataFrame:
-    """C4: per (problem, state cell) treated stats, kept at >= the treated minimum."""
-    return _cell_stats(cem, [PID, *BINS], "treated", params).filter(
-        F.col("treated_count") >= F.lit(params.min_treated_prefilter))
+def _cell_window_baseline(cells: DataFrame) -> DataFrame:
+    """Baseline moments of each state cell attached to its (problem, cell) rows by a
+    window over the cell (at most one row per problem in a window partition).
+
+    n = sum n_i, mean = sum n_i m_i / n, M2 = sum (n_i - 1) v_i + sum n_i (m_i - mean)^2
+    (the parallel-variance merge of Chan et al.): the same values as aggregating
+    the rows again, without a second pass over them or a self-join.
+    """
+    w = Window.partitionBy(*BINS)
+    n_i, m_i = F.col("treated_count"), F.col("treated_gain")
+    c = cells.filter(n_i > 0).withColumns({
+        "baseline_count": F.sum(n_i).over(w),
+        "_sum": F.sum(n_i * m_i).over(w),
+        "_imp": F.sum(n_i * F.col("treated_improve_prob")).over(w),
+    })
+    c = c.withColumns({
+        "baseline_gain": F.col("_sum") / F.col("baseline_count"),
+        "baseline_improve_prob": F.col("_imp") / F.col("baseline_count"),
+    })
+    m2 = F.sum(F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0))
+               + n_i * F.pow(m_i - F.col("baseline_gain"), 2)).over(w)
+    c = c.withColumn("_m2", m2)
+    return c.withColumn("baseline_std", F.when(F.col("baseline_count") > 1,
+                                               F.sqrt(F.col("_m2") / (F.col("baseline_count") - 1))))
+
+
+def cem_baseline(cells: DataFrame, params: Params = Params()) -> DataFrame:
+    """The all-rows mean gain per state cell (the control), kept at >= min_samples."""
+    b = _cell_window_baseline(cells).groupBy(*BINS).agg(
+        F.first("baseline_gain").alias("baseline_gain"), F.first("baseline_std").alias("baseline_std"),
+        F.first("baseline_count").alias("baseline_count"),
+        F.first("baseline_improve_prob").alias("baseline_improve_prob"))
+    return b.filter(F.col("baseline_count") >= F.lit(params.min_samples))
 
 
-def cem_effects(treated: DataFrame, baseline: DataFrame, params: Params = Params()) -> DataFrame:
-    """Match treated cells to baseline cells, uplift, variance, weight."""
+def cem_effects(cells: DataFrame, params: Params = Params()) -> DataFrame:
+    """Treated cells (>= the treated minimum) matched to their state
+    cell's baseline (>= min_samples), uplift, variance, weight.
+
+    Matching is exact on the three bins; a null bin matches nothing.
+    """
     ms = F.lit(params.min_samples)
-    j = treated.join(F.broadcast(baseline), BINS, "inner").filter(
-        (F.col("treated_count") >= ms) & (F.col("baseline_count") >= ms))
+    j = _cell_window_baseline(cells.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
+                                           & F.col("bin_diff").isNotNull()))
+    j = j.filter((F.col("treated_count") >= F.lit(params.min_treated_prefilter))
+                 & (F.col("treated_count") >= ms) & (F.col("baseline_count") >= ms))
+    j = j.withColumn("treated_std", F.sqrt("_var"))
     j = j.withColumns({
         "uplift": F.col("treated_gain") - F.col("baseline_gain"),
         "bucket_variance": F.pow("treated_std", 2) / F.col("treated_count")
@@ -136,9 +181,9 @@ def att_detailed(effects: DataFrame, sig: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- X statistics
 
 def att_bonferroni(att_sig: DataFrame, params: Params = Params()) -> DataFrame:
-    """P * m capped at 1, m = problems with a p-value (a one-row broadcast)."""
-    m = att_sig.agg(F.count("p_value").alias("n_tests"))
-    out = att_sig.crossJoin(F.broadcast(m))
+    """P * m capped at 1, m = problems with a p-value (a scalar subquery)."""
+    m = att_sig.agg(F.count("p_value")).scalar()
+    out = att_sig.withColumn("n_tests", m)
     p_adj = F.least(F.lit(1.0), F.col("p_value") * F.col("n_tests"))
     return out.select(PID, "att_score", "p_value", "n_tests", p_adj.alias("p_bonferroni"),
                       (p_adj < F.lit(params.p_threshold)).alias("significant_bonferroni"))
@@ -193,18 +238,17 @@ def balance_check(cem: DataFrame, effects: DataFrame, params: Params = Params())
         F.struct(F.lit(k).alias("covariate"), v.cast("double").alias("x")) for k, v in covs.items()
     ])).alias("c")).select(PID, *BINS, "c.covariate", "c.x")
 
-    def sums(keys, p):
-        return long.groupBy(*keys).agg(F.count("x").alias(f"{p}_n"), F.sum("x").alias(f"{p}_s"),
-                                       F.sum(F.col("x") * F.col("x")).alias(f"{p}_ss"))
-
-    cells = effects.select(PID, *BINS, "weight")
-    t = sums([PID, *BINS, "covariate"], "t").join(cells, [PID, *BINS], "inner")
-    c = sums([*BINS, "covariate"], "c")
-    j = t.join(F.broadcast(c), [*BINS, "covariate"], "inner")
+    t = long.groupBy(PID, *BINS, "covariate").agg(
+        F.count("x").alias("t_n"), F.sum("x").alias("t_s"), F.sum(F.col("x") * F.col("x")).alias("t_ss"))
+    # control cells: the roll-up of the (problem, cell) sums, as a window over the cell
+    wc = Window.partitionBy(*BINS, "covariate")
+    t = t.withColumns({"c_n": F.sum("t_n").over(wc), "c_s": F.sum("t_s").over(wc),
+                       "c_ss": F.sum("t_ss").over(wc)})
+    j = t.join(effects.select(PID, *BINS, "weight"), [PID, *BINS], "inner")
     g = j.groupBy(PID, "covariate").agg(
         F.sum("t_n").alias("nt"), F.sum("t_s").alias("st"), F.sum("t_ss").alias("sst"),
-        F.sum(F.col("weight") * F.col("c_s") / F.col("c_n")).alias("mc"),
-        F.sum(F.col("weight") * F.col("c_ss") / F.col("c_n")).alias("msc"),
+        F.sum(F.col("weight") * safe_div("c_s", "c_n")).alias("mc"),
+        F.sum(F.col("weight") * safe_div("c_ss", "c_n")).alias("msc"),
     )
     mt = F.col("st") / F.col("nt")
     var_t = safe_div(F.col("sst") - F.col("nt") * mt * mt, F.col("nt") - 1)
@@ -223,13 +267,19 @@ def att_effects_solvers(cem: DataFrame, params: Params = Params()) -> DataFrame:
     on = outcome_names(params)
     g, imp = F.col(on["gain"]).cast("double"), F.col(on["improved"]).cast("double")
 
-    def sums(df, keys, p):
-        return df.groupBy(*keys).agg(F.count(g).alias(f"{p}_n"), F.sum(g).alias(f"{p}_s"),
-                                     F.sum(g * g).alias(f"{p}_ss"), F.sum(imp).alias(f"{p}_imp"))
-
-    cell = sums(cem, BINS, "a")
-    solv = sums(cem.filter(F.col(VERDICT) == F.lit(OK)), [PID, *BINS], "t")
-    j = solv.join(F.broadcast(cell), BINS, "inner").withColumns({
+    solved = F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)).alias("_solved")
+    parts = cem.groupBy(PID, *BINS, solved).agg(
+        F.count(g).alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("ss"), F.sum(imp).alias("imp"))
+    # cell totals: the roll-up of the (problem, cell, solved) sums, as a window over the cell
+    wc = Window.partitionBy(*BINS)
+    parts = parts.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
+                         & F.col("bin_diff").isNotNull())
+    parts = parts.withColumns({"a_n": F.sum("n").over(wc), "a_s": F.sum("s").over(wc),
+                               "a_ss": F.sum("ss").over(wc), "a_imp": F.sum("imp").over(wc)})
+    solv = parts.filter(F.col("_solved")).select(
+        PID, *BINS, F.col("n").alias("t_n"), F.col("s").alias("t_s"), F.col("ss").alias("t_ss"),
+        F.col("imp").alias("t_imp"), "a_n", "a_s", "a_ss", "a_imp")
+    j = solv.withColumns({
         "c_n": F.col("a_n") - F.col("t_n"), "c_s": F.col("a_s") - F.col("t_s"),
         "c_ss": F.col("a_ss") - F.col("t_ss"), "c_imp": F.col("a_imp") - F.col("t_imp"),
     })

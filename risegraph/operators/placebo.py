@@ -8,7 +8,7 @@ random relabelling of problems should show no effect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import user_window
@@ -18,25 +18,34 @@ from . import matching as C
 
 
 def _bias(df: DataFrame, keys_extra: list[str], params: Params) -> DataFrame:
-    """V3-V6 on a frame with (placebo_gain, placebo_improved, bins)."""
+    """V3-V6 on a frame with (placebo_gain, placebo_improved, bins).
+
+    One pass over the rows into (problem, cell) means and counts; the baseline
+    cell means are count-weighted merges of that small table.
+    """
     mc = F.lit(params.placebo_min_count)
-    base = df.groupBy(*keys_extra, *BINS).agg(
-        F.avg("placebo_gain").alias("baseline_placebo_gain"),
-        F.avg("placebo_improved").alias("baseline_placebo_improve_prob"),
-        F.count("placebo_gain").alias("baseline_count"),  # D9: counted inside the aggregate
-    ).filter(F.col("baseline_count") >= mc)
-    treated = df.groupBy(*keys_extra, PID, *BINS).agg(
+    cells = df.groupBy(*keys_extra, PID, *BINS).agg(
         F.avg("placebo_gain").alias("treated_placebo_gain"),
         F.count("placebo_gain").alias("treated_count"),
         F.avg("placebo_improved").alias("treated_placebo_improve_prob"),
-    ).filter(F.col("treated_count") >= mc)
-    # the baseline is bounded by the bin grid (x the lag list for pre-trends)
-    j = treated.join(F.broadcast(base), [*keys_extra, *BINS], "inner")
+    )
+    n = F.col("treated_count")
+    # baseline cell means: count-weighted merges over the cell (a window, no self-join)
+    wc = Window.partitionBy(*keys_extra, *BINS)
+    j = cells.filter((n > 0) & F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
+                     & F.col("bin_diff").isNotNull())
+    j = j.withColumns({
+        "baseline_count": F.sum(n).over(wc),  # D9: counted inside the aggregate
+        "_s": F.sum(n * F.col("treated_placebo_gain")).over(wc),
+        "_p": F.sum(n * F.col("treated_placebo_improve_prob")).over(wc),
+    })
+    j = j.withColumns({"baseline_placebo_gain": F.col("_s") / F.col("baseline_count"),
+                       "baseline_placebo_improve_prob": F.col("_p") / F.col("baseline_count")})
+    j = j.filter((F.col("baseline_count") >= mc) & (n >= mc))
     j = j.withColumn("selection_bias", F.col("treated_placebo_gain") - F.col("baseline_placebo_gain"))
     j = j.filter(F.abs("selection_bias") <= F.lit(params.uplift_cap))
     j = j.withColumn("probability_selection_bias",
                      F.col("treated_placebo_improve_prob") - F.col("baseline_placebo_improve_prob"))
-    n = F.col("treated_count")
     return j.groupBy(*keys_extra, PID).agg(
         (F.sum(F.col("selection_bias") * n) / F.sum(n)).alias("bias_score"),
         (F.sum(F.col("probability_selection_bias") * n) / F.sum(n)).alias("probability_bias_score"),
@@ -88,6 +97,6 @@ def random_problem_ids(features: DataFrame, n_problems) -> DataFrame:
 def random_placebo(features: DataFrame, params: Params = Params()) -> DataFrame:
     """C1-C9 on randomly relabelled problems; effects should vanish."""
     n = features.select(PID).distinct().agg(F.count(F.lit(1))).scalar()
-    cem = C.cem_input(random_problem_ids(features, n), params)
-    eff = C.cem_effects(C.cem_treated(cem, params), C.cem_baseline(cem, params), params)
+    cells = C.cem_cells(C.cem_input(random_problem_ids(features, n), params), params)
+    eff = C.cem_effects(cells, params)
     return C.with_significance(C.att_effects(eff))

@@ -24,15 +24,32 @@ from ..operators.features import user_features
 from ..operators.metadata import metadata_summary, problem_metadata
 from ..params import Params
 from ..schema import PID
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from ..sources.ingest import clean_submissions
 
 
 class Analysis:
-    def __init__(self, submissions: DataFrame, params: Params = Params(), clean: bool = True):
+    """Artefacts of one submissions log.
+
+    ``materialize`` keeps the artefacts that several consumers read (features,
+    cohort effects, survival, paths, graph, catalog, profiles) computed once:
+    ``True``/``"persist"`` caches them on the executors, ``"checkpoint"`` writes
+    them to the shared checkpoint folder (cuts lineage), ``False`` leaves every
+    consumer its own plan (best for a single report).
+    """
+
+    def __init__(self, submissions: DataFrame, params: Params = Params(), clean: bool = True,
+                 materialize: bool | str = False):
         self.params = params
         self._raw = submissions
         self._clean = clean
+        self.materialize = materialize
+        self._catalogs: dict = {}
+
+    def _m(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        return materialize(df, "persist" if self.materialize is True else self.materialize)
 
     # ------------------------------------------------------------ inputs
     @cached_property
@@ -59,7 +76,7 @@ class Analysis:
     # ------------------------------------------------------------ features
     @cached_property
     def features(self) -> DataFrame:
-        return user_features(self.submissions, self.difficulty, self.params)
+        return self._m(user_features(self.submissions, self.difficulty, self.params))
 
     # ------------------------------------------------------------ cohorts
     @cached_property
@@ -70,17 +87,21 @@ class Analysis:
     def cem(self) -> DataFrame:
         return C.with_state_bins(self.outcomes, self.params)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        return C.cem_cells(self.cem, self.params)
+
     @cached_property
     def baseline(self) -> DataFrame:
-        return C.cem_baseline(self.cem, self.params)
+        return C.cem_baseline(self.cells, self.params)
 
     @cached_property
     def treated(self) -> DataFrame:
-        return C.cem_treated(self.cem, self.params)
+        return C.cem_treated(self.cells, self.params)
 
     @cached_property
     def effects(self) -> DataFrame:
-        return C.cem_effects(self.treated, self.baseline, self.params)
+        return self._m(C.cem_effects(self.cells, self.params))
 
     @cached_property
     def att(self) -> DataFrame:
@@ -142,7 +163,7 @@ class Analysis:
 
     @cached_property
     def survival_effects(self) -> DataFrame:
-        return S.survival_effects(self.survival_pairs, self.params)
+        return self._m(S.survival_effects(self.survival_pairs, self.params))
 
     @cached_property
     def time_quantiles(self) -> DataFrame:
@@ -167,7 +188,7 @@ class Analysis:
     # ------------------------------------------------------------ graph and paths
     @cached_property
     def transition_graph(self) -> DataFrame:
-        return G.transition_graph(self.features, self.params)
+        return self._m(G.transition_graph(self.features, self.params))
 
     @cached_property
     def improvement_points(self) -> DataFrame:
@@ -175,7 +196,7 @@ class Analysis:
 
     @cached_property
     def path_support(self) -> DataFrame:
-        return G.path_support(self.features, self.params)
+        return self._m(G.path_support(self.features, self.params))
 
     @cached_property
     def path_patterns(self) -> DataFrame:
@@ -200,13 +221,16 @@ class Analysis:
 
     # ------------------------------------------------------------ recommender
     def catalog(self, significant_only: bool = True, use_sequence: bool = True) -> DataFrame:
-        eff = self.att_significant if significant_only else self.att_significance
-        return R.recommender_catalog(eff, self.metadata, self.survival_effects,
-                                     self.path_support if use_sequence else None)
+        key = (significant_only, use_sequence)
+        if key not in self._catalogs:
+            eff = self.att_significant if significant_only else self.att_significance
+            self._catalogs[key] = self._m(R.recommender_catalog(
+                eff, self.metadata, self.survival_effects, self.path_support if use_sequence else None))
+        return self._catalogs[key]
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return R.user_profiles(self.features, self.params)
+        return self._m(R.user_profiles(self.features, self.params))
 
     def recommendations(self, significant_only: bool = True) -> DataFrame:
         return R.recommendations(self.profiles, self.catalog(significant_only), self.params)

@@ -26,14 +26,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 
-def analysis(spark: SparkSession, sf_dir: str, params: Params = SMALL) -> Analysis:
-    return Analysis(load_events_submissions(spark, sf_dir), params)
+def analysis(spark: SparkSession, sf_dir: str, params: Params = SMALL, materialize: bool = False) -> Analysis:
+    return Analysis(load_events_submissions(spark, sf_dir), params, materialize=materialize)
 
 
-def register(name: str):
+def register(name: str, materialize: bool = False):
+    """``materialize`` for reports that read many artefacts (see ``Analysis``)."""
     def deco(fn: Callable[[Analysis], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return round_doubles(fn(analysis(spark, sf_dir)))
+            return round_doubles(fn(analysis(spark, sf_dir, materialize=materialize)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _REGISTRY[name] = run
@@ -231,7 +232,7 @@ def _random_placebo(a: Analysis) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R / U / X10-X12
-@register("recommender_catalog")
+@register("recommender_catalog", materialize=True)
 def _catalog(a: Analysis) -> DataFrame:
     return a.catalog(significant_only=False)
 
@@ -241,24 +242,24 @@ def _profiles(a: Analysis) -> DataFrame:
     return a.profiles
 
 
-@register("recommendations")
+@register("recommendations", materialize=True)
 def _recs(a: Analysis) -> DataFrame:
     """Reference catalog: significant problems only (p < 0.01)."""
     return a.recommendations(significant_only=True)
 
 
-@register("recommendations_all")
+@register("recommendations_all", materialize=True)
 def _recs_all(a: Analysis) -> DataFrame:
     """Catalog of every tested problem, so most users have in-band candidates."""
     return a.recommendations(significant_only=False)
 
 
-@register("global_insights")
+@register("global_insights", materialize=True)
 def _insights(a: Analysis) -> DataFrame:
     return R.global_insights(a.catalog(significant_only=True), a.params.top_att)
 
 
-@register("problem_details")
+@register("problem_details", materialize=True)
 def _details(a: Analysis) -> DataFrame:
     d = R.problem_details(a.catalog(significant_only=True), a.cohort_examples, a.transition_graph, a.params)
     return d.select(
@@ -269,7 +270,7 @@ def _details(a: Analysis) -> DataFrame:
     )
 
 
-@register("recommendations_enriched")
+@register("recommendations_enriched", materialize=True)
 def _enriched(a: Analysis) -> DataFrame:
     e = R.enrich(a.recommendations(significant_only=False))
     return e.select("handle", "rec_rank", "problem_id", "title", F.size("tags").alias("n_tags"),
@@ -281,23 +282,23 @@ def _tiers(a: Analysis) -> DataFrame:
     return R.user_tiers(a.profiles)
 
 
-@register("user_potential")
+@register("user_potential", materialize=True)
 def _potential(a: Analysis) -> DataFrame:
     return R.user_potential(a.recommendations(significant_only=False))
 
 
-@register("recommend_reachable")
+@register("recommend_reachable", materialize=True)
 def _reachable(a: Analysis) -> DataFrame:
     return R.recommend_reachable(a.profiles, a.features, a.transition_graph,
                                  a.catalog(significant_only=False), a.params)
 
 
-@register("recommend_diverse")
+@register("recommend_diverse", materialize=True)
 def _diverse(a: Analysis) -> DataFrame:
     return R.recommend_diverse(a.profiles, a.catalog(significant_only=False), a.params)
 
 
-@register("uplift_by_band")
+@register("uplift_by_band", materialize=True)
 def _by_band(a: Analysis) -> DataFrame:
     return R.uplift_by_band(a.catalog(significant_only=False))
 

@@ -65,20 +65,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/risegraph-tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
+    """Compute ``df`` once for several consumers.
+
+    ``"persist"``: cached on executors (memory, spilling to disk); a lost
+    executor's blocks are recomputed from lineage. ``"checkpoint"``: written to
+    the shared checkpoint folder, cutting lineage (for long DAGs and
+    stage-by-stage batch runs).
+    """
+    if mode == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "persist":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode in ("none", None, False):
+        return df
+    raise ValueError(f"unknown materialize mode {mode!r}")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Materialize ``df`` and broadcast it only if it has at most ``max_rows`` rows.
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
-    Above the bound the plain DataFrame is returned and the planner / AQE
+    The table is cached and counted (one job, the count stops at the bound);
+    above the bound the cached DataFrame is returned and the planner / AQE
     chooses a shuffled join, so a table that grows with the data can never be
     shipped whole to every executor.
     """
-    m = materialize(df)
+    m = materialize(df, "persist")
     n = m.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(m), True
