@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import full_window, safe_div
+from ..functions.segments import HALO, IDX, SEG
 from ..functions.sequence import feature_names, history_frame, trailing_frame, user_window
 from ..params import Params
 from ..schema import OK, PID, RATING, TIME, VERDICT
@@ -18,11 +19,13 @@ from ..schema import OK, PID, RATING, TIME, VERDICT
 
 def user_features(subs: DataFrame, difficulty: DataFrame, params: Params = Params()) -> DataFrame:
     """F1-F8. ``difficulty`` has (problem id, estimated_difficulty); pass it
-    already broadcast when its size is checked (see ``plans.Analysis``)."""
+    already broadcast when its size is checked (see ``plans.Analysis``).
+    ``subs`` may be segmented (``functions.segments``); the output then keeps
+    the segment columns and halo rows for the windows downstream."""
     n = params.history
     names = feature_names(params)
-    w = user_window(params)
-    h = history_frame(params)
+    w = user_window(params, df=subs)
+    h = history_frame(params, df=subs)
     df = subs.join(difficulty.select(PID, "estimated_difficulty"), PID, "left")
     # null verdict -> null flag, so every window touching it is null
     is_ok = (F.col(VERDICT) == F.lit(OK)).cast("int")
@@ -43,10 +46,11 @@ def user_features(subs: DataFrame, difficulty: DataFrame, params: Params = Param
     df = df.withColumns({
         # 0/0 and warm-up both give 0.0
         names["ok_diff"]: F.coalesce(safe_div("_wsum", names["solve_cnt"]), F.lit(0.0)),
-        names["rating_delta"]: full_window(F.avg, "_delta", trailing_frame(params), n),
+        names["rating_delta"]: full_window(F.avg, "_delta", trailing_frame(params, df=subs), n),
     })
     df = df.filter(F.col(names["sub_cnt"]) >= F.lit(params.min_submissions))
-    ordered = [c for c in subs.columns] + ["estimated_difficulty", names["acc"], names["solve_cnt"],
+    ordered = [c for c in subs.columns if c not in (SEG, IDX, HALO)] + ["estimated_difficulty", names["acc"], names["solve_cnt"],
                                            "time_since_last_sub", names["sub_cnt"], names["ok_diff"],
                                            names["rating_delta"]]
+    ordered += [c for c in (SEG, IDX, HALO) if c in subs.columns]
     return df.select(*ordered)

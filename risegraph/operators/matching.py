@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import normal_two_sided_p, safe_div, state_bin, z_score
+from ..functions.segments import strip
 from ..functions.sequence import feature_names, outcome_names, user_window
 from ..params import Params
 from ..schema import BINS, HANDLE, OK, PID, RATING, VERDICT
@@ -24,7 +25,7 @@ from ..schema import BINS, HANDLE, OK, PID, RATING, VERDICT
 def with_outcome(features: DataFrame, params: Params = Params(), drop_missing: bool = True) -> DataFrame:
     """Rating ``future`` rows later, the gain and an improved flag."""
     on = outcome_names(params)
-    df = features.withColumn(on["future"], F.lead(RATING, params.future).over(user_window(params)))
+    df = features.withColumn(on["future"], F.lead(RATING, params.future).over(user_window(params, df=features)))
     df = df.withColumns({on["gain"]: F.col(on["future"]) - F.col(RATING)})
     df = df.withColumn(on["improved"], (F.col(on["gain"]) > 0).cast("int"))
     return df.filter(F.col(on["gain"]).isNotNull()) if drop_missing else df
@@ -41,7 +42,8 @@ def with_state_bins(df: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def cem_input(features: DataFrame, params: Params = Params()) -> DataFrame:
-    return with_state_bins(with_outcome(features, params), params)
+    """C1 + C2 rows (halo rows of a segmented frame removed)."""
+    return strip(with_state_bins(with_outcome(features, params), params))
 
 
 def cem_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import full_window
+from ..functions.segments import strip
 from ..functions.sequence import trailing_frame, user_window
 from ..params import Params
 from ..schema import HANDLE, OK, PID, RATING, TIME, VERDICT
@@ -18,6 +19,7 @@ from ..schema import HANDLE, OK, PID, RATING, TIME, VERDICT
 
 def solved_history(features: DataFrame, params: Params = Params()) -> DataFrame:
     """G1: solved rows only, with the per-user solve index."""
+    features = strip(features)
     cols = list(dict.fromkeys([HANDLE, PID, *params.order_by]))
     s = features.filter(F.col(VERDICT) == F.lit(OK)).select(*cols)
     return s.withColumn("solve_idx", (F.row_number().over(user_window(params)) - 1).cast("long"))
@@ -46,10 +48,11 @@ def transition_graph(features: DataFrame, params: Params = Params()) -> DataFram
 
 
 def improvement_points(features: DataFrame, params: Params = Params()) -> DataFrame:
-    """Rows whose trailing ``past`` rating deltas sum to >= path_delta."""
-    d = features.withColumn("rating_delta", F.col(RATING) - F.lag(RATING, 1).over(user_window(params)))
-    gain = full_window(F.sum, "rating_delta", trailing_frame(params, params.past), params.past)
-    return d.withColumn("improved_event", (gain >= F.lit(params.path_delta)).cast("int"))
+    """Rows whose trailing ``past`` rating deltas sum to >= path_delta
+    (bounded frames: works on a segmented frame; halo rows removed)."""
+    d = features.withColumn("rating_delta", F.col(RATING) - F.lag(RATING, 1).over(user_window(params, df=features)))
+    gain = full_window(F.sum, "rating_delta", trailing_frame(params, params.past, df=features), params.past)
+    return strip(d.withColumn("improved_event", (gain >= F.lit(params.path_delta)).cast("int")))
 
 
 def preceding_solves(features: DataFrame, params: Params = Params()) -> DataFrame:
@@ -61,7 +64,7 @@ def preceding_solves(features: DataFrame, params: Params = Params()) -> DataFram
     with a smaller time (a RANGE frame ending at -1), so rows sharing the time
     of the point are excluded. No join and no per-point rescan.
     """
-    pts = improvement_points(features, params)
+    pts = improvement_points(strip(features), params)
     pts = pts.withColumn("_s", F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)))
     sw = Window.partitionBy(HANDLE, "_s").orderBy(*params.order_by)
     recent = F.array(F.col(PID), *[F.lag(PID, i).over(sw) for i in range(1, params.path_len)])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.segments import strip
 from ..functions.sequence import user_window
 from ..params import Params
 from ..schema import BINS, HANDLE, PID, RATING, TIME
@@ -55,8 +56,9 @@ def _bias(df: DataFrame, keys_extra: list[str], params: Params) -> DataFrame:
 
 def placebo_rows(features: DataFrame, params: Params = Params()) -> DataFrame:
     """V1-V2: gain over the previous ``past`` rows, flag, bins."""
-    df = features.withColumn("placebo_gain", F.col(RATING) - F.lag(RATING, params.past).over(user_window(params)))
-    df = df.filter(F.col("placebo_gain").isNotNull())
+    w = user_window(params, df=features)
+    df = features.withColumn("placebo_gain", F.col(RATING) - F.lag(RATING, params.past).over(w))
+    df = strip(df).filter(F.col("placebo_gain").isNotNull())
     df = df.withColumn("placebo_improved", (F.col("placebo_gain") > 0).cast("int"))
     return C.with_state_bins(df, params)
 
@@ -74,13 +76,14 @@ def placebo_summary(bias: DataFrame) -> DataFrame:
 def pre_trend(features: DataFrame, params: Params = Params()) -> DataFrame:
     """The placebo at several lags; the lagged gains are one array exploded
     in a second projection (one window pass for all lags)."""
-    w = user_window(params)
+    w = user_window(params, df=features)
     lags = list(params.pre_trend_lags)
     gains = F.array(*[F.struct(F.lit(L).alias("lag"), (F.col(RATING) - F.lag(RATING, L).over(w)).alias("g"))
                       for L in lags])
-    df = features.withColumn("_g", gains)
-    df = df.select(*[c for c in features.columns], F.explode("_g").alias("_x"))
-    df = df.select(*features.columns, F.col("_x.lag").alias("lag"), F.col("_x.g").alias("placebo_gain"))
+    df = strip(features.withColumn("_g", gains))
+    cols = df.columns[:-1]
+    df = df.select(*cols, F.explode("_g").alias("_x"))
+    df = df.select(*cols, F.col("_x.lag").alias("lag"), F.col("_x.g").alias("placebo_gain"))
     df = df.filter(F.col("placebo_gain").isNotNull())
     df = df.withColumn("placebo_improved", (F.col("placebo_gain") > 0).cast("int"))
     return _bias(C.with_state_bins(df, params), ["lag"], params)

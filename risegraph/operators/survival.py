@@ -13,20 +13,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
+from ..functions.segments import IDX, SEG, drop_halo, is_segmented, strip
 from ..functions.sequence import running_frame, user_window
+from ..session import broadcast_if_small
 from ..params import Params
 from ..schema import HANDLE, OK, PID, RATING, VERDICT
 
 
+def _feature_row_index(df: DataFrame, params: Params) -> F.Column:
+    """0-based index among a user's feature rows: the global index of a
+    segmented hot user (features start at row ``history``), else row_number."""
+    rn = (F.row_number().over(user_window(params, df=df)) - 1).cast("long")
+    if is_segmented(df):
+        return F.when(F.col(IDX).isNotNull(), F.col(IDX) - F.lit(params.history)).otherwise(rn)
+    return rn
+
+
+def _solve_seeds(df: DataFrame, params: Params) -> DataFrame:
+    """Per hot-user segment: the rating at the user's last solve before the
+    segment starts (a table with one row per segment)."""
+    core = drop_halo(df).filter(F.col(IDX).isNotNull())
+    segs = core.select(HANDLE, SEG).distinct()
+    last = core.filter(F.col("is_solve") == 1).groupBy(HANDLE, SEG).agg(F.max_by(RATING, IDX).alias("_r"))
+    before = Window.partitionBy(HANDLE).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = segs.join(last, [HANDLE, SEG], "left").withColumn("_seed", F.last("_r", ignorenulls=True).over(before))
+    return seeds.select(HANDLE, SEG, "_seed")
+
+
 def survival_rows(features: DataFrame, params: Params = Params()) -> DataFrame:
-    """Rating at the latest solve, per-user row index, improvement flag."""
+    """Rating at the latest solve, per-user row index, improvement flag.
+
+    On a segmented frame the forward fill runs per segment and falls back to
+    the rating of the last solve before the segment (a small seed table)."""
     solve = (F.col(VERDICT) == F.lit(OK)).cast("int")
     df = features.withColumn("is_solve", solve)
     df = df.withColumns({
         "rating_at_solve": F.last(F.when(F.col("is_solve") == 1, F.col(RATING)), ignorenulls=True)
-                            .over(running_frame(params)),
-        "submission_idx": (F.row_number().over(user_window(params)) - 1).cast("long"),
+                            .over(running_frame(params, df=df)),
+        "submission_idx": _feature_row_index(df, params),
     })
+    if is_segmented(df):
+        seeds, _ = broadcast_if_small(_solve_seeds(df, params), params.broadcast_max_rows)
+        df = df.join(seeds, [HANDLE, SEG], "left").withColumn(
+            "rating_at_solve", F.coalesce(F.col("rating_at_solve"), F.col("_seed"))).drop("_seed")
+        df = strip(df)
     df = df.withColumn("improved_event",
                        (F.col(RATING) >= F.col("rating_at_solve") + F.lit(params.survival_delta)).cast("int"))
     return df.filter(F.col("rating_at_solve").isNotNull())
@@ -156,9 +186,9 @@ def time_to_improve(features: DataFrame, params: Params = Params(), block: int =
     of submissions until the user's rating first reaches the rating at that
     solve + delta, on any problem. Unobserved -> censored at the history end;
     ``duration`` is the time for observed rows and the follow-up otherwise."""
-    w = user_window(params)
-    rows = features.select(HANDLE, PID, VERDICT, RATING, *[c for c in params.order_by if c not in (HANDLE,)])
-    rows = rows.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    base = drop_halo(features)
+    rows = base.withColumn("idx", _feature_row_index(base, params))
+    rows = rows.select(HANDLE, PID, VERDICT, RATING, "idx")
     solves = rows.filter(F.col(VERDICT) == F.lit(OK)).groupBy(HANDLE, PID).agg(
         F.min_by(F.struct(F.col("idx").alias("i"), F.col(RATING).alias("r")), F.col("idx")).alias("_s"))
     solves = solves.select(HANDLE, PID, F.col("_s.i").alias("solve_idx"), F.col("_s.r").alias("solve_rating"))

@@ -67,6 +67,10 @@ class Params:
     ci_z: float = 2.5758293035489004
     # largest number of rows a table may have to be broadcast after a size check
     broadcast_max_rows: int = 2_000_000
+    # users above this many rows get their history cut into segments of
+    # segment_rows rows (None: never); see functions.segments
+    hot_user_rows: int | None = 5_000_000
+    segment_rows: int = 1_000_000
     extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "Params":

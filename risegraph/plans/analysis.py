@@ -15,6 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from ..functions.segments import halo_width, index_hot_users, strip, with_halo
 from ..operators import matching as C
 from ..operators import paths as G
 from ..operators import placebo as V
@@ -74,14 +75,26 @@ class Analysis:
         return self.small(self.metadata.select(PID, "estimated_difficulty"))
 
     # ------------------------------------------------------------ features
+    @cached_property
+    def sequenced(self) -> DataFrame:
+        """Submissions with heavy users' histories cut into segments plus halo
+        rows (unchanged when no user is above ``params.hot_user_rows``)."""
+        back, fwd = halo_width(self.params)
+        return with_halo(index_hot_users(self.submissions, self.params), self.params, back, fwd)
+
+    @cached_property
+    def features_seq(self) -> DataFrame:
+        """Features on the segmented frame (for operators with bounded frames)."""
+        return self._m(user_features(self.sequenced, self.difficulty, self.params))
+
     @cached_property
     def features(self) -> DataFrame:
-        return self._m(user_features(self.submissions, self.difficulty, self.params))
+        return strip(self.features_seq)
 
     # ------------------------------------------------------------ cohorts
     @cached_property
     def outcomes(self) -> DataFrame:
-        return C.with_outcome(self.features, self.params)
+        return strip(C.with_outcome(self.features_seq, self.params))
 
     @cached_property
     def cem(self) -> DataFrame:
@@ -155,7 +168,7 @@ class Analysis:
     # ------------------------------------------------------------ survival
     @cached_property
     def survival_rows(self) -> DataFrame:
-        return S.survival_rows(self.features, self.params)
+        return S.survival_rows(self.features_seq, self.params)
 
     @cached_property
     def survival_pairs(self) -> DataFrame:
@@ -178,7 +191,7 @@ class Analysis:
 
     @cached_property
     def time_to_improve(self) -> DataFrame:
-        return S.time_to_improve(self.features, self.params, block=1024,
+        return S.time_to_improve(self.features_seq, self.params, block=1024,
                                  levels=S.levels_for(self.max_history, 1024))
 
     @cached_property
@@ -192,7 +205,7 @@ class Analysis:
 
     @cached_property
     def improvement_points(self) -> DataFrame:
-        return G.improvement_points(self.features, self.params)
+        return G.improvement_points(self.features_seq, self.params)
 
     @cached_property
     def path_support(self) -> DataFrame:
@@ -205,7 +218,7 @@ class Analysis:
     # ------------------------------------------------------------ placebo
     @cached_property
     def placebo_bias(self) -> DataFrame:
-        return V.placebo_bias(self.features, self.params)
+        return V.placebo_bias(self.features_seq, self.params)
 
     @cached_property
     def placebo_summary(self) -> DataFrame:
@@ -213,11 +226,11 @@ class Analysis:
 
     @cached_property
     def pre_trend(self) -> DataFrame:
-        return V.pre_trend(self.features, self.params)
+        return V.pre_trend(self.features_seq, self.params)
 
     @cached_property
     def random_placebo(self) -> DataFrame:
-        return V.random_placebo(self.features, self.params)
+        return V.random_placebo(self.features_seq, self.params)
 
     # ------------------------------------------------------------ recommender
     def catalog(self, significant_only: bool = True, use_sequence: bool = True) -> DataFrame:
