@@ -121,3 +121,30 @@ def halo_width(params: Params) -> tuple[int, int]:
     that much again; the outcome looks ``future`` rows ahead."""
     lag = max([params.past, params.history, *params.pre_trend_lags]) + 1
     return params.history + 1 + lag, params.future
+
+
+def running_sum(df: DataFrame, value: str, out: str, params: Params) -> DataFrame:
+    """Inclusive running sum of ``value`` along each user's order, exact across
+    segments: a per-segment running sum plus the totals of the user's earlier
+    segments (a table with one row per segment). ``df`` must be halo free."""
+    from ..functions.sequence import running_frame
+    local = F.sum(value).over(running_frame(params, df=df))
+    if not is_segmented(df):
+        return df.withColumn(out, local)
+    tot = df.filter(F.col(IDX).isNotNull()).groupBy(HANDLE, SEG).agg(F.sum(value).alias("_t"))
+    before = Window.partitionBy(HANDLE).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_o", F.coalesce(F.sum("_t").over(before), F.lit(0))).select(HANDLE, SEG, "_o")
+    tot, _ = broadcast_if_small(tot, params.broadcast_max_rows)
+    return (df.join(tot, [HANDLE, SEG], "left")
+            .withColumn(out, local + F.coalesce(F.col("_o"), F.lit(0))).drop("_o"))
+
+
+def resegment(df: DataFrame, index_col: str, params: Params, back: int, fwd: int) -> DataFrame:
+    """Re-cut a hot user's sub-stream (e.g. solves only) by its own 0-based
+    index ``index_col`` and add halos; other users stay in segment 0."""
+    hot = F.col(IDX).isNotNull()
+    df = df.withColumns({
+        SEG: F.when(hot, F.floor(F.col(index_col) / F.lit(params.segment_rows))).otherwise(F.lit(0)).cast("long"),
+        IDX: F.when(hot, F.col(index_col)).cast("long"),
+    })
+    return with_halo(df, params, back, fwd)

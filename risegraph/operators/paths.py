@@ -11,25 +11,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import full_window
-from ..functions.segments import strip
+from ..functions.segments import HALO, IDX, SEG, drop_halo, is_segmented, resegment, running_sum, strip
 from ..functions.sequence import trailing_frame, user_window
 from ..params import Params
 from ..schema import HANDLE, OK, PID, RATING, TIME, VERDICT
 
 
 def solved_history(features: DataFrame, params: Params = Params()) -> DataFrame:
-    """G1: solved rows only, with the per-user solve index."""
-    features = strip(features)
-    cols = list(dict.fromkeys([HANDLE, PID, *params.order_by]))
-    s = features.filter(F.col(VERDICT) == F.lit(OK)).select(*cols)
-    return s.withColumn("solve_idx", (F.row_number().over(user_window(params)) - 1).cast("long"))
+    """G1: solved rows only, with the per-user solve index.
+
+    On a segmented frame the solve index is a segmented running count of
+    solves, and the solve stream is re-cut by it (halo: the previous
+    ``path_len`` and next ``transition_window`` solves)."""
+    ok = F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False))
+    if not is_segmented(features):
+        cols = list(dict.fromkeys([HANDLE, PID, *params.order_by]))
+        s = features.filter(ok).select(*cols)
+        return s.withColumn("solve_idx", (F.row_number().over(user_window(params)) - 1).cast("long"))
+    core = drop_halo(features).withColumn("_sv", ok.cast("int"))
+    core = running_sum(core, "_sv", "_cs", params)
+    cols = list(dict.fromkeys([HANDLE, PID, *params.order_by, SEG, IDX]))
+    s = core.filter(ok).select(*cols, (F.col("_cs") - 1).cast("long").alias("solve_idx"))
+    return resegment(s, "solve_idx", params, back=params.path_len, fwd=params.transition_window)
 
 
 def transition_pairs(solved: DataFrame, params: Params = Params()) -> DataFrame:
     """(source, target, gap) for the next 1..window solves."""
-    w = user_window(params)
+    w = user_window(params, df=solved)
     nxt = F.array(*[F.lead(PID, g).over(w) for g in range(1, params.transition_window + 1)])
-    s = solved.select(F.col(PID).alias("source_problem"), nxt.alias("_next"))
+    keep = [HALO] if HALO in solved.columns else []
+    s = drop_halo(solved.select(F.col(PID).alias("source_problem"), nxt.alias("_next"), *keep))
     s = s.select("source_problem", F.posexplode("_next").alias("_pos", "target_problem"))
     return s.filter(F.col("target_problem").isNotNull()).select(
         "source_problem", "target_problem", (F.col("_pos") + 1).alias("gap_size"))
@@ -64,7 +75,9 @@ def preceding_solves(features: DataFrame, params: Params = Params()) -> DataFram
     with a smaller time (a RANGE frame ending at -1), so rows sharing the time
     of the point are excluded. No join and no per-point rescan.
     """
-    pts = improvement_points(strip(features), params)
+    if is_segmented(features):
+        return _preceding_solves_indexed(features, params)
+    pts = improvement_points(features, params)
     pts = pts.withColumn("_s", F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)))
     sw = Window.partitionBy(HANDLE, "_s").orderBy(*params.order_by)
     recent = F.array(F.col(PID), *[F.lag(PID, i).over(sw) for i in range(1, params.path_len)])
@@ -80,6 +93,26 @@ def preceding_solves(features: DataFrame, params: Params = Params()) -> DataFram
     return hits.select(HANDLE, F.col(TIME).alias("point_time"), F.explode("_prev").alias(PID))
 
 
+def _preceding_solves_indexed(features: DataFrame, params: Params) -> DataFrame:
+    """P2 on a segmented frame, by equi-joins on exact indexes (no per-user window
+    spans a whole history): c = number of the user's solves with a time before
+    the point's (min of running count - own solve over the point's time group);
+    the answer is the recent-solves array of solve c - 1."""
+    ok = F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)).cast("int")
+    core = running_sum(drop_halo(features).withColumn("_sv", ok), "_sv", "_cs", params)
+    before_t = core.groupBy(HANDLE, TIME).agg(F.min(F.col("_cs") - F.col("_sv")).alias("_c"))
+    solved = solved_history(features, params)
+    sw = user_window(params, df=solved)
+    recent = F.array(F.col(PID), *[F.lag(PID, i).over(sw) for i in range(1, params.path_len)])
+    recent = drop_halo(solved.select(HANDLE, "solve_idx", F.filter(recent, lambda x: x.isNotNull()).alias("_prev"),
+                                     HALO))
+    pts = improvement_points(features, params).filter(F.col("improved_event") == 1).select(HANDLE, TIME)
+    pts = pts.join(before_t, [HANDLE, TIME], "inner").filter(F.col("_c") >= 1)
+    pts = pts.withColumn("solve_idx", (F.col("_c") - 1).cast("long"))
+    hits = pts.join(recent, [HANDLE, "solve_idx"], "inner")
+    return hits.select(HANDLE, F.col(TIME).alias("point_time"), F.explode("_prev").alias(PID))
+
+
 def path_support(features: DataFrame, params: Params = Params()) -> DataFrame:
     """Support per problem >= minimum; confidence = support / max support."""
     sup = preceding_solves(features, params).groupBy(PID).agg(F.count(F.lit(1)).alias("support"))
@@ -92,9 +125,10 @@ def path_patterns(features: DataFrame, params: Params = Params(), min_support: i
     """X9: "after A and B, users often solve C": consecutive solve triples,
     support n(ABC) and confidence n(ABC) / n(AB)."""
     solved = solved_history(features, params)
-    w = user_window(params)
-    tri = solved.select(F.col(PID).alias("first"), F.lead(PID, 1).over(w).alias("second"),
-                        F.lead(PID, 2).over(w).alias("third"))
+    w = user_window(params, df=solved)
+    keep = [HALO] if HALO in solved.columns else []
+    tri = drop_halo(solved.select(F.col(PID).alias("first"), F.lead(PID, 1).over(w).alias("second"),
+                                  F.lead(PID, 2).over(w).alias("third"), *keep))
     pairs = tri.filter(F.col("second").isNotNull()).groupBy("first", "second").agg(
         F.count(F.lit(1)).alias("pair_support"))
     triples = tri.filter(F.col("third").isNotNull()).groupBy("first", "second", "third").agg(

@@ -15,7 +15,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from ..functions.segments import halo_width, index_hot_users, strip, with_halo
+from ..functions.segments import halo_width, index_hot_users, is_segmented, strip, with_halo
 from ..operators import matching as C
 from ..operators import paths as G
 from ..operators import placebo as V
@@ -80,7 +80,11 @@ class Analysis:
         """Submissions with heavy users' histories cut into segments plus halo
         rows (unchanged when no user is above ``params.hot_user_rows``)."""
         back, fwd = halo_width(self.params)
-        return with_halo(index_hot_users(self.submissions, self.params), self.params, back, fwd)
+        seq = with_halo(index_hot_users(self.submissions, self.params), self.params, back, fwd)
+        if is_segmented(seq):
+            # written once: every consumer reads it instead of inlining the index plan
+            seq = materialize(seq, "checkpoint")
+        return seq
 
     @cached_property
     def features_seq(self) -> DataFrame:
@@ -201,7 +205,7 @@ class Analysis:
     # ------------------------------------------------------------ graph and paths
     @cached_property
     def transition_graph(self) -> DataFrame:
-        return self._m(G.transition_graph(self.features, self.params))
+        return self._m(G.transition_graph(self.features_seq, self.params))
 
     @cached_property
     def improvement_points(self) -> DataFrame:
@@ -209,11 +213,11 @@ class Analysis:
 
     @cached_property
     def path_support(self) -> DataFrame:
-        return self._m(G.path_support(self.features, self.params))
+        return self._m(G.path_support(self.features_seq, self.params))
 
     @cached_property
     def path_patterns(self) -> DataFrame:
-        return G.path_patterns(self.features, self.params)
+        return G.path_patterns(self.features_seq, self.params)
 
     # ------------------------------------------------------------ placebo
     @cached_property

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 ARTEFACTS = ["features", "cem", "att_significance", "cohort_examples", "survival_rows", "survival_pairs",
              "survival_effects", "time_to_improve", "improvement_points", "placebo_bias", "pre_trend",
              "random_placebo", "profiles", "transition_graph", "path_support", "att_effects_solvers",
-             "balance_check"]
+             "balance_check", "path_patterns", "kaplan_meier"]
 
 
 @pytest.fixture(scope="module")
