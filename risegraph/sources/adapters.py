@@ -12,9 +12,11 @@ No shared table is a submissions log, so these adapters derive one with Spark
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.segments import index_hot_users, running_sum, strip
+from ..params import Params
 from ..schema import HANDLE, PID, PROBLEM_RATING, RATING, TIME, VERDICT
 from ..session import broadcast_if_small
 
@@ -44,7 +46,9 @@ def _case(col: F.Column, mapping: dict, default) -> F.Column:
     return expr.otherwise(F.lit(default))
 
 
-def submissions_from_events(events: DataFrame) -> DataFrame:
+def submissions_from_events(events: DataFrame, params: Params = Params()) -> DataFrame:
+    """``params`` supplies only the heavy-user thresholds of the walk."""
+    params = params.with_(order_by=(TIME,))
     kk = F.get_json_object("props", "$.k").cast("int") % 10
     e = events.select(
         F.col("user_id").cast("string").alias(HANDLE),
@@ -53,21 +57,29 @@ def submissions_from_events(events: DataFrame) -> DataFrame:
         kk.alias("kk"),
     )
     step = _case(F.col("event_type"), EVENT_STEP, EVENT_STEP_OTHER) + _case(F.col("kk"), K_STEP, 0)
-    walk = Window.partitionBy(HANDLE).orderBy(TIME).rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumn("step", step).select(
+    e = _walk(e.withColumn("step", step), params)
+    return e.select(
         HANDLE,
         TIME,
         F.concat(F.lit("P"), F.lpad(F.col("kk").cast("string"), 2, "0")).alias(PID),
         F.when(F.col("event_type").isin(*SOLVED_EVENTS), F.lit("OK"))
          .otherwise(F.lit("WRONG_ANSWER")).alias(VERDICT),
-        (F.lit(1500) + F.coalesce(F.sum("step").over(walk), F.lit(0))).cast("double").alias(RATING),
+        RATING,
         F.when(F.col("kk") == UNRATED_K, F.lit(None).cast("double"))
          .otherwise((F.lit(1000) + F.lit(100) * F.col("kk")).cast("double")).alias(PROBLEM_RATING),
     )
 
 
-def load_events_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return submissions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+def _walk(df: DataFrame, params: Params) -> DataFrame:
+    """rating = 1500 + sum of the steps of the user's earlier rows: a running
+    sum that stays parallel for heavy users (``segments.running_sum``)."""
+    df = running_sum(index_hot_users(df, params), "step", "_cum", params)
+    df = df.withColumn(RATING, (F.lit(1500) + F.col("_cum") - F.col("step")).cast("double"))
+    return strip(df).drop("_cum", "step")
+
+
+def load_events_submissions(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
+    return submissions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), params)
 
 
 # fixed values of the lineitem adapter: brand effects on the rating walk
@@ -75,12 +87,11 @@ BRAND_STEP = {"Brand#11": 15, "Brand#12": 8, "Brand#54": -8, "Brand#55": -15}
 UNRATED_BRAND = "Brand#33"
 
 
-def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame,
-                              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame, params: Params = Params()) -> DataFrame:
     """handle = supplier, problem = part brand, verdict OK unless returned,
     rating = 1500 + running sum of (discount points - 5) + a brand effect."""
     brands = part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    brands, _ = broadcast_if_small(brands, max_broadcast_rows)
+    brands, _ = broadcast_if_small(brands, params.broadcast_max_rows)
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                          "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     d = li.join(brands, "l_partkey", "left")
@@ -97,13 +108,9 @@ def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame,
         F.when(F.col("p_brand") == UNRATED_BRAND, F.lit(None).cast("double"))
          .otherwise((F.lit(800) + F.lit(40) * brand_no).cast("double")).alias(PROBLEM_RATING),
     )
-    walk = (Window.partitionBy(HANDLE).orderBy(*LINEITEM_ORDER)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn(
-        RATING, (F.lit(1500) + F.coalesce(F.sum("step").over(walk), F.lit(0))).cast("double")
-    ).drop("step")
+    return _walk(d, params.with_(order_by=LINEITEM_ORDER))
 
 
-def load_lineitem_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_lineitem_submissions(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
     return submissions_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
-                                     spark.read.parquet(f"{sf_dir}/part.parquet"))
+                                     spark.read.parquet(f"{sf_dir}/part.parquet"), params)

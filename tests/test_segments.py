@@ -53,3 +53,10 @@ def test_index_is_exact(spark):
 def test_recommendations_equal(pair):
     plain, seg = pair
     assert rows(plain.recommendations(False)) == rows(seg.recommendations(False))
+
+
+def test_adapter_walk_segmented_equals_plain(spark):
+    plain = load_events_submissions(spark, SF, SMALL.with_(hot_user_rows=None))
+    seg = load_events_submissions(spark, SF, SMALL.with_(hot_user_rows=40, segment_rows=45))
+    assert plain.columns == seg.columns
+    assert rows(plain) == rows(seg)
