@@ -396,7 +396,36 @@ def dtier(c: str) -> str:
     return f"CASE WHEN {c} <= 1400 THEN 'easy' WHEN {c} <= 1700 THEN 'medium' ELSE 'hard' END"
 
 
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``round(<expr>, 6)`` as ``(round(<expr>, 6) + 0.0)``: DuckDB
+    rounds tiny negatives to -0.0, Spark to 0.0."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        body = _positive_zero(inner)
+        call = f"round({body})"
+        out.append(sql[i:j])
+        out.append(f"({call} + 0.0)" if inner.rstrip().endswith(f", {R6}") else call)
+        i = k
+
+
 def queries() -> dict[str, str]:
+    return {k: _positive_zero(v) for k, v in _queries().items()}
+
+
+def _queries() -> dict[str, str]:
     q = {}
     q["clean_submissions"] = (with_(SUBS, CLEAN.format(lo=1200))
                               + f"SELECT {rnd(SUB_COLS)} FROM clean")
@@ -612,6 +641,7 @@ def queries() -> dict[str, str]:
       SELECT handle, rec_rank, problem_id, 'Unknown Problem' AS title, 0 AS n_tags,
              {dtier('estimated_difficulty')} AS difficulty_tier, uplift > 50 AS high_impact,
              CASE WHEN p_value < 0.001 THEN 'Very High' ELSE 'High' END AS confidence,
+             CASE WHEN median_time_to_improve >= 0 THEN round(median_time_to_improve / 10) END AS days_to_improve,
              substring(problem_id, 1, length(problem_id) - 1) AS contest_id,
              substring(problem_id, length(problem_id), 1) AS problem_index
       FROM recs"""

@@ -51,14 +51,18 @@ def index_hot_users(subs: DataFrame, params: Params) -> DataFrame:
     no user is above the threshold (the common case costs one aggregate)."""
     if params.hot_user_rows is None:
         return subs
-    # a user above the threshold holds > hot_user_rows rows, so this table has
-    # fewer than rows / hot_user_rows entries: checked before broadcasting
-    hot, small = broadcast_if_small(hot_users(subs, params), params.broadcast_max_rows)
+    # one job computes and caches the hot users and their totals; a user above
+    # the threshold holds > hot_user_rows rows, so the table has fewer than
+    # rows / hot_user_rows entries, and its size is checked before broadcasting
+    hot = materialize(hot_users(subs, params), "persist")
     stats = hot.agg(F.count(F.lit(1)).alias("users"), F.sum("_n").alias("rows")).first()
     if not stats["users"]:
+        hot.unpersist()
         return subs
     seg_rows = params.segment_rows
     keys = hot.select(HANDLE)
+    if stats["users"] <= params.broadcast_max_rows:
+        keys = F.broadcast(keys)
     plain = subs.join(keys, HANDLE, "left_anti").withColumns(
         {SEG: F.lit(0).cast("long"), IDX: F.lit(None).cast("long")})
     h = subs.join(keys, HANDLE, "left_semi").withColumn("_in", F.monotonically_increasing_id())

@@ -192,8 +192,9 @@ def user_tiers(profiles: DataFrame) -> DataFrame:
 
 
 def enrich(recs: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
-    """title/tags from a problem dimension (id, title, tags as
-    'a, b'), difficulty tier, impact flag, confidence label, problem link parts."""
+    """title/tags from a problem dimension (id, title, tags as
+    'a, b'), difficulty tier, impact flag, confidence label, day estimate,
+    problem link parts."""
     if dimension is not None:
         dim = dimension.select(F.col(PID).cast("string").alias("problem_id"), "title", "tags")
         recs = recs.join(dim, "problem_id", "left")
@@ -206,6 +207,9 @@ def enrich(recs: DataFrame, dimension: DataFrame | None = None) -> DataFrame:
         "difficulty_tier": difficulty_tier(F.col("estimated_difficulty")),
         "high_impact": F.col("uplift") > 50,
         "confidence": F.when(F.col("p_value") < 0.001, F.lit("Very High")).otherwise(F.lit("High")),
+        # U4: the UI's rough day estimate, median submissions / 10 (none when unknown)
+        "days_to_improve": F.when(F.col("median_time_to_improve") >= 0,
+                                  F.round(F.col("median_time_to_improve") / 10)),
         "contest_id": F.expr("substring(problem_id, 1, length(problem_id) - 1)"),
         "problem_index": F.expr("substring(problem_id, length(problem_id), 1)"),
     })

@@ -274,7 +274,8 @@ def _details(a: Analysis) -> DataFrame:
 def _enriched(a: Analysis) -> DataFrame:
     e = R.enrich(a.recommendations(significant_only=False))
     return e.select("handle", "rec_rank", "problem_id", "title", F.size("tags").alias("n_tags"),
-                    "difficulty_tier", "high_impact", "confidence", "contest_id", "problem_index")
+                    "difficulty_tier", "high_impact", "confidence", "days_to_improve", "contest_id",
+                    "problem_index")
 
 
 @register("user_tiers")
