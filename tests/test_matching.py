@@ -99,3 +99,28 @@ def test_cohort_examples_top_k_with_ties(spark):
     sig = feats.sparkSession.createDataFrame([("X",)], "id_of_submission_task string")
     out = C.cohort_examples(feats, sig, Params(cohort_k=2)).collect()
     assert [(r.handle, r.rating_gain) for r in out] == [("u1", 100.0), ("u2", 100.0)]
+
+
+def test_short_history_has_no_outcome(spark):
+    # fewer than history + future + 1 rows: features exist, no future outcome, no effect rows
+    from risegraph.operators.features import user_features
+    from risegraph.operators.metadata import problem_metadata
+    from .conftest import subs
+    s = subs(spark, [("u", t, 1500.0 + t, "P", 1000.0, "OK") for t in range(40)])
+    f = user_features(s, problem_metadata(s), Params())
+    assert f.count() == 20
+    assert C.cem_input(f, Params()).count() == 0
+
+
+def test_solver_contrast_leave_one_out_reconstructs_totals(spark):
+    rnd = random.Random(9)
+    rows = [row(f"u{i % 7}", i, rnd.choice("AB"), rnd.randint(-50, 80), (15, 5, 7),
+                rnd.choice(["OK", "WA"])) for i in range(300)]
+    cem = cem_frame(spark, rows)
+    out = {r.id_of_submission_task: r for r in C.att_effects_solvers(cem, P).collect()}
+    for pid in "AB":
+        t = [r[8] for r in rows if r[2] == pid and r[3] == "OK"]
+        c = [r[8] for r in rows if not (r[2] == pid and r[3] == "OK")]
+        assert len(t) + len(c) == len(rows)
+        assert out[pid].att_score == pytest.approx(sum(t) / len(t) - sum(c) / len(c), abs=1e-9)
+        assert out[pid].total_treated_samples == len(t)
