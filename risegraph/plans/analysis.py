@@ -80,7 +80,8 @@ class Analysis:
         """Submissions with heavy users' histories cut into segments plus halo
         rows (unchanged when no user is above ``params.hot_user_rows``)."""
         back, fwd = halo_width(self.params)
-        seq = with_halo(index_hot_users(self.submissions, self.params), self.params, back, fwd)
+        probe = self._raw if self._clean else None
+        seq = with_halo(index_hot_users(self.submissions, self.params, probe=probe), self.params, back, fwd)
         if is_segmented(seq):
             # written once: every consumer reads it instead of inlining the index plan
             seq = materialize(seq, "checkpoint")
