@@ -3,8 +3,8 @@
 Runs every query fully (``write.format("noop")``: the whole plan executes, no
 rows are collected) on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]``; after one warm-up pass each query is timed
-``$BENCH_REPEATS`` times (default 3) and the median is reported. Prints one
-JSON line.
+``$BENCH_REPEATS`` times (default 3), with the cache cleared before every
+run, and the median is reported. Prints one JSON line.
 
 Two inputs: ``ev_*`` queries use the events adapter (SURVEY §5.1, cell
 minimum 5), ``li_*`` queries the heavier lineitem adapter (600 rows per
@@ -74,6 +74,8 @@ def main() -> None:
     for name, build in plans.items():
         runs = []
         for _ in range(repeats):
+            # no run may read tables cached by an earlier one (identical plans share cache entries)
+            spark.catalog.clearCache()
             t = time.perf_counter()
             df = build()  # plan construction (size checks, checkpoints) counts as part of the query
             timed(df)

@@ -64,7 +64,7 @@ class Analysis:
     # ------------------------------------------------------------ metadata
     @cached_property
     def metadata(self) -> DataFrame:
-        return problem_metadata(self.submissions, self.params)
+        return self._m(problem_metadata(self.submissions, self.params))
 
     @cached_property
     def metadata_summary(self) -> DataFrame:

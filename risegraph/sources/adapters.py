@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.segments import index_hot_users, running_sum, strip
 from ..params import Params
 from ..schema import HANDLE, PID, PROBLEM_RATING, RATING, TIME, VERDICT
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 
 # fixed values of the events adapter: rating step by event type and by k % 10
@@ -78,8 +78,15 @@ def _walk(df: DataFrame, params: Params) -> DataFrame:
     return strip(df).drop("_cum", "step")
 
 
+def _view(df: DataFrame) -> DataFrame:
+    """The derived view is read by several jobs of one analysis (size checks,
+    then the main plan): cache it so the scan, join and walk run once. A
+    production log is a Parquet table and needs no such view."""
+    return materialize(df, "persist")
+
+
 def load_events_submissions(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
-    return submissions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), params)
+    return _view(submissions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), params))
 
 
 # fixed values of the lineitem adapter: brand effects on the rating walk
@@ -112,5 +119,5 @@ def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame, params: Para
 
 
 def load_lineitem_submissions(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
-    return submissions_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
-                                     spark.read.parquet(f"{sf_dir}/part.parquet"), params)
+    return _view(submissions_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+                                           spark.read.parquet(f"{sf_dir}/part.parquet"), params))
