@@ -27,6 +27,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # let AQE coalesce the partitions of cached tables too (performance only)
+        "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # long DAGs print long plans; cap the string kept for explain/events
         "spark.sql.maxPlanStringLength": str(4 * 1024 * 1024),

@@ -17,6 +17,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.driver.memory", "6g")
+         .config("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
          .config("spark.sql.maxPlanStringLength", str(4 * 1024 * 1024))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
