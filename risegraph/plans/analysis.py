@@ -81,16 +81,21 @@ class Analysis:
         rows (unchanged when no user is above ``params.hot_user_rows``)."""
         back, fwd = halo_width(self.params)
         probe = self._raw if self._clean else None
-        seq = with_halo(index_hot_users(self.submissions, self.params, probe=probe), self.params, back, fwd)
-        if is_segmented(seq):
-            # written once: every consumer reads it instead of inlining the index plan
-            seq = materialize(seq, "checkpoint")
-        return seq
+        # heavy users' rows are already pinned by a checkpoint inside the index
+        # (a compact scan); other users' rows stay a lazy read of the input
+        return with_halo(index_hot_users(self.submissions, self.params, probe=probe), self.params, back, fwd)
 
     @cached_property
     def features_seq(self) -> DataFrame:
-        """Features on the segmented frame (for operators with bounded frames)."""
-        return self._m(user_features(self.sequenced, self.difficulty, self.params))
+        """Features on the segmented frame (for operators with bounded frames).
+
+        With heavy users present the features are written once to the shared
+        checkpoint folder: every consumer starts from them, so the windows run
+        once and each consumer's plan starts from a compact scan."""
+        f = user_features(self.sequenced, self.difficulty, self.params)
+        if is_segmented(f):
+            return materialize(f, "checkpoint")
+        return self._m(f)
 
     @cached_property
     def features(self) -> DataFrame:
