@@ -18,7 +18,6 @@ from ..params import SMALL, Params
 from ..schema import PID
 from ..sources.adapters import load_events_submissions
 from ..sources.ingest import profile
-from ..operators import matching as C
 from ..operators import recommend as R
 from .analysis import Analysis
 
