@@ -259,13 +259,14 @@ GRAPH = """graph AS (
   SELECT *, transition_count / sum(transition_count) OVER (PARTITION BY source_problem)
             AS transition_probability
   FROM (
-    SELECT source_problem, target_problem, count(*) AS transition_count, avg(gap_size) AS avg_gap
+    SELECT source_problem, target_problem, count(*) AS transition_count, avg(gap_size) AS avg_gap,
+           count(DISTINCT handle) AS distinct_users
     FROM (
-      SELECT pid AS source_problem, lead(pid, 1) OVER w AS target_problem, 1 AS gap_size FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT pid, lead(pid, 2) OVER w, 2 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT pid, lead(pid, 3) OVER w, 3 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT pid, lead(pid, 4) OVER w, 4 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT pid, lead(pid, 5) OVER w, 5 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time))
+      SELECT handle, pid AS source_problem, lead(pid, 1) OVER w AS target_problem, 1 AS gap_size FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT handle, pid, lead(pid, 2) OVER w, 2 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT handle, pid, lead(pid, 3) OVER w, 3 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT handle, pid, lead(pid, 4) OVER w, 4 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
+      UNION ALL SELECT handle, pid, lead(pid, 5) OVER w, 5 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time))
     WHERE target_problem IS NOT NULL
     GROUP BY source_problem, target_problem
     HAVING count(*) >= 10))"""
@@ -579,7 +580,7 @@ def _queries() -> dict[str, str]:
     # G P X9
     q["transition_graph"] = with_(*CORE, SOL, GRAPH) + """
       SELECT source_problem, target_problem, transition_count, round(avg_gap, 6) AS avg_gap,
-             round(transition_probability, 6) AS transition_probability FROM graph"""
+             distinct_users, round(transition_probability, 6) AS transition_probability FROM graph"""
     q["improvement_points"] = with_(*CORE, IPTS) + """
       SELECT handle, time, id_of_submission_task, round(rating_at_submission, 6) AS rating_at_submission
       FROM ipts WHERE improved"""

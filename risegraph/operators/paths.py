@@ -40,18 +40,22 @@ def transition_pairs(solved: DataFrame, params: Params = Params()) -> DataFrame:
     w = user_window(params, df=solved)
     nxt = F.array(*[F.lead(PID, g).over(w) for g in range(1, params.transition_window + 1)])
     keep = [HALO] if HALO in solved.columns else []
-    s = drop_halo(solved.select(F.col(PID).alias("source_problem"), nxt.alias("_next"), *keep))
-    s = s.select("source_problem", F.posexplode("_next").alias("_pos", "target_problem"))
+    s = drop_halo(solved.select(HANDLE, F.col(PID).alias("source_problem"), nxt.alias("_next"), *keep))
+    s = s.select(HANDLE, "source_problem", F.posexplode("_next").alias("_pos", "target_problem"))
     return s.filter(F.col("target_problem").isNotNull()).select(
-        "source_problem", "target_problem", (F.col("_pos") + 1).alias("gap_size"))
+        HANDLE, "source_problem", "target_problem", (F.col("_pos") + 1).alias("gap_size"))
 
 
 def transition_graph(features: DataFrame, params: Params = Params()) -> DataFrame:
-    """Edge count and mean gap, kept at >= min count, probability within source."""
+    """Edge count and mean gap, kept at >= min count, probability within source.
+
+    ``distinct_users`` (how many users make the transition) is reported but,
+    as in the reference, the filter counts occurrences (D14)."""
     pairs = transition_pairs(solved_history(features, params), params)
     edges = pairs.groupBy("source_problem", "target_problem").agg(
         F.count(F.lit(1)).alias("transition_count"),
         F.avg("gap_size").alias("avg_gap"),
+        F.count_distinct(HANDLE).alias("distinct_users"),
     ).filter(F.col("transition_count") >= F.lit(params.min_transition_count))
     out_deg = Window.partitionBy("source_problem")
     return edges.withColumn("transition_probability",

@@ -43,3 +43,19 @@ def test_incremental_ingest_skips_seen_files(spark):
     second.coalesce(2).write.json(f"{src}/part2")
     incremental_ingest(spark, f"{src}/*", tgt, ckpt)
     assert spark.read.parquet(tgt).count() == subs.count()
+
+
+def test_ingest_json_skips_existing_target(spark):
+    from risegraph.sources.ingest import clean_submissions, ingest, profile
+    from risegraph.streaming.ingest import RAW_SUBMISSIONS
+    root = tempfile.mkdtemp(prefix="risegraph-ingest-")
+    subs = load_events_submissions(spark, SF)
+    subs.write.json(f"{root}/raw")
+    out = ingest(spark, f"{root}/raw", f"{root}/pq", "json", schema=RAW_SUBMISSIONS)
+    assert out.count() == subs.count()
+    # an existing target is left alone (the reference's skip-if-present)
+    subs.limit(5).write.mode("overwrite").json(f"{root}/raw")
+    assert ingest(spark, f"{root}/raw", f"{root}/pq", "json", schema=RAW_SUBMISSIONS).count() == subs.count()
+    prof = {r.column_name: r for r in profile(clean_submissions(out)).collect()}
+    assert prof["problem_rating"].null_count == subs.filter("problem_rating IS NULL").count()
+    assert prof["handle"].n_rows == subs.count()
