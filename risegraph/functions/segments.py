@@ -72,7 +72,7 @@ def index_hot_users(subs: DataFrame, params: Params, probe: DataFrame | None = N
     plain = subs.join(keys, HANDLE, "left_anti").withColumns(
         {SEG: F.lit(0).cast("long"), IDX: F.lit(None).cast("long")})
     h = subs.join(keys, HANDLE, "left_semi").withColumn("_in", F.monotonically_increasing_id())
-    n_parts = max(1, math.ceil(stats["rows"] / seg_rows))
+    n_parts = max(1, math.ceil(stats["rows"] / max(params.index_partition_rows, 1)))
     order = [HANDLE, *params.order_by, "_in"]
     h = h.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     h = h.withColumn("_mid", F.monotonically_increasing_id())

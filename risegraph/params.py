@@ -71,6 +71,9 @@ class Params:
     # segment_rows rows (None: never); see functions.segments
     hot_user_rows: int | None = 5_000_000
     segment_rows: int = 1_000_000
+    # rows per range partition when heavy users are indexed (fewer, larger
+    # partitions than segments keep the shuffle's bookkeeping small)
+    index_partition_rows: int = 8_000_000
     extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "Params":

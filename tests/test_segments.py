@@ -23,7 +23,7 @@ ARTEFACTS = ["features", "cem", "att_significance", "cohort_examples", "survival
 @pytest.fixture(scope="module")
 def pair(spark):
     plain = Analysis(load_events_submissions(spark, SF), SMALL.with_(hot_user_rows=None))
-    seg = Analysis(load_events_submissions(spark, SF), SMALL.with_(hot_user_rows=40, segment_rows=45))
+    seg = Analysis(load_events_submissions(spark, SF), SMALL.with_(hot_user_rows=40, segment_rows=45, index_partition_rows=70))
     return plain, seg
 
 
@@ -41,7 +41,7 @@ def test_segmented_equals_plain(pair, name):
 
 def test_index_is_exact(spark):
     subs = load_events_submissions(spark, SF)
-    idx = index_hot_users(subs, SMALL.with_(hot_user_rows=40, segment_rows=45))
+    idx = index_hot_users(subs, SMALL.with_(hot_user_rows=40, segment_rows=45, index_partition_rows=70))
     assert idx.filter(F.col(IDX).isNull()).count() == 0
     from pyspark.sql import Window
     rn = F.row_number().over(Window.partitionBy("handle").orderBy("time")) - 1
@@ -57,6 +57,6 @@ def test_recommendations_equal(pair):
 
 def test_adapter_walk_segmented_equals_plain(spark):
     plain = load_events_submissions(spark, SF, SMALL.with_(hot_user_rows=None))
-    seg = load_events_submissions(spark, SF, SMALL.with_(hot_user_rows=40, segment_rows=45))
+    seg = load_events_submissions(spark, SF, SMALL.with_(hot_user_rows=40, segment_rows=45, index_partition_rows=70))
     assert plain.columns == seg.columns
     assert rows(plain) == rows(seg)
