@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app: str = "risegraph") -> SparkSession:
+                  app: str = "risegraph", extra_conf: dict | None = None) -> SparkSession:
     """A session with AQE, skew-join handling and UTC; UI off.
 
     On a cluster pass ``master=None`` and let spark-submit decide everything
@@ -37,6 +37,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "16g")
+    conf.update(extra_conf or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
