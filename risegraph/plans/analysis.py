@@ -80,10 +80,12 @@ class Analysis:
         """Submissions with heavy users' histories cut into segments plus halo
         rows (unchanged when no user is above ``params.hot_user_rows``)."""
         back, fwd = halo_width(self.params)
-        probe = self._raw if self._clean else None
-        # heavy users' rows are already pinned by a checkpoint inside the index
-        # (a compact scan); other users' rows stay a lazy read of the input
-        return with_halo(index_hot_users(self.submissions, self.params, probe=probe), self.params, back, fwd)
+        hot = self.params.hot_user_rows
+        if hot is None or self.max_history <= hot:
+            return self.submissions  # nobody is heavy: plain per-user windows
+        # heavy users' rows are pinned by a checkpoint inside the index (a
+        # compact scan); other users' rows stay a lazy read of the input
+        return with_halo(index_hot_users(self.submissions, self.params), self.params, back, fwd)
 
     @cached_property
     def features_seq(self) -> DataFrame:
@@ -194,9 +196,12 @@ class Analysis:
 
     @cached_property
     def max_history(self) -> int:
-        """Longest user history (one scalar; an upper bound for the feature rows)."""
+        """Longest user history in the raw input: one scalar aggregate that reads
+        only the handle column. Cleaning only removes rows, so it bounds the
+        cleaned histories too; it decides heavy-user splitting and the number
+        of block levels of the time-to-improve search."""
         from pyspark.sql import functions as F
-        n = self.submissions.groupBy("handle").count().agg(F.max("count")).first()[0]
+        n = self._raw.select("handle").groupBy("handle").count().agg(F.max("count")).first()[0]
         return int(n or 0)
 
     @cached_property
