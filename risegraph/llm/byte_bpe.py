@@ -193,7 +193,10 @@ class ByteBpe:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-coder = functools.cache(ByteBpe)
+@functools.cache
+def coder(path: str, pattern: str) -> ByteBpe:
+    """One per worker."""
+    return ByteBpe(path, pattern)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
