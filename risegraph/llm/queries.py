@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, packing, pii, quality, warc
+from . import byte_bpe, exact_dedup, html_text, ngram_join, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_html_text, op5_pii, op7_byte_bpe, op8_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op7_byte_bpe, op8_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
