@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, html_text, ngram_join, packing, pii, quality, warc
+from . import byte_bpe, class_lm, exact_dedup, html_text, ngram_join, packing, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
@@ -55,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op7_byte_bpe, op8_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op6_class_lm, op7_byte_bpe, op8_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
