@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, class_lm, exact_dedup, html_text, ngram_join, packing, pii, quality, warc
+from . import byte_bpe, class_lm, exact_dedup, html_text, ngram_join, packing, passages, pii, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,12 +54,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op6_class_lm, op7_byte_bpe, op8_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op6_class_lm, op7_byte_bpe, op8_warc, op9_passages, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
