@@ -122,18 +122,17 @@ class Inflated:
         self.source, self.inflater, self.held, self.over = source, zlib.decompressobj(31), b"", False
 
     def _more(self) -> bool:
-        data = self.inflater.unconsumed_tail
-        if not data:
-            if self.inflater.eof:  # a further member
-                data = self.inflater.unused_data or self.source.read(CHUNK)
-                if not data:
-                    return False
-                self.inflater = zlib.decompressobj(31)
-            else:
-                data = self.source.read(CHUNK)
-                if not data:
-                    raise EOFError("the archive ends inside a gzip member")
-        self.held += self.inflater.decompress(data, CHUNK)
+        if self.inflater.eof:  # a further member
+            data = self.inflater.unused_data or self.source.read(CHUNK)
+            if not data:
+                return False
+            self.inflater = zlib.decompressobj(31)
+        else:
+            data = self.inflater.unconsumed_tail or self.source.read(CHUNK)
+        got = self.inflater.decompress(data, CHUNK)
+        if not (data or got or self.inflater.eof):
+            raise EOFError("the archive ends inside a gzip member")
+        self.held += got
         return True
 
     def until(self, mark: bytes) -> bytes:
