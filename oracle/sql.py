@@ -31,7 +31,7 @@ SUBS = """subs AS (
   SELECT handle, time,
          'P' || lpad(CAST(kk AS VARCHAR), 2, '0') AS id_of_submission_task,
          CASE WHEN event_type IN ('purchase', 'signup') THEN 'OK' ELSE 'WRONG_ANSWER' END AS verdict,
-         CAST(1500 + coalesce(sum(step) OVER (PARTITION BY handle ORDER BY time
+         CAST(1500 + coalesce(sum(step) OVER (PARTITION BY handle ORDER BY time, kk NULLS FIRST, event_type NULLS FIRST
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rating_at_submission,
          CASE WHEN kk = 7 THEN NULL ELSE CAST(1000 + 100 * kk AS DOUBLE) END AS problem_rating
   FROM d)"""
@@ -73,12 +73,12 @@ FEAT = """feat AS (
       CASE WHEN count(*) OVER h = 20 THEN count(*) OVER h END AS roll_sub_cnt_20,
       rating_at_submission - lag(rating_at_submission) OVER w AS d
     FROM j
-    WINDOW w AS (PARTITION BY handle ORDER BY time),
-           h AS (PARTITION BY handle ORDER BY time ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    WINDOW w AS (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST),
+           h AS (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
   r2 AS (
     SELECT *,
-      CASE WHEN count(d) OVER (PARTITION BY handle ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20
-           THEN avg(d) OVER (PARTITION BY handle ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+      CASE WHEN count(d) OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20
+           THEN avg(d) OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
       END AS roll_rating_delta_20
     FROM r)
   SELECT handle, time, id_of_submission_task, verdict, rating_at_submission, problem_rating,
@@ -98,7 +98,7 @@ CEM = """cem AS (
   FROM (
     SELECT *, future_rating_20 - rating_at_submission AS rating_gain_20,
            CAST(future_rating_20 - rating_at_submission > 0 AS INTEGER) AS improved_20
-    FROM (SELECT *, lead(rating_at_submission, 20) OVER (PARTITION BY handle ORDER BY time) AS future_rating_20
+    FROM (SELECT *, lead(rating_at_submission, 20) OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST) AS future_rating_20
           FROM feat))
   WHERE rating_gain_20 IS NOT NULL)"""
 
@@ -213,9 +213,9 @@ SROWS = """srows AS (
   FROM (
     SELECT *, CAST(verdict = 'OK' AS INTEGER) AS is_solve,
            last_value(CASE WHEN verdict = 'OK' THEN rating_at_submission END IGNORE NULLS)
-             OVER (PARTITION BY handle ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
              AS rating_at_solve,
-           CAST(row_number() OVER (PARTITION BY handle ORDER BY time) - 1 AS BIGINT) AS submission_idx
+           CAST(row_number() OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST) - 1 AS BIGINT) AS submission_idx
     FROM feat)
   WHERE rating_at_solve IS NOT NULL)"""
 
@@ -242,7 +242,7 @@ surv AS (
 # T8 by brute force: for each first solve, the first later row reaching the solve rating + 50
 TTI = """trows AS (
   SELECT handle, id_of_submission_task, verdict, rating_at_submission,
-         CAST(row_number() OVER (PARTITION BY handle ORDER BY time) - 1 AS BIGINT) AS idx FROM feat),
+         CAST(row_number() OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST) - 1 AS BIGINT) AS idx FROM feat),
 tq AS (SELECT handle, id_of_submission_task, min(idx) AS solve_idx,
               arg_min(rating_at_submission, idx) AS solve_rating
        FROM trows WHERE verdict = 'OK' GROUP BY ALL),
@@ -253,7 +253,7 @@ tti AS (
   FROM tq q)"""
 
 # ---------------------------------------------------------------- graph and paths
-SOL = """sol AS (SELECT handle, time, id_of_submission_task AS pid FROM feat WHERE verdict = 'OK')"""
+SOL = """sol AS (SELECT handle, time, id_of_submission_task AS pid, rating_at_submission, problem_rating FROM feat WHERE verdict = 'OK')"""
 
 GRAPH = """graph AS (
   SELECT *, transition_count / sum(transition_count) OVER (PARTITION BY source_problem)
@@ -262,20 +262,20 @@ GRAPH = """graph AS (
     SELECT source_problem, target_problem, count(*) AS transition_count, avg(gap_size) AS avg_gap,
            count(DISTINCT handle) AS distinct_users
     FROM (
-      SELECT handle, pid AS source_problem, lead(pid, 1) OVER w AS target_problem, 1 AS gap_size FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT handle, pid, lead(pid, 2) OVER w, 2 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT handle, pid, lead(pid, 3) OVER w, 3 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT handle, pid, lead(pid, 4) OVER w, 4 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)
-      UNION ALL SELECT handle, pid, lead(pid, 5) OVER w, 5 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time))
+      SELECT handle, pid AS source_problem, lead(pid, 1) OVER w AS target_problem, 1 AS gap_size FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)
+      UNION ALL SELECT handle, pid, lead(pid, 2) OVER w, 2 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)
+      UNION ALL SELECT handle, pid, lead(pid, 3) OVER w, 3 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)
+      UNION ALL SELECT handle, pid, lead(pid, 4) OVER w, 4 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)
+      UNION ALL SELECT handle, pid, lead(pid, 5) OVER w, 5 FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST))
     WHERE target_problem IS NOT NULL
     GROUP BY source_problem, target_problem
     HAVING count(*) >= 10))"""
 
 IPTS = """ipts AS (
   SELECT *, CASE WHEN count(d) OVER t = 20 THEN sum(d) OVER t END >= 100 AS improved
-  FROM (SELECT *, rating_at_submission - lag(rating_at_submission) OVER (PARTITION BY handle ORDER BY time) AS d
+  FROM (SELECT *, rating_at_submission - lag(rating_at_submission) OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST) AS d
         FROM feat)
-  WINDOW t AS (PARTITION BY handle ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+  WINDOW t AS (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
 # brute force: every (point, earlier solve) pair, keep the 3 latest
 PATHS = """paths AS (
@@ -283,7 +283,8 @@ PATHS = """paths AS (
   FROM (
     SELECT pid AS id_of_submission_task, count(*) AS support
     FROM (
-      SELECT s.pid, row_number() OVER (PARTITION BY p.handle, p.time ORDER BY s.time DESC) AS rk
+      SELECT s.pid, row_number() OVER (PARTITION BY p.handle, p.time ORDER BY s.time DESC, s.pid DESC NULLS LAST,
+             s.rating_at_submission DESC, s.problem_rating DESC NULLS LAST) AS rk
       FROM ipts p JOIN sol s ON s.handle = p.handle AND s.time < p.time
       WHERE p.improved)
     WHERE rk <= 3
@@ -317,7 +318,7 @@ def bias_sql(src: str, extra: str, name: str) -> str:
 
 
 PLACEBO_SRC = """plsrc AS (
-  SELECT *, rating_at_submission - lag(rating_at_submission, 20) OVER (PARTITION BY handle ORDER BY time)
+  SELECT *, rating_at_submission - lag(rating_at_submission, 20) OVER (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)
             AS placebo_gain FROM feat)"""
 
 PRETREND_SRC = """ptsrc AS (
@@ -326,12 +327,12 @@ PRETREND_SRC = """ptsrc AS (
                  rating_at_submission - lag(rating_at_submission, 10) OVER w,
                  rating_at_submission - lag(rating_at_submission, 15) OVER w,
                  rating_at_submission - lag(rating_at_submission, 20) OVER w]) AS placebo_gain
-  FROM feat WINDOW w AS (PARTITION BY handle ORDER BY time))"""
+  FROM feat WINDOW w AS (PARTITION BY handle ORDER BY time, id_of_submission_task NULLS FIRST, verdict NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST))"""
 
 RFEAT = """rfeat AS (
-  SELECT * REPLACE ('R' || lpad(CAST(
+  SELECT * REPLACE ('R' || CAST(
       CAST(('0x' || substr(md5(handle || ':' || CAST(time AS VARCHAR)), 1, 8)) AS BIGINT)
-      % (SELECT count(DISTINCT id_of_submission_task) FROM feat) AS VARCHAR), 2, '0') AS id_of_submission_task)
+      % (SELECT count(*) FROM meta) AS VARCHAR) AS id_of_submission_task)
   FROM feat)"""
 
 # ---------------------------------------------------------------- recommender
@@ -428,7 +429,7 @@ def queries() -> dict[str, str]:
 
 def _queries() -> dict[str, str]:
     q = {}
-    q["clean_submissions"] = (with_(SUBS, CLEAN.format(lo=1200))
+    q["clean_submissions"] = (with_(SUBS, CLEAN.format(lo=800))
                               + f"SELECT {rnd(SUB_COLS)} FROM clean")
     cols = ["handle", "time", "id_of_submission_task", "verdict", "rating_at_submission", "problem_rating"]
     q["profile_submissions"] = with_(*CORE[:2]) + " UNION ALL ".join(
@@ -588,7 +589,7 @@ def _queries() -> dict[str, str]:
       SELECT id_of_submission_task, support, round(sequence_confidence, 6) AS sequence_confidence FROM paths"""
     q["path_patterns"] = with_(*CORE, SOL) + """,
       tri AS (SELECT pid AS first, lead(pid, 1) OVER w AS second, lead(pid, 2) OVER w AS third
-              FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time)),
+              FROM sol WINDOW w AS (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST)),
       pr AS (SELECT first, second, count(*) AS pair_support FROM tri WHERE second IS NOT NULL GROUP BY ALL),
       tr AS (SELECT first, second, third, count(*) AS support FROM tri WHERE third IS NOT NULL
              GROUP BY ALL HAVING count(*) >= 5)

@@ -46,17 +46,13 @@ def hot_users(subs: DataFrame, params: Params) -> DataFrame:
             .filter(F.col("_n") > F.lit(params.hot_user_rows)))
 
 
-def index_hot_users(subs: DataFrame, params: Params, probe: DataFrame | None = None) -> DataFrame:
+def index_hot_users(subs: DataFrame, params: Params) -> DataFrame:
     """Add ``_seg`` / ``_idx`` (see module doc). Returns ``subs`` unchanged when
     no user is above the threshold (the common case costs one aggregate).
 
-    ``probe``: a superset of ``subs``' rows per user (e.g. the input before
-    cleaning); when no user is heavy there, none is in ``subs``. Only its
-    handle column is read, so upstream projections and windows are pruned."""
+    """
     if params.hot_user_rows is None:
         return subs
-    if probe is not None and hot_users(probe.select(HANDLE), params).limit(1).count() == 0:
-        return subs
     # one job computes and caches the hot users and their totals; a user above
     # the threshold holds > hot_user_rows rows, so the table has fewer than
     # rows / hot_user_rows entries, and its size is checked before broadcasting

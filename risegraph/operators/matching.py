@@ -155,11 +155,6 @@ def significant(att_sig: DataFrame, params: Params = Params()) -> DataFrame:
     return att_sig.filter(F.col("p_value") < F.lit(params.p_threshold))
 
 
-def top_att(att_sig: DataFrame, k: int) -> DataFrame:
-    """C10/R6 report: the k largest ATT scores (a top-k, so the limit is the feature)."""
-    return att_sig.orderBy(F.desc_nulls_last("att_score"), F.asc(PID)).limit(k)
-
-
 def cohort_examples(cem_rows: DataFrame, sig: DataFrame, params: Params = Params()) -> DataFrame:
     """C11: up to k best gainers per significant problem.
 
@@ -169,7 +164,8 @@ def cohort_examples(cem_rows: DataFrame, sig: DataFrame, params: Params = Params
     """
     on = outcome_names(params)
     rows = cem_rows.filter(F.col(on["gain"]) > 0).join(sig.select(PID), PID, "left_semi")
-    w = Window.partitionBy(PID).orderBy(F.desc(on["gain"]), F.asc(HANDLE), *[F.asc(c) for c in params.order_by])
+    w = Window.partitionBy(PID).orderBy(F.desc(on["gain"]), F.asc(HANDLE),
+                                        *[F.asc(c) for c in params.order_by if c in cem_rows.columns])
     rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= params.cohort_k)
     return rows.select(HANDLE, PID, F.col(RATING).alias("rating_before"),
                        F.col(on["future"]).alias("rating_after"), F.col(on["gain"]).alias("rating_gain"))

@@ -52,10 +52,13 @@ def transition_graph(features: DataFrame, params: Params = Params()) -> DataFram
     ``distinct_users`` (how many users make the transition) is reported but,
     as in the reference, the filter counts occurrences (D14)."""
     pairs = transition_pairs(solved_history(features, params), params)
-    edges = pairs.groupBy("source_problem", "target_problem").agg(
-        F.count(F.lit(1)).alias("transition_count"),
-        F.avg("gap_size").alias("avg_gap"),
-        F.count_distinct(HANDLE).alias("distinct_users"),
+    # by user first, where the rows already are; then one row per user and edge moves
+    own = pairs.groupBy(HANDLE, "source_problem", "target_problem").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gap_size").alias("gaps"))
+    edges = own.groupBy("source_problem", "target_problem").agg(
+        F.sum("n").alias("transition_count"),
+        (F.sum("gaps") / F.sum("n")).alias("avg_gap"),
+        F.count(F.lit(1)).alias("distinct_users"),
     ).filter(F.col("transition_count") >= F.lit(params.min_transition_count))
     out_deg = Window.partitionBy("source_problem")
     return edges.withColumn("transition_probability",
@@ -74,25 +77,25 @@ def preceding_solves(features: DataFrame, params: Params = Params()) -> DataFram
     """For every improvement point, the last ``path_len`` solves with a time
     strictly earlier, as (handle, point time, problem) rows.
 
-    On solve rows an array of the current and previous solves is built over the
-    solve-only ordering; every row then takes the latest such array among rows
-    with a smaller time (a RANGE frame ending at -1), so rows sharing the time
-    of the point are excluded. No join and no per-point rescan.
+    A chain of ``path_len`` windows over the common order carries the latest
+    solves before each row; the first row of a time has those with a smaller
+    time, which all rows sharing it take. Every window has the rows' one order:
+    no further exchange or sort, no join and no per-point rescan.
     """
     if is_segmented(features):
         return _preceding_solves_indexed(features, params)
     pts = improvement_points(features, params)
-    pts = pts.withColumn("_s", F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)))
-    sw = Window.partitionBy(HANDLE, "_s").orderBy(*params.order_by)
-    recent = F.array(F.col(PID), *[F.lag(PID, i).over(sw) for i in range(1, params.path_len)])
-    pts = pts.withColumn("_recent", F.when(F.col("_s"), F.filter(recent, lambda x: x.isNotNull())))
-    if len(params.order_by) > 1:
-        # several solves may share one time: carry the array of the last of them
-        same_t = Window.partitionBy(HANDLE, TIME, "_s").orderBy(*params.order_by).rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)
-        pts = pts.withColumn("_recent", F.when(F.col("_s"), F.last("_recent").over(same_t)))
-    before = Window.partitionBy(HANDLE).orderBy(TIME).rangeBetween(Window.unboundedPreceding, -1)
-    pts = pts.withColumn("_prev", F.last("_recent", ignorenulls=True).over(before))
+    solved = F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False))
+    before = user_window(params).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.array().cast("array<string>")
+    pts = pts.withColumn("_prev", none)
+    for _ in range(params.path_len):  # round i: the latest i solves before the row
+        own = F.when(solved, F.concat(F.array(PID), F.coalesce("_prev", none)))
+        pts = pts.withColumn("_prev", F.last(own, ignorenulls=True).over(before))
+    rest = [c for c in params.order_by if c != TIME]
+    if rest:
+        same_time = Window.partitionBy(HANDLE, TIME).orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)
+        pts = pts.withColumn("_prev", F.first("_prev").over(same_time))
     hits = pts.filter(F.col("improved_event") == 1)
     return hits.select(HANDLE, F.col(TIME).alias("point_time"), F.explode("_prev").alias(PID))
 
@@ -125,7 +128,7 @@ def path_support(features: DataFrame, params: Params = Params()) -> DataFrame:
     return sup.withColumn("sequence_confidence", F.col("support") / top)
 
 
-def path_patterns(features: DataFrame, params: Params = Params(), min_support: int = 5) -> DataFrame:
+def path_patterns(features: DataFrame, params: Params = Params()) -> DataFrame:
     """X9: "after A and B, users often solve C": consecutive solve triples,
     support n(ABC) and confidence n(ABC) / n(AB)."""
     solved = solved_history(features, params)
@@ -136,7 +139,7 @@ def path_patterns(features: DataFrame, params: Params = Params(), min_support: i
     pairs = tri.filter(F.col("second").isNotNull()).groupBy("first", "second").agg(
         F.count(F.lit(1)).alias("pair_support"))
     triples = tri.filter(F.col("third").isNotNull()).groupBy("first", "second", "third").agg(
-        F.count(F.lit(1)).alias("support")).filter(F.col("support") >= F.lit(min_support))
+        F.count(F.lit(1)).alias("support")).filter(F.col("support") >= F.lit(params.pattern_min_support))
     out = triples.join(pairs, ["first", "second"], "inner")
     return out.select("first", "second", "third",
                       F.concat_ws(">", "first", "second", "third").alias("pattern"),

@@ -94,12 +94,13 @@ def random_problem_ids(features: DataFrame, n_problems) -> DataFrame:
     labels, from md5 of (handle, time): reproducible in any engine."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(HANDLE), F.col(TIME).cast("string"))), 1, 8), 16, 10)
     label = F.pmod(h.cast("long"), n_problems)
-    return features.withColumn(PID, F.concat(F.lit("R"), F.lpad(label.cast("string"), 2, "0")))
+    return features.withColumn(PID, F.concat(F.lit("R"), label.cast("string")))
 
 
-def random_placebo(features: DataFrame, params: Params = Params()) -> DataFrame:
-    """C1-C9 on randomly relabelled problems; effects should vanish."""
-    n = features.select(PID).distinct().agg(F.count(F.lit(1))).scalar()
+def random_placebo(features: DataFrame, metadata: DataFrame, params: Params = Params()) -> DataFrame:
+    """C1-C9 on randomly relabelled problems; effects should vanish. There are as many
+    labels as problems in ``metadata`` (also those without feature rows)."""
+    n = metadata.agg(F.count(F.lit(1))).scalar()
     cells = C.cem_cells(C.cem_input(random_problem_ids(features, n), params), params)
     eff = C.cem_effects(cells, params)
     return C.with_significance(C.att_effects(eff))

@@ -7,7 +7,7 @@ only the sample-size minimums (cells thin out on small data).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -48,25 +48,30 @@ class Params:
     path_delta: float = 100.0
     path_len: int = 3
     path_min_support: int = 30
+    # fewest occurrences of a reported solve pattern
+    pattern_min_support: int = 5
     # placebo
     placebo_min_count: int = 20
     # recommender: candidate band [rating - below, rating + above], top k
     band_below: float = 200.0
     band_above: float = 400.0
     top_k: int = 5
+    # most recommendations that share a primary tag
+    max_per_tag: int = 2
     # optional quality floors (defined by the reference, unused there): None = off
     min_att_score: float | None = None
     min_probability_uplift: float | None = None
     # --- engine choices -----------------------------------------------------
     # tie mode of the bin rounding: "up" = half away from zero, "even" = banker's
     tie_mode: str = "up"
-    # total order of a user's history; extra columns break ties in time
-    order_by: tuple[str, ...] = ("time",)
+    # total order of a user's history: rows equal in all of these are interchangeable
+    order_by: tuple[str, ...] = ("time", "id_of_submission_task", "verdict", "rating_at_submission", "problem_rating")
     # pre-trend lags (X6) and the two-sided critical value for 99 % intervals
     pre_trend_lags: tuple[int, ...] = (5, 10, 15, 20)
     ci_z: float = 2.5758293035489004
-    # largest number of rows a table may have to be broadcast after a size check
+    # largest table, in rows and in estimated bytes, that is broadcast after a size check
     broadcast_max_rows: int = 2_000_000
+    broadcast_max_bytes: int = 128 << 20
     # users above this many rows get their history cut into segments of
     # segment_rows rows (None: never); see functions.segments
     hot_user_rows: int | None = 5_000_000
@@ -74,13 +79,11 @@ class Params:
     # rows per range partition when heavy users are indexed (fewer, larger
     # partitions than segments keep the shuffle's bookkeeping small)
     index_partition_rows: int = 8_000_000
-    extra: dict = field(default_factory=dict, compare=False)
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)
 
 
-DEFAULT = Params()
 # thresholds used by the registered test queries: the reference's
 # 50-row cell minimum leaves nothing at sf0.01, so cells need only 5 rows there.
 SMALL = Params(min_samples=5, min_treated_prefilter=5)

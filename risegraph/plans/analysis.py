@@ -2,10 +2,10 @@
 graph, paths, placebo} -> catalog -> recommendations.
 
 ``Analysis`` builds each artefact lazily as a DataFrame (nothing is collected).
-The only eager steps are size checks before a broadcast: the table is first
-checkpointed to the shared checkpoint folder, counted, and broadcast only
-below ``params.broadcast_max_rows``; otherwise the planner/AQE picks a
-shuffled join. ``run_batch`` writes every artefact as Parquet, which also cuts
+The only eager steps are size checks before a broadcast: the table is persisted,
+counted, and broadcast only within ``params.broadcast_max_rows`` and
+``params.broadcast_max_bytes``; otherwise it is released and the planner/AQE
+picks a shuffled join. ``run_batch`` writes every artefact as Parquet, which also cuts
 lineage between stages so a lost executor re-runs only its own stage.
 """
 
@@ -59,7 +59,7 @@ class Analysis:
 
     def small(self, df: DataFrame) -> DataFrame:
         """Size-checked broadcast of a table that grows with the number of problems."""
-        return broadcast_if_small(df, self.params.broadcast_max_rows)[0]
+        return broadcast_if_small(df, self.params.broadcast_max_rows, self.params.broadcast_max_bytes)[0]
 
     # ------------------------------------------------------------ metadata
     @cached_property
@@ -91,12 +91,12 @@ class Analysis:
     def features_seq(self) -> DataFrame:
         """Features on the segmented frame (for operators with bounded frames).
 
-        With heavy users present the features are written once to the shared
-        checkpoint folder: every consumer starts from them, so the windows run
+        With heavy users present the features are written once as Parquet under
+        the shared checkpoint folder: every consumer starts from them, so the windows run
         once and each consumer's plan starts from a compact scan."""
         f = user_features(self.sequenced, self.difficulty, self.params)
         if is_segmented(f):
-            return materialize(f, "checkpoint")
+            return materialize(f, "table")
         return self._m(f)
 
     @cached_property
@@ -245,7 +245,7 @@ class Analysis:
 
     @cached_property
     def random_placebo(self) -> DataFrame:
-        return V.random_placebo(self.features_seq, self.params)
+        return V.random_placebo(self.features_seq, self.metadata, self.params)
 
     # ------------------------------------------------------------ recommender
     def catalog(self, significant_only: bool = True, use_sequence: bool = True) -> DataFrame:

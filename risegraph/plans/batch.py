@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.segments import is_segmented, strip
 from ..operators import recommend as R
 from ..params import Params
 from ..sources.ingest import with_handle_bucket, write_table
@@ -40,6 +41,20 @@ def _stage(spark: SparkSession, a: Analysis, attr: str, out_dir: str, name: str,
     return back
 
 
+def _stage_features(spark: SparkSession, a: Analysis, d: str, buckets: int | None) -> None:
+    """Writes the features and makes every later stage read them: with heavy users from a table
+    that keeps their segments and halo rows, else from the artefact itself."""
+    if is_segmented(a.features_seq):
+        seq = _stage(spark, a, "features_seq", d, FEATURES + "_segmented")
+        a.__dict__["features"] = strip(seq)
+    if buckets:
+        _stage(spark, a, "features", d, FEATURES, ["handle_bucket"], with_handle_bucket(a.features, buckets))
+    else:
+        _stage(spark, a, "features", d, FEATURES)
+    if not is_segmented(a.features_seq):
+        a.__dict__["features_seq"] = a.features
+
+
 def run_batch(spark: SparkSession, submissions: DataFrame, out_dir: str, params: Params = Params(),
               feature_buckets: int | None = None, recommendations: bool = True) -> dict[str, str]:
     """Write every artefact under ``out_dir``; returns name -> path.
@@ -50,11 +65,7 @@ def run_batch(spark: SparkSession, submissions: DataFrame, out_dir: str, params:
     a = Analysis(submissions, params)
     d = out_dir.rstrip("/")
     _stage(spark, a, "metadata", d, METADATA)
-    if feature_buckets:
-        _stage(spark, a, "features", d, FEATURES, ["handle_bucket"],
-               with_handle_bucket(a.features, feature_buckets))
-    else:
-        _stage(spark, a, "features", d, FEATURES)
+    _stage_features(spark, a, d, feature_buckets)
     _stage(spark, a, "effects", d, EFFECTS_DETAILED + "_all")
     _stage(spark, a, "att_significance", d, EFFECTS + "_all")
     _stage(spark, a, "att_significant", d, EFFECTS)
@@ -81,7 +92,9 @@ def run_batch(spark: SparkSession, submissions: DataFrame, out_dir: str, params:
 def _read_optional(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:  # only a path that isn't there means missing
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

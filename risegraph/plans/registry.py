@@ -48,8 +48,8 @@ def queries() -> dict[str, Query]:
 # ---------------------------------------------------------------- S / M / F
 @register("clean_submissions")
 def _clean(a: Analysis) -> DataFrame:
-    """S3 with a lower bound that actually drops rows (1200)."""
-    return Analysis(a._raw, a.params.with_(min_rating=1200.0)).submissions
+    """S3 at the contract's bounds."""
+    return a.submissions
 
 
 @register("profile_submissions")

@@ -29,19 +29,6 @@ SUBMISSIONS = T.StructType(
 
 REQUIRED_SUBMISSION_COLUMNS = (HANDLE, TIME, RATING, PID, VERDICT)
 
-PROBLEM_METADATA = T.StructType(
-    [
-        T.StructField(PID, T.StringType()),
-        T.StructField("avg_provided_rating", T.DoubleType()),
-        T.StructField("avg_solver_rating", T.DoubleType()),
-        T.StructField("total_submissions", T.LongType()),
-        T.StructField("ok_count", T.LongType()),
-        T.StructField("has_sufficient_support", T.BooleanType()),
-        T.StructField("estimated_difficulty", T.DoubleType()),
-        T.StructField("acceptance_rate", T.DoubleType()),
-        T.StructField("stable_acceptance", T.BooleanType()),
-    ]
-)
 
 REQUIRED_METADATA_COLUMNS = (
     "estimated_difficulty",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,7 +75,8 @@ def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     ``"persist"``: cached on executors (memory, spilling to disk); a lost
     executor's blocks are recomputed from lineage. ``"checkpoint"``: written to
     the shared checkpoint folder, cutting lineage (for long DAGs and
-    stage-by-stage batch runs).
+    stage-by-stage batch runs). ``"table"``: the same as Parquet, so that readers
+    prune columns and push filters down.
     """
     if mode == "checkpoint":
         checkpoint_dir(df.sparkSession)
@@ -84,28 +84,31 @@ def materialize(df: DataFrame, mode: str = "persist") -> DataFrame:
     if mode == "persist":
         from pyspark import StorageLevel
         return df.persist(StorageLevel.MEMORY_AND_DISK)
+    if mode == "table":
+        path = scratch_path(df.sparkSession, "materialized")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     if mode in ("none", None, False):
         return df
     raise ValueError(f"unknown materialize mode {mode!r}")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+def row_width(df: DataFrame) -> int:
+    """Estimated bytes of a row in memory: 8 per number, 64 per string or other value."""
+    fixed = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"}
+    return 16 + sum(8 if kind in fixed else 64 for _, kind in df.dtypes)
 
-    The table is cached and counted (one job, the count stops at the bound);
-    above the bound the cached DataFrame is returned and the planner / AQE
-    chooses a shuffled join, so a table that grows with the data can never be
-    shipped whole to every executor.
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 128 << 20) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and about ``max_bytes`` bytes.
+
+    The table is cached and counted (one job, a count per task); above a bound it
+    is released and the planner / AQE chooses a shuffled join, so a table that
+    grows with the data can never be shipped whole to every executor.
     """
     m = materialize(df, "persist")
-    n = m.limit(max_rows + 1).count()
-    if n <= max_rows:
+    n = m.count()
+    if n <= max_rows and n * row_width(df) <= max_bytes:
         return F.broadcast(m), True
-    return m, False
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    m.unpersist()
+    return df, False

@@ -48,7 +48,7 @@ def _case(col: F.Column, mapping: dict, default) -> F.Column:
 
 def submissions_from_events(events: DataFrame, params: Params = Params()) -> DataFrame:
     """``params`` supplies only the heavy-user thresholds of the walk."""
-    params = params.with_(order_by=(TIME,))
+    params = params.with_(order_by=(TIME, "kk", "event_type"))
     kk = F.get_json_object("props", "$.k").cast("int") % 10
     e = events.select(
         F.col("user_id").cast("string").alias(HANDLE),

@@ -26,11 +26,6 @@ def ingest(spark: SparkSession, source: str, target: str, fmt: str = "json",
     return spark.read.parquet(target)
 
 
-def load_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy Parquet scan."""
-    return spark.read.parquet(path)
-
-
 def clean_submissions(df: DataFrame, params: Params = Params()) -> DataFrame:
     """S3: required columns, standard types, rating present and within bounds.
 
@@ -76,14 +71,18 @@ def profile(df: DataFrame) -> DataFrame:
     return one.select(F.col("__n").alias("n_rows"), stack).select("n_rows", "s.*")
 
 
-def head(df: DataFrame, n: int = 5) -> DataFrame:
-    """First rows for inspection (a limit is the feature here)."""
-    return df.limit(n)
+#: Tasks that write one partition of a sink.
+SINK_SALTS = 4
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> str:
-    """Parquet sink; optionally partitioned (e.g. by a handle hash bucket)."""
+    """Parquet sink; optionally partitioned (e.g. by a handle hash bucket). A
+    partitioned table is dealt by its partition columns and a salt of ``SINK_SALTS`` first,
+    which bounds the files of each partition and splits a large one."""
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SINK_SALTS))
+        df = df.repartition(*partition_by, salt)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)

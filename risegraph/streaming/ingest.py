@@ -14,20 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..params import Params
+from ..schema import SUBMISSIONS
 from ..sources.ingest import clean_submissions
 
-RAW_SUBMISSIONS = T.StructType([
-    T.StructField("handle", T.StringType()),
-    T.StructField("time", T.LongType()),
-    T.StructField("rating_at_submission", T.DoubleType()),
-    T.StructField("id_of_submission_task", T.StringType()),
-    T.StructField("problem_rating", T.DoubleType()),
-    T.StructField("verdict", T.StringType()),
-])
 
 
 def submission_stream(spark: SparkSession, source_dir: str, fmt: str = "json",
-                      schema: T.StructType = RAW_SUBMISSIONS, params: Params = Params(),
+                      schema: T.StructType = SUBMISSIONS, params: Params = Params(),
                       max_files_per_trigger: int | None = None, **options) -> DataFrame:
     """A cleaned streaming DataFrame over the raw files in ``source_dir``."""
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
@@ -37,13 +30,14 @@ def submission_stream(spark: SparkSession, source_dir: str, fmt: str = "json",
 
 
 def incremental_ingest(spark: SparkSession, source_dir: str, target: str, checkpoint: str,
-                       fmt: str = "json", schema: T.StructType = RAW_SUBMISSIONS,
+                       fmt: str = "json", schema: T.StructType = SUBMISSIONS,
                        params: Params = Params(), **options) -> int:
     """Append the not-yet-ingested files of ``source_dir`` to the Parquet table
-    ``target``; returns the number of micro-batches run."""
+    ``target``; returns the number of micro-batches that ``checkpoint`` has seen."""
     stream = submission_stream(spark, source_dir, fmt, schema, params, **options)
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("path", target).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return len(q.recentProgress)
+    last = q.lastProgress
+    return last["batchId"] + 1 if last else 0
