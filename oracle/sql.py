@@ -659,17 +659,21 @@ def _queries() -> dict[str, str]:
              current_rating - 200 AS range_low, current_rating + 300 AS range_high
       FROM recs GROUP BY handle, current_rating"""
     q["recommend_reachable"] = with_(*rec_base, GRAPH) + """,
-      last AS (SELECT handle, arg_max(pid, time) AS last_solved FROM sol GROUP BY handle),
+      last AS (SELECT handle, pid AS last_solved FROM sol QUALIFY row_number() OVER (PARTITION BY handle
+               ORDER BY time DESC, pid DESC, rating_at_submission DESC, problem_rating DESC NULLS LAST) = 1),
       cand AS (SELECT p.handle, p.current_rating, l.last_solved, c.id_of_submission_task, c.att_score, c.final_score
                FROM prof p JOIN last l USING (handle)
                JOIN graph g ON g.source_problem = l.last_solved
                JOIN cat_all c ON c.id_of_submission_task = g.target_problem
                WHERE c.estimated_difficulty BETWEEN p.current_rating - 200 AND p.current_rating + 400)
-      SELECT handle, current_rating, last_solved, rec_rank, id_of_submission_task AS problem_id,
-             round(att_score, 6) AS uplift, round(final_score, 6) AS final_score
-      FROM (SELECT *, CAST(row_number() OVER (PARTITION BY handle ORDER BY final_score DESC NULLS LAST,
-                                              id_of_submission_task) AS INTEGER) AS rec_rank FROM cand)
-      WHERE rec_rank <= 5"""
+      SELECT p.handle, p.current_rating, l.last_solved, rec_rank, id_of_submission_task AS problem_id,
+             round(att_score, 6) AS uplift, round(final_score, 6) AS final_score,
+             CASE WHEN id_of_submission_task IS NULL THEN 'no_match' ELSE 'success' END AS status
+      FROM prof p LEFT JOIN last l USING (handle)
+      LEFT JOIN (SELECT handle, id_of_submission_task, att_score, final_score,
+                        CAST(row_number() OVER (PARTITION BY handle ORDER BY final_score DESC NULLS LAST,
+                                                id_of_submission_task) AS INTEGER) AS rec_rank FROM cand
+                 QUALIFY rec_rank <= 5) c ON c.handle = p.handle"""
     q["recommend_diverse"] = with_(*rec_base) + f""",
       ratings AS (SELECT DISTINCT current_rating FROM prof),
       cand AS (SELECT r.current_rating, c.*, {dtier('c.estimated_difficulty')} AS primary_tag
@@ -682,8 +686,9 @@ def _queries() -> dict[str, str]:
                                 ORDER BY final_score DESC NULLS LAST, id_of_submission_task) AS INTEGER) AS rec_rank
                              FROM capped) WHERE rec_rank <= 5)
       SELECT p.handle, p.current_rating, t.rec_rank, t.id_of_submission_task AS problem_id, t.primary_tag,
-             round(t.final_score, 6) AS final_score
-      FROM prof p JOIN top t USING (current_rating)"""
+             round(t.final_score, 6) AS final_score,
+             CASE WHEN t.id_of_submission_task IS NULL THEN 'no_match' ELSE 'success' END AS status
+      FROM prof p LEFT JOIN top t USING (current_rating)"""
     q["uplift_by_band"] = with_(*rec_base) + """
       SELECT CAST(floor(estimated_difficulty / 100) * 100 AS INTEGER) AS difficulty_band,
              round(avg(att_score), 6) AS mean_uplift, count(*) AS problems

@@ -5,9 +5,9 @@ versus everyone else, X13 intervals).
 Plan shape: one exchange on ``handle`` for the outcome window (shared with the
 features), one partial aggregation of the rows into (problem, state cell)
 moments, then everything else on that small table: the baseline of a cell is
-a window over the cell (a parallel-variance merge, no second pass over the
-rows and no self-join), the weights a window over the problem, the ATT a
-group-by on the same partitioning.
+an aggregate of its moments joined back (a parallel-variance merge, no second
+pass over the rows), the weights a window over the problem, the ATT a group-by
+on the same partitioning.
 """
 
 from __future__ import annotations
@@ -70,35 +70,45 @@ def cem_treated(cells: DataFrame, params: Params = Params()) -> DataFrame:
         "treated_improve_prob")
 
 
-def _cell_window_baseline(cells: DataFrame) -> DataFrame:
-    """Baseline moments of each state cell attached to its (problem, cell) rows by a
-    window over the cell (at most one row per problem in a window partition).
+def with_cell(df: DataFrame, per_cell: DataFrame, *extra: str) -> DataFrame:
+    """``df`` with the columns of its state cell's row in ``per_cell``; null bins are a cell too.
+    The planner broadcasts ``per_cell`` where its size at run time allows it."""
+    keys = [*extra, *BINS]
+    other = per_cell.withColumnsRenamed({k: f"_c_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
+    cond = on[0]
+    for x in on[1:]:
+        cond = cond & x
+    return df.join(other, cond, "inner").drop(*[f"_c_{k}" for k in keys])
+
+
+def _with_baseline(cells: DataFrame) -> DataFrame:
+    """Baseline moments of each state cell attached to its (problem, cell) rows.
+    The cells' sums are aggregated (partially in each task, so a cell that holds nearly
+    every problem is split) to one row for each bin combination, some 7,600 with cleaned
+    ratings, and joined back; the squares about the mean are a second such aggregate.
 
     n = sum n_i, mean = sum n_i m_i / n, M2 = sum (n_i - 1) v_i + sum n_i (m_i - mean)^2
     (the parallel-variance merge of Chan et al.): the same values as aggregating
     the rows again, without a second pass over them or a self-join.
     """
-    w = Window.partitionBy(*BINS)
     n_i, m_i = F.col("treated_count"), F.col("treated_gain")
-    c = cells.filter(n_i > 0).withColumns({
-        "baseline_count": F.sum(n_i).over(w),
-        "_sum": F.sum(n_i * m_i).over(w),
-        "_imp": F.sum(n_i * F.col("treated_improve_prob")).over(w),
-    })
-    c = c.withColumns({
-        "baseline_gain": F.col("_sum") / F.col("baseline_count"),
-        "baseline_improve_prob": F.col("_imp") / F.col("baseline_count"),
-    })
-    m2 = F.sum(F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0))
-               + n_i * F.pow(m_i - F.col("baseline_gain"), 2)).over(w)
-    c = c.withColumn("_m2", m2)
+    c = cells.filter(n_i > 0)
+    sums = c.groupBy(*BINS).agg(F.sum(n_i).alias("baseline_count"), F.sum(n_i * m_i).alias("_sum"),
+                                F.sum(n_i * F.col("treated_improve_prob")).alias("_imp"))
+    sums = sums.select(*BINS, "baseline_count", (F.col("_sum") / F.col("baseline_count")).alias("baseline_gain"),
+                       (F.col("_imp") / F.col("baseline_count")).alias("baseline_improve_prob"))
+    c = with_cell(c, sums)
+    squares = c.groupBy(*BINS).agg(F.sum(F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0))
+                                         + n_i * F.pow(m_i - F.col("baseline_gain"), 2)).alias("_m2"))
+    c = with_cell(c, squares)
     return c.withColumn("baseline_std", F.when(F.col("baseline_count") > 1,
                                                F.sqrt(F.col("_m2") / (F.col("baseline_count") - 1))))
 
 
 def cem_baseline(cells: DataFrame, params: Params = Params()) -> DataFrame:
     """The all-rows mean gain per state cell (the control), kept at >= min_samples."""
-    b = _cell_window_baseline(cells).groupBy(*BINS).agg(
+    b = _with_baseline(cells).groupBy(*BINS).agg(
         F.first("baseline_gain").alias("baseline_gain"), F.first("baseline_std").alias("baseline_std"),
         F.first("baseline_count").alias("baseline_count"),
         F.first("baseline_improve_prob").alias("baseline_improve_prob"))
@@ -112,7 +122,7 @@ def cem_effects(cells: DataFrame, params: Params = Params()) -> DataFrame:
     Matching is exact on the three bins; a null bin matches nothing.
     """
     ms = F.lit(params.min_samples)
-    j = _cell_window_baseline(cells.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
+    j = _with_baseline(cells.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
                                            & F.col("bin_diff").isNotNull()))
     j = j.filter((F.col("treated_count") >= F.lit(params.min_treated_prefilter))
                  & (F.col("treated_count") >= ms) & (F.col("baseline_count") >= ms))

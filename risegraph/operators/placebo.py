@@ -8,7 +8,7 @@ random relabelling of problems should show no effect.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.segments import strip
@@ -31,15 +31,13 @@ def _bias(df: DataFrame, keys_extra: list[str], params: Params) -> DataFrame:
         F.avg("placebo_improved").alias("treated_placebo_improve_prob"),
     )
     n = F.col("treated_count")
-    # baseline cell means: count-weighted merges over the cell (a window, no self-join)
-    wc = Window.partitionBy(*keys_extra, *BINS)
+    # baseline cell means: count-weighted merges of the cells' sums, one row for each bin combination
     j = cells.filter((n > 0) & F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
                      & F.col("bin_diff").isNotNull())
-    j = j.withColumns({
-        "baseline_count": F.sum(n).over(wc),  # D9: counted inside the aggregate
-        "_s": F.sum(n * F.col("treated_placebo_gain")).over(wc),
-        "_p": F.sum(n * F.col("treated_placebo_improve_prob")).over(wc),
-    })
+    j = C.with_cell(j, j.groupBy(*keys_extra, *BINS).agg(
+        F.sum(n).alias("baseline_count"),  # D9: counted inside the aggregate
+        F.sum(n * F.col("treated_placebo_gain")).alias("_s"),
+        F.sum(n * F.col("treated_placebo_improve_prob")).alias("_p")), *keys_extra)
     j = j.withColumns({"baseline_placebo_gain": F.col("_s") / F.col("baseline_count"),
                        "baseline_placebo_improve_prob": F.col("_p") / F.col("baseline_count")})
     j = j.filter((F.col("baseline_count") >= mc) & (n >= mc))

@@ -8,7 +8,8 @@ computed once per distinct rating (at most max-min+1 = 3,201 values, a bound
 set by cleaning) and users join their rating's list by equality. The band
 [r - below, r + above] is an equi-join on difficulty buckets (each rating
 explodes into the few buckets its band touches) plus an exact range re-check:
-no nested-loop or cartesian join.
+no nested-loop or cartesian join. Before it the catalog is cut to the top k of
+each interval of ratings, which does not grow with the catalog.
 """
 
 from __future__ import annotations
@@ -75,6 +76,22 @@ def _quality_floor(cat: DataFrame, params: Params) -> DataFrame:
     return cat
 
 
+def _suited(params: Params) -> tuple[F.Column, F.Column]:
+    """The least and the greatest integer rating whose band holds the difficulty."""
+    d = F.col("estimated_difficulty")
+    return F.ceil(d - F.lit(params.band_above)), F.floor(d + F.lit(params.band_below))
+
+
+def best_by_interval(catalog: DataFrame, params: Params, k: int, *extra: str) -> DataFrame:
+    """The k best problems of each interval of ratings that they suit (and ``extra``). Problems
+    of one interval are candidates of the same ratings, so no other can be in a top k; with
+    ratings within the bounds of cleaning there are some 6,400 intervals, however many problems."""
+    lo, hi = _suited(params)
+    cat = catalog.filter(F.col("estimated_difficulty").isNotNull()).withColumns({"_lo": lo, "_hi": hi})
+    w = Window.partitionBy("_lo", "_hi", *extra).orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
+    return cat.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_lo", "_hi")
+
+
 def band_candidates(ratings: DataFrame, catalog: DataFrame, params: Params = Params()) -> DataFrame:
     """(current_rating, catalog row) for difficulties in [r - below, r + above]."""
     b = F.lit(_BUCKET)
@@ -97,7 +114,8 @@ def recommendations_by_rating(ratings: DataFrame, catalog: DataFrame, params: Pa
     the band is empty. The fallback list is the global top k, a scalar subquery
     (one array of k rows) attached to the ratings that need it."""
     catalog = _quality_floor(catalog, params)
-    inband = _top_k(band_candidates(ratings, catalog, params), "current_rating", params.top_k)
+    near = best_by_interval(catalog, params, params.top_k)
+    inband = _top_k(band_candidates(ratings, near, params), "current_rating", params.top_k)
     inband = inband.withColumn("in_band", F.lit(True))
     cols = [c for c in catalog.columns]
     glob = catalog.orderBy(F.desc_nulls_last(SCORE), F.asc(PID)).limit(params.top_k)
@@ -122,7 +140,6 @@ def recommendations(profiles: DataFrame, catalog: DataFrame, params: Params = Pa
     """R3-R5, R8 for all users: rank, result fields, status ('no_match' when empty)."""
     ratings = profiles.select("current_rating").distinct()
     per_rating = recommendations_by_rating(ratings, catalog, params)
-    # bounded by distinct ratings x k (<= 3,201 x k rows)
     shaped = per_rating.select(
         "current_rating", "rec_rank", "in_band",
         F.col(PID).alias("problem_id"),
@@ -135,7 +152,7 @@ def recommendations(profiles: DataFrame, catalog: DataFrame, params: Params = Pa
         F.col("total_treated_samples").alias("sample_size"),
         F.col(SCORE),
     )
-    out = profiles.select(HANDLE, "current_rating").join(F.broadcast(shaped), "current_rating", "left")
+    out = profiles.select(HANDLE, "current_rating").join(shaped, "current_rating", "left")
     return out.withColumn("status", F.when(F.col("problem_id").isNull(), F.lit("no_match"))
                           .otherwise(F.lit("success")))
 
@@ -234,42 +251,52 @@ def last_solves(features: DataFrame, params: Params = Params()) -> DataFrame:
     return s.groupBy(HANDLE).agg(F.max_by(PID, F.struct(*params.order_by)).alias("last_solved"))
 
 
+def _with_status(users: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Every user, with the recommendations of its key or one row of status 'no_match'."""
+    out = users.join(per_key, keys, "left")
+    return out.withColumn("status", F.when(F.col("problem_id").isNull(), F.lit("no_match")).otherwise(F.lit("success")))
+
+
 def recommend_reachable(profiles: DataFrame, features: DataFrame, graph: DataFrame, catalog: DataFrame,
-                        params: Params = Params(), edges_max_rows: int | None = None) -> DataFrame:
+                        params: Params = Params()) -> DataFrame:
     """Candidates limited to the graph's next problems from the user's last
-    solve, inside the band; top k per user."""
-    from ..session import broadcast_if_small
+    solve, inside the band; top k. The score does not depend on the user, so the
+    list is made once per (last solve, rating) and users join it by equality."""
+    users = profiles.select(HANDLE, "current_rating").join(last_solves(features, params), HANDLE, "left")
+    states = users.select("last_solved", "current_rating").distinct()
     edges = graph.select(F.col("source_problem").alias("last_solved"), F.col("target_problem").alias(PID))
-    edges, _ = broadcast_if_small(edges, edges_max_rows or params.broadcast_max_rows)
-    users = profiles.select(HANDLE, "current_rating").join(last_solves(features, params), HANDLE, "inner")
-    reach = users.join(edges, "last_solved", "inner")
     cat = _quality_floor(catalog, params).filter(F.col("estimated_difficulty").isNotNull())
-    r = F.col("current_rating")
-    cand = reach.join(cat, PID, "inner").filter(
-        F.col("estimated_difficulty").between(r - F.lit(params.band_below), r + F.lit(params.band_above)))
-    return _top_k(cand, HANDLE, params.top_k).select(
-        HANDLE, "current_rating", "last_solved", "rec_rank", F.col(PID).alias("problem_id"),
-        F.col("att_score").alias("uplift"), SCORE)
+    lo, hi = _suited(params)
+    # of the next problems that suit the same ratings only the best k matter
+    w = Window.partitionBy("last_solved", "_lo", "_hi").orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
+    nxt = edges.join(cat, PID, "inner").withColumns({"_lo": lo, "_hi": hi})
+    nxt = nxt.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= params.top_k)
+    cand = states.join(nxt, "last_solved", "inner").filter(F.col("current_rating").between(F.col("_lo"), F.col("_hi")))
+    w = Window.partitionBy("last_solved", "current_rating").orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
+    top = cand.withColumn("rec_rank", F.row_number().over(w)).filter(F.col("rec_rank") <= params.top_k).select(
+        "last_solved", "current_rating", "rec_rank", F.col(PID).alias("problem_id"), F.col("att_score").alias("uplift"), SCORE)
+    return _with_status(users, top, ["last_solved", "current_rating"]).select(
+        HANDLE, "current_rating", "last_solved", "rec_rank", "problem_id", "uplift", SCORE, "status")
 
 
 def recommend_diverse(profiles: DataFrame, catalog: DataFrame, params: Params = Params(),
-                      max_per_tag: int = 2, dimension: DataFrame | None = None) -> DataFrame:
-    """In-band top k with at most ``max_per_tag`` per primary tag (first
+                      dimension: DataFrame | None = None) -> DataFrame:
+    """In-band top k with at most ``params.max_per_tag`` per primary tag (first
     tag of the problem, else its difficulty tier)."""
     cat = _quality_floor(catalog, params)
     if dimension is not None:
         cat = cat.join(dimension.select(F.col(PID).cast("string").alias(PID), "tags"), PID, "left")
     else:
         cat = cat.withColumn("tags", F.lit(None).cast("string"))
-    cat = cat.withColumn("primary_tag", F.coalesce(F.split(F.col("tags"), ", ")[0],
-                                                   difficulty_tier(F.col("estimated_difficulty"))))
+    tag = F.when(F.col("tags") != "", F.split(F.col("tags"), ", ")[0])
+    cat = cat.withColumn("primary_tag", F.coalesce(tag, difficulty_tier(F.col("estimated_difficulty"))))
     ratings = profiles.select("current_rating").distinct()
-    cand = band_candidates(ratings, cat, params)
+    cand = band_candidates(ratings, best_by_interval(cat, params, params.max_per_tag, "primary_tag"), params)
     wt = Window.partitionBy("current_rating", "primary_tag").orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
-    cand = cand.withColumn("_tr", F.row_number().over(wt)).filter(F.col("_tr") <= max_per_tag)
+    cand = cand.withColumn("_tr", F.row_number().over(wt)).filter(F.col("_tr") <= params.max_per_tag)
     top = _top_k(cand, "current_rating", params.top_k).select(
         "current_rating", "rec_rank", F.col(PID).alias("problem_id"), "primary_tag", SCORE)
-    return profiles.select(HANDLE, "current_rating").join(F.broadcast(top), "current_rating", "inner")
+    return _with_status(profiles.select(HANDLE, "current_rating"), top, ["current_rating"])
 
 
 def uplift_by_band(catalog: DataFrame, width: float = 100.0) -> DataFrame:
