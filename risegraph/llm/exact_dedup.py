@@ -1,7 +1,7 @@
 """Exact deduplication by content sort.
 
-The normalised texts are range-partitioned at sampled splitters and sorted on disk, so equal
-texts are neighbours; a window over the sorted rows compares each text in full with the one
+The normalised texts are range-partitioned at splitters, the first ``SPLITTER`` characters of
+sampled texts, and sorted on disk, so equal texts are neighbours; a window over the sorted rows compares each text in full with the one
 before it and numbers the rows of a run. A salt from the id is the last part of the range key:
 a text that a third of all rows share is spread over ``salts`` runs, whose first rows meet in a
 small second step by digest.
@@ -20,6 +20,8 @@ from .common import SPACE, whole_text, written
 
 #: Runs over which the rows of one text are spread.
 SALTS = 64
+#: Characters of a text that splitters hold: they are sampled to the driver, texts are not.
+SPLITTER = 256
 
 
 def normalised(col: str) -> Column:
@@ -31,9 +33,10 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("salt"))
-    run = Window.partitionBy("norm", "salt")
+    rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER))
+    run = Window.partitionBy("head", "salt", "norm")  # equal texts have equal heads
     in_order = run.orderBy(F.col("doc_id").asc_nulls_last())
-    return rows.repartitionByRange("norm", "salt").select(
+    return rows.repartitionByRange("head", "salt").select(
         "doc_id", "salt", F.row_number().over(in_order).alias("place"),
         F.min("doc_id").over(run).alias("run_min"), F.count(F.lit(1)).over(run).alias("run_size"),
         F.unhex(F.sha2(F.col("norm"), 256)).alias("digest"))
