@@ -12,8 +12,13 @@ doc_id is carried; other columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import functools
+import json
 import re
+import struct
+import sys
+import unicodedata
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,35 +41,111 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t, {}
+    return t
 
 
-class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit values, word by word.
+def _drops_white_space(tokenizer) -> bool:
+    """Whether it lower-cases, drops white space and splits letters from the rest, byte by byte:
+    then a text's ids are those of its words in order."""
+    j = json.loads(tokenizer.to_str())
+    rules = [x["type"] for x in (j["normalizer"] or {}).get("normalizers", [])]
+    cuts = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (rules == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["invert"] and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in cuts[0]["pattern"].get("Regex", "")
+            and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"])
+
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those
-    of its words in order; a word's ids are looked up once."""
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit values, word by word where the tokenizer
+    allows it: a word's ids are then looked up once."""
 
     #: all of these are white space to the tokenizer as well
     cut = re.compile(rb"[^\x20\x09-\x0D]+").findall
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
-        self.tokenizer, self.known = _tokenizer(path)
-        self.most = most
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.by_word = _drops_white_space(self.tokenizer)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        from tokenizers.pre_tokenizers import ByteLevel
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        import numpy as np
+        if not self.by_word:
+            whole = [t.decode(errors="replace") for t in texts]
+            return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         split = [self.cut(t) for t in texts]
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        out = [[*map(known.get, words)] for words in split]
+        new = {w for words, ids in zip(split, out) if None in ids for w, x in zip(words, ids) if x is None}
         if len(known) + len(new) > self.most:
             known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.parts.clear()
+        self._learn(list(new))
+        for i, ids in enumerate(out):
+            if None in ids:
+                out[i] = [known[w] if x is None else x for w, x in zip(split[i], ids)]
+        return [b"".join(ids) for ids in out]
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, rest = self.known, []
+        for w in words:
+            s = w.decode(errors="replace")
+            core = s.rstrip(_PUNCTUATION)
+            # letters, then marks at the end: the tokenizer cuts between them
+            ids = self._letters(core) if core else None
+            if ids is None:
+                rest.append((w, s))
+            else:
+                known[w] = ids + self._whole(s[len(core):]) if len(core) < len(s) else ids
+        for i in range(0, len(rest), 5000):
+            self._joined(rest[i:i + 5000])
+
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of a word of letters alone: one unit of the tokenizer's."""
+        if not word.isascii() and ("\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
+            return None
+        low = word.lower()
+        if not (word.isalpha() and low.isalpha()):
+            return None
+        ids = self.parts.get(low)
+        if ids is None:
+            unit = low if low.isascii() else self.as_bytes(low)[0][0]
+            ids = self.parts[low] = _packed([t.id for t in self.tokenizer.model.tokenize(unit)])
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.parts.get(word)
+        if ids is None:
+            ids = self.parts[word] = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return ids
+
+    def _joined(self, words: list[tuple[bytes, str]]) -> None:
+        """Many words in one call, told apart by their places."""
+        import numpy as np
+        e = self.tokenizer.encode(" ".join([s for _, s in words]), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        begins = np.array([a for a, _ in e.offsets], np.int64)
+        ends = np.cumsum([len(s) + 1 for _, s in words])
+        cuts = np.searchsorted(begins, ends)
+        at = 0
+        for (w, _), cut in zip(words, cuts.tolist()):
+            self.known[w] = ids[at:cut].tobytes()
+            at = cut
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
+
+
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+_PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per worker."""
+    return WordIds(path)
 
 
 def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -74,7 +155,7 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        words, part, before = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        words, part, before = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
