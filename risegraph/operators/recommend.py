@@ -129,8 +129,9 @@ def recommendations_by_rating(ratings: DataFrame, catalog: DataFrame, params: Pa
     return inband.unionByName(fb)
 
 
+# fixed value: the sentence of an explanation
 def explain_text() -> F.Column:
-    """The reference's explanation sentence."""
+    """The explanation sentence."""
     return F.format_string(
         "Highly recommended (Score: %.1f). Causal Uplift: +%.1f points (p=%.4f). Solvers improve %.1fx faster.",
         F.col(SCORE), F.col("att_score"), F.col("p_value"), F.col("hazard_ratio"))
@@ -198,6 +199,7 @@ def rating_tier(c: F.Column) -> F.Column:
     return expr.otherwise(F.lit(RATING_TIER_FLOOR))
 
 
+# fixed values: difficulty tiers of the UI
 def difficulty_tier(c: F.Column) -> F.Column:
     """<= 1400 easy, <= 1700 medium, else hard."""
     return F.when(c <= 1400, F.lit("easy")).when(c <= 1700, F.lit("medium")).otherwise(F.lit("hard"))

@@ -128,12 +128,15 @@ def kaplan_meier(durations: DataFrame, time_col: str = "time_to_event",
 
 def _level_tables(rows: DataFrame, block: int, levels: int) -> list[DataFrame]:
     """Level 0 = rows (handle, unit = row index, mx = rating); level k = maxima of
-    ``block`` consecutive level k-1 units. Each carries ``parent = unit div block``."""
+    ``block`` consecutive level k-1 units. Each carries ``parent = unit div block``, which
+    is 0 for all of the last level: a longer history is an error, not a censored row."""
     b = F.lit(block)
+    short = F.raise_error(F.lit(f"a history is longer than {block}^{levels + 1} rows: more levels are needed"))
     t = rows.select(HANDLE, F.col("idx").alias("unit"), F.col(RATING).alias("mx"))
     out = []
     for k in range(levels + 1):
-        t = t.withColumn("parent", F.floor(F.col("unit") / b).cast("long"))
+        up = F.floor(F.col("unit") / b).cast("long")
+        t = t.withColumn("parent", up if k < levels else F.when(up > 0, short.cast("long")).otherwise(up))
         out.append(t)
         if k < levels:
             t = t.groupBy(HANDLE, F.col("parent").alias("unit")).agg(F.max("mx").alias("mx"))
@@ -142,8 +145,8 @@ def _level_tables(rows: DataFrame, block: int, levels: int) -> list[DataFrame]:
 
 def first_reaching(rows: DataFrame, queries: DataFrame, block: int = 1024, levels: int = 3) -> DataFrame:
     """For each query (handle, qid, start, th): the first row index > start whose
-    rating >= th, or null. Exact for histories up to block^(levels+1) rows
-    (2^40 by default).
+    rating >= th, or null. Exact; raises where a history has more than
+    block^(levels+1) rows (2^40 by default).
 
     Search: at every level k, the query looks only at the level-k units that
     follow its own unit inside the same parent (<= block candidates each); the

@@ -75,3 +75,12 @@ def test_survival_effects_hazard(spark):
     eff = S.survival_effects(S.survival_pairs(S.survival_rows(f)), Params()).collect()
     assert len(eff) == 1 and eff[0].event_rate == 0.5 and eff[0].hazard_ratio == 1.0
     assert eff[0].median_time_to_improve == 1.0 and eff[0].sample_size == 30
+
+
+def test_too_few_levels_are_an_error(spark):
+    import pytest
+    rows = spark.createDataFrame([("u", i, float(i)) for i in range(10)], "handle string, idx long, rating_at_submission double")
+    asked = spark.createDataFrame([("u", "q", 0, 9.0)], "handle string, qid string, start long, th double")
+    assert S.first_reaching(rows, asked, block=3, levels=2).first()["event_idx"] == 9
+    with pytest.raises(Exception, match="more levels are needed"):
+        S.first_reaching(rows, asked, block=3, levels=1).collect()
