@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -24,3 +27,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a row number under its part.
+ROW_BITS = 40
+
+
+def written_by_part(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table bucketed by its column ``part``, of which each task has one value: a join
+    on (part, row) then moves the other side only."""
+    spark = df.sparkSession
+    table = f"t_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("path", scratch_path(spark, name)).bucketBy(buckets, "part").saveAsTable(table)
+    return spark.table(table)
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession):
+    """Lets joins on (part, row) keep the partitioning by part; for plans run inside."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def fetched(stored: DataFrame, wanted: DataFrame, row: str, *columns: Column) -> DataFrame:
+    """``wanted`` with ``columns`` of the row of ``stored`` that its column ``row`` numbers."""
+    small = wanted.select("*", F.shiftright(row, ROW_BITS).cast("int").alias("_part")).hint("shuffle_hash")
+    big = stored.select(F.col("part").alias("_at"), F.col("row").alias("_row"), *columns)
+    return big.join(small, (F.col("_at") == F.col("_part")) & (F.col("_row") == F.col(row))).drop("_at", "_row", "_part")

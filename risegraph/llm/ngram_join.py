@@ -6,7 +6,8 @@
    All links inside a group are verified, so its members need no further comparison.
 3. The token-group matrix holds which groups have a token, for the tokens that matter: a pair
    that links shares one of the first n - ceil(t n) + 1 tokens of both sets in any fixed order
-   (here rare tokens first). A node queries the other groups that have one of its tokens.
+   (here rare tokens first), and in neither is that token so late that what follows is less than
+   the overlap that the two sizes need. A node queries the other groups that have such a token.
 4. Each such group, in blocks of bounded size, has the union of its members' tokens. The overlap
    of a query with the union bounds its overlap with any member; only blocks whose bound reaches
    the threshold are opened and their members compared.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, whole_text, written
+from .common import ROW_BITS, WORD, fetched, joined_in_place, whole_text, written, written_by_part
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -46,7 +47,7 @@ BLOCK, QUERIES = 1 << 16, 1 << 18
 #: Parts over which rows that belong to one key are spread.
 SALTS = 16
 
-SETS = "row long, doc_id long, text_key binary, n long, sig binary, minima array<long>, tokens binary"
+SETS = "part int, row long, doc_id long, text_key binary, n long, sig binary, minima array<long>, tokens binary"
 
 
 def _packed(tokens) -> bytes:
@@ -68,14 +69,15 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """SETS of every row, written."""
+    """SETS of every row, written by part."""
     def run(batches):
         import hashlib
 
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
-        row = TaskContext.get().partitionId() << 40
+        part = TaskContext.get().partitionId()
+        row = part << ROW_BITS
         seeds = np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -83,15 +85,15 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 sets = shingle_sets(some.column(1).to_pylist(), size)
                 minima = [[int(mixed(s ^ k).min()) - (1 << 63) for k in seeds] if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + len(sets)), pa.int64()), some.column(0), some.column(2),
+                    [pa.array([part] * len(sets), pa.int32()), pa.array(range(row, row + len(sets)), pa.int64()), some.column(0), some.column(2),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                      pa.array(minima, pa.list_(pa.int64())), pa.array([_packed(s) for s in sets], pa.binary())],
-                    ["row", "doc_id", "text_key", "n", "sig", "minima", "tokens"])
+                    ["part", "row", "doc_id", "text_key", "n", "sig", "minima", "tokens"])
                 row += len(sets)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary").alias("text"), text_key(text_col))
-    return written(rows.mapInArrow(run, SETS), "ngram-sets")
+    return written_by_part(rows.mapInArrow(run, SETS), "ngram-sets")
 
 
 def text_key(text_col: str):
@@ -99,7 +101,7 @@ def text_key(text_col: str):
     return F.unhex(F.md5(whole_text(text_col).cast("binary")))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of nodes those that link."""
     def run(batches):
         import numpy as np
@@ -114,16 +116,14 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
 
-    # a salt from the member: the set that very many members meet is sent to SALTS places
+    # a salt from the member: the set that very many members meet is sent to SALTS places at most
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    left = salted.join(nodes.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    hubs = pairs.select("b").distinct().join(nodes.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    used = salted.select("b", "salt").distinct()
-    right = hubs.join(used, "b")
+    left = fetched(sets, salted, "a", F.col("tokens").alias("x"))
+    right = fetched(sets, salted.select("b", "salt").distinct(), "b", F.col("tokens").alias("y"))
     return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def star_links(nodes: DataFrame, percent: int) -> DataFrame:
+def star_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes and the smallest node that shares one of their minima."""
     marks = nodes.select("node", "n", F.posexplode("minima").alias("round", "minimum"))
     heads = marks.groupBy("round", "minimum").agg(
@@ -132,10 +132,11 @@ def star_links(nodes: DataFrame, percent: int) -> DataFrame:
         "node <> head.node").filter(
         (F.col("n") * percent <= 100 * F.col("head.n")) & (F.col("head.n") * percent <= 100 * F.col("n")))
     pairs = written(pairs.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct(), "ngram-star-pairs")
-    return written(verified(pairs, nodes, percent), "ngram-star-links")
+    with joined_in_place(pairs.sparkSession):
+        return written(verified(pairs, sets, percent), "ngram-star-links")
 
 
-def frequent_tokens(nodes: DataFrame) -> list[int]:
+def frequent_tokens(sets: DataFrame) -> list[int]:
     """The most frequent tokens, at most FREQUENT_MOST, the most frequent one last."""
     def run(batches):
         import numpy as np
@@ -150,18 +151,18 @@ def frequent_tokens(nodes: DataFrame) -> list[int]:
             for x in batch.column(0):
                 held.append(_tokens(x.as_buffer()))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield told()
                     held, size = [], 0
         if held:
             yield told()
 
-    counts = nodes.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
     return [r["token"] for r in reversed(top)]
 
 
-def queries_of_groups(nodes: DataFrame, frequent: list[int], percent: int) -> DataFrame:
+def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], percent: int) -> DataFrame:
     """(a, g): node a has a leading token in common with a member of the other group g of fit size."""
     import numpy as np
     spark = nodes.sparkSession
@@ -169,60 +170,74 @@ def queries_of_groups(nodes: DataFrame, frequent: list[int], percent: int) -> Da
     by_token = np.argsort(order)
     last = spark.sparkContext.broadcast((order[by_token], by_token))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # a row for each part: its leading tokens and, by place, their nodes; group and size of those
+    # nodes that are in groups of more than one
+    names = ["part", "base", "tokens", "places", "spots", "rows", "sizes", "grouped", "groups", "members"]
 
     def deal(batches):
         import pyarrow as pa
         known, place = last.value
-        names = ["part", "tokens", "places", "nodes", "sizes", "groups", "members"]
 
-        def told(rows):
-            lead = np.concatenate([r[4] for r in rows])
-            at = np.repeat(np.arange(len(rows)), [len(r[4]) for r in rows])
+        def told(base, held):
+            lead = np.concatenate([h[4] for h in held])
+            at = np.repeat(np.arange(len(held)), [len(h[4]) for h in held])
+            spot = np.minimum(np.concatenate([np.arange(len(h[4])) for h in held]), 0xFFFF)
             part = (lead >> np.uint64(24)) % np.uint64(parts)
             ways = np.argsort(part, kind="stable")
-            lead, at, part = lead[ways], at[ways], part[ways]
+            lead, at, spot, part = lead[ways], at[ways], spot[ways], part[ways]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            meta = [np.array([r[i] for r in rows], np.int64) for i in range(4)]
+            node, n, group, members = (np.array([h[i] for h in held], np.int64) for i in range(4))
             out = []
-            for t, i, p in zip(np.split(lead, cuts), np.split(at, cuts), part[np.concatenate([[0], cuts])]):
+            for t, i, x, p in zip(np.split(lead, cuts), np.split(at, cuts), np.split(spot, cuts),
+                                  part[np.concatenate([[0], cuts])]):
                 used, short = np.unique(i, return_inverse=True)
-                n, s, g, m = (x[used].tobytes() for x in meta)
-                out.append((int(p), _packed(t << np.uint64(16)), short.astype("<u4").tobytes(), n, s, g, m))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names)
-
-        held, size = [], 0
+                many = np.flatnonzero(members[used] > 1)
+                out.append((int(p), base, _packed(t << np.uint64(16)), short.astype("<u2").tobytes(), x.astype("<u2").tobytes(),
+                            (node[used] - base).astype("<u4").tobytes(), n[used].astype("<u4").tobytes(),
+                            many.astype("<u2").tobytes(), group[used][many].tobytes(), members[used][many].astype("<u4").tobytes()))
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+        held, size, base = [], 0, None
         for batch in batches:
             for node, n, group, members, x in zip(*(batch.column(i) for i in range(5))):
+                node = node.as_py()
+                if held and (size > 1_000_000 or len(held) >= 60_000 or node >> ROW_BITS != base >> ROW_BITS):
+                    yield told(base, held)
+                    held, size = [], 0
+                base = node >> ROW_BITS << ROW_BITS
                 x = _tokens(x.as_buffer())
                 lead = len(x) - needed(len(x), percent) + 1
                 if len(known):
                     spot = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     rank = np.where(known[spot] == x, place[spot] + 1, 0)
                     x = x[np.argsort(rank, kind="stable")]
-                held.append((node.as_py(), n.as_py(), group.as_py(), members.as_py(), x[:lead]))
+                held.append((node, n.as_py(), group.as_py(), members.as_py(), x[:lead].copy()))
                 size += lead
-                if size > 2_000_000 or len(held) >= 20_000:
-                    yield told(held)
-                    held, size = [], 0
         if held:
-            yield told(held)
+            yield told(base, held)
 
     def meet(batches):
         import pyarrow as pa
-        tokens, nodes_, sizes, groups, members = [], [], [], [], []
+        tokens, spots, nodes_, sizes, groups, members = [], [], [], [], [], []
         for batch in batches:
-            for _, t, i, n, s, g, m in zip(*(batch.column(k) for k in range(7))):
-                i = np.frombuffer(i.as_buffer(), "<u4")
-                tokens.append(_tokens(t.as_buffer()))
-                for to, x in ((nodes_, n), (sizes, s), (groups, g), (members, m)):
-                    to.append(np.frombuffer(x.as_buffer(), np.int64)[i])
+            for _, base, t, i, x, r, n, many, g, m in zip(*(batch.column(k).to_pylist() for k in range(10))):
+                i = np.frombuffer(i, "<u2")
+                node = np.frombuffer(r, "<u4").astype(np.int64) + base
+                group, count = node.copy(), np.ones(len(node), np.int64)
+                many = np.frombuffer(many, "<u2")
+                group[many], count[many] = np.frombuffer(g, np.int64), np.frombuffer(m, "<u4")
+                tokens.append(_tokens(t))
+                spots.append(np.frombuffer(x, "<u2").astype(np.int64))
+                for to, x in ((nodes_, node), (sizes, np.frombuffer(n, "<u4").astype(np.int64)), (groups, group), (members, count)):
+                    to.append(x[i])
         if not tokens:
             return
-        tokens, nodes_, sizes, groups, members = map(np.concatenate, (tokens, nodes_, sizes, groups, members))
+        columns = map(np.concatenate, (tokens, spots, nodes_, sizes, groups, members))
+        tokens, spots, nodes_, sizes, groups, members = columns
         # by token, then by group from small to large
         ways = np.lexsort((groups, members, tokens))
-        tokens, nodes_, sizes, groups, members = (x[ways] for x in (tokens, nodes_, sizes, groups, members))
+        tokens, spots, nodes_, sizes, groups, members = (x[ways] for x in (tokens, spots, nodes_, sizes, groups, members))
         same = np.concatenate([[False], tokens[1:] == tokens[:-1]])
         begins = np.flatnonzero(~same)
         ends = np.concatenate([begins[1:], [len(tokens)]])
@@ -230,24 +245,24 @@ def queries_of_groups(nodes: DataFrame, frequent: list[int], percent: int) -> Da
         several = groups[begins] != groups[ends - 1]
         found = set()
         for a, b in zip(begins[several].tolist(), ends[several].tolist()):
-            cut = (np.flatnonzero(np.diff(groups[a:b])) + 1 + a).tolist()
-            spans = list(zip([a, *cut], [*cut, b]))
-            for k, (c, d) in enumerate(spans):
-                for e, f in spans[k + 1:]:
-                    low, high = int(sizes[e:f].min()), int(sizes[e:f].max())
-                    g = int(groups[e])
-                    for q in range(c, d):
-                        n = int(sizes[q])
-                        if n * percent <= 100 * high and low * percent <= 100 * n:
-                            found.add((int(nodes_[q]), g))
+            n, spot = sizes[a:b], spots[a:b]
+            # a pair shares least tokens or more, all of them from this one on in both orders
+            for q in range(b - a - 1):
+                later = slice(q + 1, b - a)
+                least = -(-percent * (n[q] + n[later]) // (100 + percent))
+                fit = (n[q] - spot[q] >= least) & (n[later] - spot[later] >= least) & (groups[a + q] != groups[a + q + 1:b])
+                fit &= (n[q] * percent <= 100 * n[later]) & (n[later] * percent <= 100 * n[q])
+                if fit.any():
+                    node = int(nodes_[a + q])
+                    found.update((node, g) for g in np.unique(groups[a + q + 1:b][fit]).tolist())
             if len(found) > 200_000:
                 yield _pairs(pa, found)
                 found = set()
         if found:
             yield _pairs(pa, found)
 
-    leads = nodes.select("node", "n", "grp", "members", "tokens").mapInArrow(
-        deal, "part int, tokens binary, places binary, nodes binary, sizes binary, groups binary, members binary")
+    leads = fetched(sets, nodes, "node", F.col("tokens")).select("node", "n", "grp", "members", "tokens").mapInArrow(
+        deal, "part int, base long, " + ", ".join(f"{x} binary" for x in names[2:]))
     return leads.repartition(parts, "part").mapInArrow(meet, "a long, g long").distinct()
 
 
@@ -256,7 +271,7 @@ def _pairs(pa, found):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.int64())], ["a", "g"])
 
 
-def opened(queries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def opened(queries: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) between queries and members of the groups that their bound opens."""
     asked = queries.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
     held = nodes.join(asked, F.col("grp") == F.col("g"), "left_semi")
@@ -267,10 +282,11 @@ def opened(queries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     shape = written(shape.join(asks, "g"), "ngram-shapes")
     each = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
     members = held.join(shape, F.col("grp") == F.col("g")).select(
-        "g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "node", "tokens")
+        "g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "node")
+    members = fetched(sets, members, "node", F.col("tokens")).select("g", "block", "turn", "node", "tokens")
     askers = queries.join(shape, "g").select(
         "g", "a", F.pmod(F.xxhash64("a"), F.col("turns")).alias("turn"), each("blocks").alias("block"))
-    askers = askers.join(nodes.select(F.col("node").alias("a"), "tokens"), "a").select("g", "block", "turn", "a", "tokens")
+    askers = fetched(sets, askers, "a", F.col("tokens")).select("g", "block", "turn", "a", "tokens")
 
     def meet(queries_, block):
         import numpy as np
@@ -307,23 +323,26 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     # equal sets are one node, named by its first row
     classes = sets.filter("n > 0").groupBy("sig").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"))
     classes = written(classes, "ngram-classes")
-    nodes = sets.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    stars = star_links(nodes, percent)
+    rows = sets.drop("tokens", "part")
+    heads = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    stars = star_links(heads, sets, percent)
     groups = written(components(stars), "ngram-groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     grouped = groups.join(sizes, "component").select(F.col("node").alias("_n"), F.col("component").alias("grp"), "members")
-    nodes = written(nodes.join(grouped, F.col("node") == F.col("_n"), "left").select(
-        "node", "n", "tokens", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")),
+    nodes = written(heads.join(grouped, F.col("node") == F.col("_n"), "left").select(
+        "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")),
         "ngram-nodes")
-    queries = written(queries_of_groups(nodes, frequent_tokens(nodes), percent), "ngram-queries")
-    links = opened(queries, nodes, percent)
+    frequent = frequent_tokens(sets)
+    with joined_in_place(docs.sparkSession):
+        queries = written(queries_of_groups(nodes, sets, frequent, percent), "ngram-queries")
+        links = written(opened(queries, nodes, sets, percent), "ngram-links")
     label = written(components(links.union(stars)), "ngram-components")
     parts = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = parts.groupBy("component").agg(F.min("least").alias("head"))
     by_class = parts.join(firsts, "component").select("sig", "head").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    rows = sets.select("row", "doc_id", "text_key", "n", "sig", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
-    return rows.join(by_class, ["sig", "salt"], "left").select(
+    salted = rows.select("row", "doc_id", "text_key", "n", "sig", F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    return salted.join(by_class, ["sig", "salt"], "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
         ((F.col("n") == 0) | (F.col("head.row") == F.col("row"))).alias("first"))
