@@ -9,8 +9,9 @@
    (here rare tokens first), and in neither is that token so late that what follows is less than
    the overlap that the two sizes need. A node queries the other groups that have such a token.
 4. Each such group, in blocks of bounded size, has the union of its members' tokens. The overlap
-   of a query with the union bounds its overlap with any member; only blocks whose bound reaches
-   the threshold are opened and their members compared.
+   of a query with the union bounds its overlap with any member: first over the low quarter of
+   the tokens (all others counted as shared), then over all. Only blocks whose bound reaches the
+   threshold are opened and their members compared.
 5. Components of all links.
 
 Group-to-group duplicates are avoided by letting the smaller group query the larger one. No step
@@ -47,7 +48,10 @@ BLOCK, QUERIES = 1 << 16, 1 << 18
 #: Parts over which rows that belong to one key are spread.
 SALTS = 16
 
-SETS = "part int, row long, doc_id long, text_key binary, n long, sig binary, minima array<long>, tokens binary"
+#: Hashes under it are a set's low tokens, about a quarter, and stand first.
+LOW = 1 << 62
+
+SETS = "part int, row long, doc_id long, text_key binary, n long, sig binary, minima array<long>, low int, tokens binary"
 
 
 def _packed(tokens) -> bytes:
@@ -88,8 +92,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                     [pa.array([part] * len(sets), pa.int32()), pa.array(range(row, row + len(sets)), pa.int64()), some.column(0), some.column(2),
                      pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                     pa.array(minima, pa.list_(pa.int64())), pa.array([_packed(s) for s in sets], pa.binary())],
-                    ["part", "row", "doc_id", "text_key", "n", "sig", "minima", "tokens"])
+                     pa.array(minima, pa.list_(pa.int64())),
+                     pa.array([int(np.searchsorted(s, LOW)) for s in sets], pa.int32()), pa.array([_packed(s) for s in sets], pa.binary())],
+                    ["part", "row", "doc_id", "text_key", "n", "sig", "minima", "low", "tokens"])
                 row += len(sets)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary").alias("text"), text_key(text_col))
@@ -281,38 +286,56 @@ def opened(queries: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
         F.ceil(F.sum("n") / QUERIES).cast("long").alias("turns"))
     shape = written(shape.join(asks, "g"), "ngram-shapes")
     each = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
-    members = held.join(shape, F.col("grp") == F.col("g")).select(
-        "g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "node")
-    members = fetched(sets, members, "node", F.col("tokens")).select("g", "block", "turn", "node", "tokens")
-    askers = queries.join(shape, "g").select(
-        "g", "a", F.pmod(F.xxhash64("a"), F.col("turns")).alias("turn"), each("blocks").alias("block"))
-    askers = fetched(sets, askers, "a", F.col("tokens")).select("g", "block", "turn", "a", "tokens")
-
-    def meet(queries_, block):
+    keys, low = ["g", "block", "turn"], F.expr("substring(tokens, 1, 6 * low)")
+
+    def sides(queries, tokens):
+        members = held.join(shape, F.col("grp") == F.col("g")).join(queries.select("g").distinct(), "g", "left_semi").select(
+            "g", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), each("turns").alias("turn"), "node", "n")
+        members = fetched(sets, members, "node", tokens.alias("tokens")).select(*keys, "node", "n", "tokens")
+        askers = queries.join(shape, "g").select(
+            "g", "a", F.pmod(F.xxhash64("a"), F.col("turns")).alias("turn"), each("blocks").alias("block"))
+        askers = askers.join(nodes.select(F.col("node").alias("a"), "n"), "a")
+        askers = fetched(sets, askers, "a", tokens.alias("tokens")).select(*keys, "a", "n", "tokens")
+        # columns of their own
+        return askers.toDF(*askers.columns).groupBy(*keys), members.toDF(*members.columns).groupBy(*keys)
+
+    def pairs_within(queries_, block):
+        """(a, its size, its tokens inside the union, rest of it, member, size, tokens) that the bound leaves."""
         import numpy as np
+        sets_ = [_tokens(x.as_buffer()) for x in block.column("tokens")]
+        if not sets_:
+            return
+        names, sizes, union = block.column("node").to_pylist(), block.column("n").to_pylist(), np.unique(np.concatenate(sets_))
+        for a, n, x in zip(queries_.column("a").to_pylist(), queries_.column("n").to_pylist(), queries_.column("tokens")):
+            x = _tokens(x.as_buffer())
+            inside = x[np.isin(x, union, assume_unique=True)]
+            rest = n - len(x)  # of the set, not sent
+            if len(inside) + rest < needed(n, percent):  # the bound: no member can reach the threshold
+                continue
+            for b, m, y in zip(names, sizes, sets_):
+                if m * percent <= 100 * n and n * percent <= 100 * m:
+                    both = len(np.intersect1d(inside, y, assume_unique=True)) + min(rest, m - len(y))
+                    if 100 * both >= percent * (n + m - both):
+                        yield a, b
+
+    def told(pa, rows, names):
+        a, b = zip(*rows) if rows else ((), ())
+        return pa.table({names[0]: pa.array(a, pa.int64()), names[1]: pa.array(b, pa.int64())})
+
+    def qualify(queries_, block):
         import pyarrow as pa
-        sets = [_tokens(x.as_buffer()) for x in block.column("tokens")]
-        names, links = block.column("node").to_pylist(), []
-        if sets:
-            union = np.unique(np.concatenate(sets))
-            for a, x in zip(queries_.column("a").to_pylist(), queries_.column("tokens")):
-                x = _tokens(x.as_buffer())
-                spot = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                inside = x[union[spot] == x]
-                need = needed(len(x), percent)
-                if len(inside) < need:  # the bound: no member can reach the threshold
-                    continue
-                for b, y in zip(names, sets):
-                    if len(y) * percent <= 100 * len(x) and len(x) * percent <= 100 * len(y):
-                        both = len(np.intersect1d(inside, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            links.append((a, b))
-        a, b = zip(*links) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    keys = ["g", "block", "turn"]
-    askers, members = askers.toDF(*askers.columns), members.toDF(*members.columns)  # columns of their own
-    return askers.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(meet, "a long, b long")
+        group = block.column("g").to_pylist()[:1]
+        return told(pa, sorted({(a, group[0]) for a, _ in pairs_within(queries_, block)}), ("a", "g"))
+
+    def compare(queries_, block):
+        import pyarrow as pa
+        return told(pa, list(pairs_within(queries_, block)), ("a", "b"))
+
+    # the low tokens bound the overlap of most pairs; whole sets go only to what is left
+    askers, members = sides(queries, low)
+    left = written(askers.cogroup(members).applyInArrow(qualify, "a long, g long").distinct(), "ngram-qualified")
+    askers, members = sides(left, F.col("tokens"))
+    return askers.cogroup(members).applyInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id",
