@@ -44,15 +44,19 @@ def written_by_part(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def joined_in_place(spark: SparkSession):
-    """Lets joins on (part, row) keep the partitioning by part; for plans run inside."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def joined_in_place(spark: SparkSession, batch_rows: int = 1000):
+    """Lets joins on (part, row) keep the partitioning by part, and rows with large values go to
+    Python in small batches; for plans run inside."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false",
+           "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    old = {key: spark.conf.get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def fetched(stored: DataFrame, wanted: DataFrame, row: str, *columns: Column) -> DataFrame:

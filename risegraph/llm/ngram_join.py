@@ -98,7 +98,8 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                 row += len(sets)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary").alias("text"), text_key(text_col))
-    return written_by_part(rows.mapInArrow(run, SETS), "ngram-sets")
+    with joined_in_place(docs.sparkSession):
+        return written_by_part(rows.mapInArrow(run, SETS), "ngram-sets")
 
 
 def text_key(text_col: str):
@@ -207,7 +208,7 @@ def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], pe
         for batch in batches:
             for node, n, group, members, x in zip(*(batch.column(i) for i in range(5))):
                 node = node.as_py()
-                if held and (size > 1_000_000 or len(held) >= 60_000 or node >> ROW_BITS != base >> ROW_BITS):
+                if held and (size > 500_000 or len(held) >= 60_000 or node >> ROW_BITS != base >> ROW_BITS):
                     yield told(base, held)
                     held, size = [], 0
                 base = node >> ROW_BITS << ROW_BITS
@@ -355,8 +356,8 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
     nodes = written(heads.join(grouped, F.col("node") == F.col("_n"), "left").select(
         "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")),
         "ngram-nodes")
-    frequent = frequent_tokens(sets)
     with joined_in_place(docs.sparkSession):
+        frequent = frequent_tokens(sets)
         queries = written(queries_of_groups(nodes, sets, frequent, percent), "ngram-queries")
         links = written(opened(queries, nodes, sets, percent), "ngram-links")
     label = written(components(links.union(stars)), "ngram-components")
