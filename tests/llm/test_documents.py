@@ -288,7 +288,8 @@ def test_passages(spark):
         if r["doc_id"] in range(100, 106) and r["other_id"] in range(100, 106):
             assert abs(r["n_words"] - 70) <= 4 and abs(r["start_word"] - 40) <= 4
             a = texts[r["doc_id"]][r["start_word"]:r["start_word"] + r["n_words"]]
-            assert sum(x == y for x, y in zip(a, texts[r["other_id"]][r["other_start"]:])) == r["n_equal"]
+            straight = sum(x == y for x, y in zip(a, texts[r["other_id"]][r["other_start"]:]))
+            assert straight <= r["n_equal"] <= straight + 1  # the edits' own word may match aslant
 
 
 def test_chains_equal_brute_force():
