@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, class_lm, exact_dedup, html_text, ngram_join, packing, passages, pii, quality, warc
+from . import (byte_bpe, class_lm, exact_dedup, fill_middle, html_text, licenses, ngram_join, packing, passages, pii,
+               quality, spelling, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,9 +63,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))[0]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op6_class_lm, op7_byte_bpe, op8_warc, op9_passages, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_ngram_join, op4_html_text, op5_pii, op6_class_lm, op7_byte_bpe, op8_warc, op9_passages, op10_exact_dedup, op11_fill_middle, op12_spelling, op13_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op10_exact_dedup": exact_dedup.ORACLE, "op11_fill_middle": fill_middle.ORACLE,
+            "op13_licenses": licenses.oracle()}
