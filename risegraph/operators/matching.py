@@ -4,10 +4,10 @@ versus everyone else, X13 intervals).
 
 Plan shape: one exchange on ``handle`` for the outcome window (shared with the
 features), one partial aggregation of the rows into (problem, state cell)
-moments, then everything else on that small table: the baseline of a cell is
-an aggregate of its moments joined back (a parallel-variance merge, no second
-pass over the rows), the weights a window over the problem, the ATT a group-by
-on the same partitioning.
+moments, written once (``written_cells``). Everything else reads that small table:
+the baseline of a cell is an aggregate of its moments joined back (a
+parallel-variance merge), the weights a window over the problem, the ATT a
+group-by on the same partitioning. No consumer runs the outcome window again.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import normal_two_sided_p, safe_div, state_bin, z_score
+from ..functions.moments import merged, moments, null_safe, var_samp, without
+from ..functions.numeric import normal_two_sided_p, safe_div, state_bin, student_two_sided_p, z_score
 from ..functions.segments import strip
 from ..functions.sequence import feature_names, outcome_names, user_window
 from ..params import Params
 from ..schema import BINS, HANDLE, OK, PID, RATING, VERDICT
+from ..session import materialize
 
 
 def with_outcome(features: DataFrame, params: Params = Params(), drop_missing: bool = True) -> DataFrame:
@@ -49,9 +51,8 @@ def cem_input(features: DataFrame, params: Params = Params()) -> DataFrame:
 def cem_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:
     """One pass over the rows: gain moments per (problem, state cell).
 
-    Both the treated cells and the baseline derive from this table, so the
-    feature/outcome windows run once; the table has at most
-    problems x cells rows, far fewer than submissions.
+    Both the treated cells and the baseline derive from this table; it has at
+    most problems x cells rows, far fewer than submissions.
     """
     on = outcome_names(params)
     g, imp = F.col(on["gain"]), F.col(on["improved"])
@@ -63,6 +64,11 @@ def cem_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def written_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:
+    """``cem_cells`` as a table in the shared folder: the rows' windows run once for all readers."""
+    return materialize(cem_cells(cem, params), "table")
+
+
 def cem_treated(cells: DataFrame, params: Params = Params()) -> DataFrame:
     """C4: per (problem, state cell) treated stats, kept at >= the treated minimum."""
     return cells.filter(F.col("treated_count") >= F.lit(params.min_treated_prefilter)).select(
@@ -70,49 +76,23 @@ def cem_treated(cells: DataFrame, params: Params = Params()) -> DataFrame:
         "treated_improve_prob")
 
 
-def with_cell(df: DataFrame, per_cell: DataFrame, *extra: str) -> DataFrame:
-    """``df`` with the columns of its state cell's row in ``per_cell``; null bins are a cell too.
-    The planner broadcasts ``per_cell`` where its size at run time allows it."""
-    keys = [*extra, *BINS]
-    other = per_cell.withColumnsRenamed({k: f"_c_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    return df.join(other, cond, "inner").drop(*[f"_c_{k}" for k in keys])
-
-
-def _with_baseline(cells: DataFrame) -> DataFrame:
-    """Baseline moments of each state cell attached to its (problem, cell) rows.
-    The cells' sums are aggregated (partially in each task, so a cell that holds nearly
-    every problem is split) to one row for each bin combination, some 7,600 with cleaned
-    ratings, and joined back; the squares about the mean are a second such aggregate.
-
-    n = sum n_i, mean = sum n_i m_i / n, M2 = sum (n_i - 1) v_i + sum n_i (m_i - mean)^2
-    (the parallel-variance merge of Chan et al.): the same values as aggregating
-    the rows again, without a second pass over them or a self-join.
-    """
-    n_i, m_i = F.col("treated_count"), F.col("treated_gain")
+def _baselines(cells: DataFrame) -> DataFrame:
+    """The cells' moments merged to one row for each bin combination (null bins are a cell too),
+    some 7,600 with cleaned ratings: the same values as aggregating the rows again."""
+    n_i = F.col("treated_count")
     c = cells.filter(n_i > 0)
-    sums = c.groupBy(*BINS).agg(F.sum(n_i).alias("baseline_count"), F.sum(n_i * m_i).alias("_sum"),
-                                F.sum(n_i * F.col("treated_improve_prob")).alias("_imp"))
-    sums = sums.select(*BINS, "baseline_count", (F.col("_sum") / F.col("baseline_count")).alias("baseline_gain"),
-                       (F.col("_imp") / F.col("baseline_count")).alias("baseline_improve_prob"))
-    c = with_cell(c, sums)
-    squares = c.groupBy(*BINS).agg(F.sum(F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0))
-                                         + n_i * F.pow(m_i - F.col("baseline_gain"), 2)).alias("_m2"))
-    c = with_cell(c, squares)
-    return c.withColumn("baseline_std", F.when(F.col("baseline_count") > 1,
-                                               F.sqrt(F.col("_m2") / (F.col("baseline_count") - 1))))
+    parts = c.select(*BINS, n_i.alias("gain_n"), F.col("treated_gain").alias("gain_mean"),
+                     F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0)).alias("gain_m2"))
+    base = merged(parts, BINS, ["gain"])
+    probs = c.groupBy(*BINS).agg((F.sum(n_i * F.col("treated_improve_prob")) / F.sum(n_i)).alias("baseline_improve_prob"))
+    return null_safe(base, probs, BINS).select(
+        *BINS, F.col("gain_mean").alias("baseline_gain"), F.sqrt(var_samp(F.col("gain_n"), F.col("gain_m2"))).alias("baseline_std"),
+        F.col("gain_n").alias("baseline_count"), "baseline_improve_prob")
 
 
 def cem_baseline(cells: DataFrame, params: Params = Params()) -> DataFrame:
     """The all-rows mean gain per state cell (the control), kept at >= min_samples."""
-    b = _with_baseline(cells).groupBy(*BINS).agg(
-        F.first("baseline_gain").alias("baseline_gain"), F.first("baseline_std").alias("baseline_std"),
-        F.first("baseline_count").alias("baseline_count"),
-        F.first("baseline_improve_prob").alias("baseline_improve_prob"))
-    return b.filter(F.col("baseline_count") >= F.lit(params.min_samples))
+    return _baselines(cells).filter(F.col("baseline_count") >= F.lit(params.min_samples))
 
 
 def cem_effects(cells: DataFrame, params: Params = Params()) -> DataFrame:
@@ -122,8 +102,8 @@ def cem_effects(cells: DataFrame, params: Params = Params()) -> DataFrame:
     Matching is exact on the three bins; a null bin matches nothing.
     """
     ms = F.lit(params.min_samples)
-    j = _with_baseline(cells.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
-                                           & F.col("bin_diff").isNotNull()))
+    matched = cells.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull() & F.col("bin_diff").isNotNull())
+    j = matched.join(_baselines(matched), BINS)
     j = j.filter((F.col("treated_count") >= F.lit(params.min_treated_prefilter))
                  & (F.col("treated_count") >= ms) & (F.col("baseline_count") >= ms))
     j = j.withColumn("treated_std", F.sqrt("_var"))
@@ -210,7 +190,8 @@ def att_cohens_d(effects: DataFrame) -> DataFrame:
 
 
 def welch_stats(effects: DataFrame) -> DataFrame:
-    """Welch t per problem (= ATT / se) and its Welch-Satterthwaite degrees of freedom."""
+    """Welch t per problem (= ATT / se), its Welch-Satterthwaite degrees of freedom, and the
+    two-sided p-value by the normal tail (``p_value``) and by Student's t (``p_value_t``)."""
     w2 = F.pow("weight", 2)
     a = w2 * F.pow("treated_std", 2) / F.col("treated_count")
     b = w2 * F.pow("baseline_std", 2) / F.col("baseline_count")
@@ -221,9 +202,9 @@ def welch_stats(effects: DataFrame) -> DataFrame:
               + F.pow(b, 2) / (F.col("baseline_count") - 1)).alias("_den"),
     )
     g = g.withColumn("t_stat", z_score("att_score", F.sqrt("att_variance")))
-    return g.select(PID, "att_score", "t_stat",
-                    safe_div(F.pow("att_variance", 2), F.col("_den")).alias("welch_df"),
-                    normal_two_sided_p("t_stat").alias("p_value"))
+    g = g.withColumn("welch_df", safe_div(F.pow("att_variance", 2), F.col("_den")))
+    return g.select(PID, "att_score", "t_stat", "welch_df", normal_two_sided_p("t_stat").alias("p_value"),
+                    student_two_sided_p("t_stat", "welch_df").alias("p_value_t"))
 
 
 def with_intervals(att_sig: DataFrame, params: Params = Params()) -> DataFrame:
@@ -234,79 +215,74 @@ def with_intervals(att_sig: DataFrame, params: Params = Params()) -> DataFrame:
                           (F.col("att_score") + half).alias("ci_high"))
 
 
+def covariate_cells(cem: DataFrame, params: Params = Params()) -> DataFrame:
+    """Moments of the matching covariates per (problem, state cell): one pass over the rows."""
+    fn = feature_names(params)
+    covs = {"rating": F.col(RATING), "accuracy": F.col(fn["acc"]), "difficulty": F.col(fn["ok_diff"])}
+    return cem.groupBy(PID, *BINS).agg(*[m for k, x in covs.items() for m in moments(x, k)])
+
+
 def balance_check(cem: DataFrame, effects: DataFrame, params: Params = Params()) -> DataFrame:
     """Standardised mean difference of the matching covariates.
 
     Treated = rows of the problem in its matched cells; control = all rows of
-    those cells, re-weighted by the treated share of each cell.
+    those cells, re-weighted by the treated share of each cell. Everything is
+    merged from central moments per (problem, cell), written once; a cell's moments
+    are an aggregate joined back, a problem's a window over its cells (some 7,600 at most).
     """
-    fn = feature_names(params)
-    covs = {"rating": F.col(RATING), "accuracy": F.col(fn["acc"]), "difficulty": F.col(fn["ok_diff"])}
-    long = cem.select(PID, *BINS, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("covariate"), v.cast("double").alias("x")) for k, v in covs.items()
-    ])).alias("c")).select(PID, *BINS, "c.covariate", "c.x")
-
-    t = long.groupBy(PID, *BINS, "covariate").agg(
-        F.count("x").alias("t_n"), F.sum("x").alias("t_s"), F.sum(F.col("x") * F.col("x")).alias("t_ss"))
-    # control cells: the roll-up of the (problem, cell) sums, as a window over the cell
-    wc = Window.partitionBy(*BINS, "covariate")
-    t = t.withColumns({"c_n": F.sum("t_n").over(wc), "c_s": F.sum("t_s").over(wc),
-                       "c_ss": F.sum("t_ss").over(wc)})
-    j = t.join(effects.select(PID, *BINS, "weight"), [PID, *BINS], "inner")
-    g = j.groupBy(PID, "covariate").agg(
-        F.sum("t_n").alias("nt"), F.sum("t_s").alias("st"), F.sum("t_ss").alias("sst"),
-        F.sum(F.col("weight") * safe_div("c_s", "c_n")).alias("mc"),
-        F.sum(F.col("weight") * safe_div("c_ss", "c_n")).alias("msc"),
-    )
-    mt = F.col("st") / F.col("nt")
-    var_t = safe_div(F.col("sst") - F.col("nt") * mt * mt, F.col("nt") - 1)
-    var_c = F.col("msc") - F.col("mc") * F.col("mc")
-    smd = safe_div(mt - F.col("mc"), F.sqrt(F.greatest((var_t + var_c) / 2, F.lit(0.0))))
-    return g.select(PID, "covariate", mt.alias("treated_mean"), F.col("mc").alias("control_mean"),
-                    smd.alias("smd"))
+    names = ["rating", "accuracy", "difficulty"]
+    own = materialize(covariate_cells(cem, params), "table")
+    cells = merged(own, BINS, names).withColumnsRenamed({f"{x}_{m}": f"c_{x}_{m}" for x in names for m in ("n", "mean", "m2")})
+    j = null_safe(own, cells, BINS).join(effects.select(PID, *BINS, "weight"), [PID, *BINS], "inner")
+    j = j.select(PID, "weight", F.explode(F.array(*[
+        F.struct(F.lit(x).alias("covariate"), *[F.col(f"{p}{x}_{m}").alias(f"{p}{m}") for p in ("", "c_") for m in ("n", "mean", "m2")])
+        for x in names])).alias("c")).select(PID, "weight", "c.*")
+    w = Window.partitionBy(PID, "covariate")
+    j = j.withColumns({
+        "mt": safe_div(F.sum(F.col("n") * F.col("mean")).over(w), F.sum("n").over(w)),
+        "mc": F.sum(F.col("weight") * F.col("c_mean")).over(w),
+    })
+    g = j.groupBy(PID, "covariate", "mt", "mc").agg(
+        F.sum("n").alias("nt"),
+        F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("mt"), 2)).alias("m2t"),
+        # variance of the weighted mixture of cells: within and between them
+        F.sum(F.col("weight") * (safe_div("c_m2", "c_n") + F.pow(F.col("c_mean") - F.col("mc"), 2))).alias("var_c"))
+    spread = F.sqrt((var_samp(F.col("nt"), F.col("m2t")) + F.col("var_c")) / 2)
+    return g.select(PID, "covariate", F.col("mt").alias("treated_mean"), F.col("mc").alias("control_mean"),
+                    safe_div(F.col("mt") - F.col("mc"), spread).alias("smd"))
 
 
 def att_effects_solvers(cem: DataFrame, params: Params = Params()) -> DataFrame:
     """treated = solvers of the problem, control = every other row of the same cell.
 
-    Leave-one-out control from sums: (cell total - solver total), so one pass of
-    cell sums and one of (problem, cell) sums; no second scan per problem.
+    One pass over the rows into moments per (problem, cell, solved), written once. A cell's
+    moments are merged from them and joined back; the control is the cell with the
+    solvers taken out again (``moments.without``).
     """
     on = outcome_names(params)
-    g, imp = F.col(on["gain"]).cast("double"), F.col(on["improved"]).cast("double")
-
     solved = F.coalesce(F.col(VERDICT) == F.lit(OK), F.lit(False)).alias("_solved")
-    parts = cem.groupBy(PID, *BINS, solved).agg(
-        F.count(g).alias("n"), F.sum(g).alias("s"), F.sum(g * g).alias("ss"), F.sum(imp).alias("imp"))
-    # cell totals: the roll-up of the (problem, cell, solved) sums, as a window over the cell
-    wc = Window.partitionBy(*BINS)
-    parts = parts.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
-                         & F.col("bin_diff").isNotNull())
-    parts = parts.withColumns({"a_n": F.sum("n").over(wc), "a_s": F.sum("s").over(wc),
-                               "a_ss": F.sum("ss").over(wc), "a_imp": F.sum("imp").over(wc)})
-    solv = parts.filter(F.col("_solved")).select(
-        PID, *BINS, F.col("n").alias("t_n"), F.col("s").alias("t_s"), F.col("ss").alias("t_ss"),
-        F.col("imp").alias("t_imp"), "a_n", "a_s", "a_ss", "a_imp")
-    j = solv.withColumns({
-        "c_n": F.col("a_n") - F.col("t_n"), "c_s": F.col("a_s") - F.col("t_s"),
-        "c_ss": F.col("a_ss") - F.col("t_ss"), "c_imp": F.col("a_imp") - F.col("t_imp"),
-    })
+    rows = cem.filter(F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull() & F.col("bin_diff").isNotNull())
+    parts = materialize(rows.groupBy(PID, *BINS, solved).agg(
+        *moments(F.col(on["gain"]), "g"), F.sum(F.col(on["improved"]).cast("double")).alias("imp")), "table")
+    total = merged(parts, BINS, ["g"]).withColumnsRenamed({"g_n": "a_n", "g_mean": "a_mean", "g_m2": "a_m2"})
+    imp = parts.groupBy(*BINS).agg(F.sum("imp").alias("a_imp"))
+    j = parts.filter("_solved").join(total, BINS).join(imp, BINS)
+    n, mean, m2 = F.col("g_n"), F.col("g_mean"), F.col("g_m2")
+    c_n, c_mean, c_m2 = without((F.col("a_n"), F.col("a_mean"), F.col("a_m2")), (n, mean, m2))
+    j = j.withColumns({"c_n": c_n, "c_mean": c_mean, "c_m2": c_m2, "c_imp": F.col("a_imp") - F.col("imp")})
     ms = F.lit(params.min_samples)
-    j = j.filter((F.col("t_n") >= ms) & (F.col("c_n") >= ms))
-    mt, mc = F.col("t_s") / F.col("t_n"), F.col("c_s") / F.col("c_n")
-    vt = (F.col("t_ss") - F.col("t_n") * mt * mt) / (F.col("t_n") - 1)
-    vc = (F.col("c_ss") - F.col("c_n") * mc * mc) / (F.col("c_n") - 1)
+    j = j.filter((n >= ms) & (F.col("c_n") >= ms))
     j = j.withColumns({
-        "uplift": mt - mc,
-        "bucket_variance": vt / F.col("t_n") + vc / F.col("c_n"),
-        "probability_uplift": F.col("t_imp") / F.col("t_n") - F.col("c_imp") / F.col("c_n"),
+        "uplift": mean - F.col("c_mean"),
+        "bucket_variance": var_samp(n, m2) / n + var_samp(F.col("c_n"), F.col("c_m2")) / F.col("c_n"),
+        "probability_uplift": F.col("imp") / n - F.col("c_imp") / F.col("c_n"),
     }).filter(F.abs("uplift") <= F.lit(params.uplift_cap))
-    j = j.withColumn("total_treated_samples", F.sum("t_n").over(Window.partitionBy(PID)))
-    j = j.withColumn("weight", F.col("t_n") / F.col("total_treated_samples"))
+    j = j.withColumn("total_treated_samples", F.sum(n).over(Window.partitionBy(PID)))
+    j = j.withColumn("weight", n / F.col("total_treated_samples"))
     att = j.groupBy(PID).agg(
         F.sum(F.col("weight") * F.col("uplift")).alias("att_score"),
         F.sum(F.pow("weight", 2) * F.col("bucket_variance")).alias("att_variance"),
         F.max("total_treated_samples").alias("total_treated_samples"),
-        safe_div(F.sum(F.col("probability_uplift") * F.col("t_n")), F.sum("t_n")).alias("att_probability_uplift"),
+        safe_div(F.sum(F.col("probability_uplift") * n), F.sum(n)).alias("att_probability_uplift"),
     )
     return with_significance(att)

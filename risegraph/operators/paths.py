@@ -1,4 +1,4 @@
-"""Transition graph (G1-G5), improvement paths (P1-P3), and n-gram patterns.
+"""Transition graph (G1-G5), improvement paths (P1-P3), n-gram and gapped patterns.
 
 All per-user sequence work is windows over the history already partitioned by
 ``handle``; the five shifted frames of the reference become one array of
@@ -15,6 +15,7 @@ from ..functions.segments import HALO, IDX, SEG, drop_halo, is_segmented, resegm
 from ..functions.sequence import trailing_frame, user_window
 from ..params import Params
 from ..schema import HANDLE, OK, PID, RATING, TIME, VERDICT
+from ..session import materialize
 
 
 def solved_history(features: DataFrame, params: Params = Params()) -> DataFrame:
@@ -144,3 +145,45 @@ def path_patterns(features: DataFrame, params: Params = Params()) -> DataFrame:
     return out.select("first", "second", "third",
                       F.concat_ws(">", "first", "second", "third").alias("pattern"),
                       "support", (F.col("support") / F.col("pair_support")).alias("confidence"))
+
+
+def _users(projected: DataFrame, least: int) -> DataFrame:
+    """(pattern, support): users that have the pattern, where enough do. By user first, so a pattern
+    that nearly all rows have is a row of each user."""
+    own = projected.groupBy("pattern", HANDLE).agg(F.lit(1).alias("one"))
+    return own.groupBy("pattern").agg(F.count("one").alias("support")).filter(F.col("support") >= F.lit(least))
+
+
+def gapped_patterns(features: DataFrame, params: Params = Params()) -> DataFrame:
+    """X9 with gaps: solve sequences of 2 to ``pattern_max_len`` problems that at least
+    ``pattern_min_support`` users have, each member at most ``transition_window`` solves after the one
+    before; support in users, confidence = support / support of the pattern without its last member.
+
+    Projected-database mining (PrefixSpan): the database of a pattern is the places (user, solve) where
+    it can end. Each place is extended by the solves after it, an equi-join on (user, solve) against one
+    row each; places are kept once however many ways lead there, and infrequent patterns are dropped
+    before they grow. Every level is written, so lineage stays short; rows per level are at most frequent
+    patterns x solves, spread by user and place."""
+    solved = solved_history(features, params)
+    w = user_window(params, df=solved)
+    keep = [HALO] if HALO in solved.columns else []
+    after = F.array(*[F.struct(F.lead(PID, i).over(w).alias("item"), (F.col("solve_idx") + i).alias("at"))
+                      for i in range(1, params.transition_window + 1)])
+    steps = drop_halo(solved.select(HANDLE, F.col("solve_idx").alias("at"), F.col(PID).alias("item"), after.alias("next"), *keep))
+    steps = materialize(steps.withColumn("next", F.filter("next", lambda x: x["item"].isNotNull())).filter(
+        F.col("item").isNotNull()), "table")
+    places = steps.select(F.array("item").alias("pattern"), HANDLE, "at")
+    known = materialize(_users(places, params.pattern_min_support), "table")
+    found = None
+    for _ in range(2, params.pattern_max_len + 1):
+        places = places.join(known.select("pattern"), "pattern", "left_semi").join(steps.select(HANDLE, "at", "next"), [HANDLE, "at"])
+        places = places.select("pattern", HANDLE, F.explode("next").alias("n")).select(
+            F.concat("pattern", F.array("n.item")).alias("pattern"), HANDLE, F.col("n.at").alias("at")).distinct()
+        places = materialize(places, "table")
+        longer = materialize(_users(places, params.pattern_min_support), "table")
+        prefix = known.select(F.col("pattern").alias("_prefix"), F.col("support").alias("prefix_support"))
+        rows = longer.withColumn("_prefix", F.slice("pattern", F.lit(1), F.size("pattern") - 1)).join(prefix, "_prefix")
+        found = rows if found is None else found.unionByName(rows)
+        known = longer
+    return found.select(F.concat_ws(">", "pattern").alias("pattern"), F.size("pattern").alias("length"), "support",
+                        "prefix_support", (F.col("support") / F.col("prefix_support")).alias("confidence"))

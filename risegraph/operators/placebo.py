@@ -15,31 +15,31 @@ from ..functions.segments import strip
 from ..functions.sequence import user_window
 from ..params import Params
 from ..schema import BINS, HANDLE, PID, RATING, TIME
+from ..session import materialize
 from . import matching as C
 
 
 def _bias(df: DataFrame, keys_extra: list[str], params: Params) -> DataFrame:
     """V3-V6 on a frame with (placebo_gain, placebo_improved, bins).
 
-    One pass over the rows into (problem, cell) means and counts; the baseline
-    cell means are count-weighted merges of that small table.
+    One pass over the rows into (problem, cell) means and counts, written once; the baseline
+    cell means are count-weighted merges of that small table, joined back to it.
     """
     mc = F.lit(params.placebo_min_count)
-    cells = df.groupBy(*keys_extra, PID, *BINS).agg(
+    n = F.col("treated_count")
+    matched = F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull() & F.col("bin_diff").isNotNull()
+    cells = df.filter(matched).groupBy(*keys_extra, PID, *BINS).agg(
         F.avg("placebo_gain").alias("treated_placebo_gain"),
         F.count("placebo_gain").alias("treated_count"),
         F.avg("placebo_improved").alias("treated_placebo_improve_prob"),
     )
-    n = F.col("treated_count")
-    # baseline cell means: count-weighted merges of the cells' sums, one row for each bin combination
-    j = cells.filter((n > 0) & F.col("bin_rating").isNotNull() & F.col("bin_acc").isNotNull()
-                     & F.col("bin_diff").isNotNull())
-    j = C.with_cell(j, j.groupBy(*keys_extra, *BINS).agg(
+    j = materialize(cells.filter(n > 0), "table")
+    keys = [*keys_extra, *BINS]
+    # one row for each bin combination
+    j = j.join(j.groupBy(*keys).agg(
         F.sum(n).alias("baseline_count"),  # D9: counted inside the aggregate
-        F.sum(n * F.col("treated_placebo_gain")).alias("_s"),
-        F.sum(n * F.col("treated_placebo_improve_prob")).alias("_p")), *keys_extra)
-    j = j.withColumns({"baseline_placebo_gain": F.col("_s") / F.col("baseline_count"),
-                       "baseline_placebo_improve_prob": F.col("_p") / F.col("baseline_count")})
+        (F.sum(n * F.col("treated_placebo_gain")) / F.sum(n)).alias("baseline_placebo_gain"),
+        (F.sum(n * F.col("treated_placebo_improve_prob")) / F.sum(n)).alias("baseline_placebo_improve_prob")), keys)
     j = j.filter((F.col("baseline_count") >= mc) & (n >= mc))
     j = j.withColumn("selection_bias", F.col("treated_placebo_gain") - F.col("baseline_placebo_gain"))
     j = j.filter(F.abs("selection_bias") <= F.lit(params.uplift_cap))
@@ -99,6 +99,6 @@ def random_placebo(features: DataFrame, metadata: DataFrame, params: Params = Pa
     """C1-C9 on randomly relabelled problems; effects should vanish. There are as many
     labels as problems in ``metadata`` (also those without feature rows)."""
     n = metadata.agg(F.count(F.lit(1))).scalar()
-    cells = C.cem_cells(C.cem_input(random_problem_ids(features, n), params), params)
+    cells = C.written_cells(C.cem_input(random_problem_ids(features, n), params), params)
     eff = C.cem_effects(cells, params)
     return C.with_significance(C.att_effects(eff))

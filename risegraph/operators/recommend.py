@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..params import Params
 from ..schema import HANDLE, PID, RATING
 from ..functions.sequence import feature_names
+from ..session import materialize
 
 SCORE = "final_score"
 _BUCKET = 200.0
@@ -281,23 +282,66 @@ def recommend_reachable(profiles: DataFrame, features: DataFrame, graph: DataFra
         HANDLE, "current_rating", "last_solved", "rec_rank", "problem_id", "uplift", SCORE, "status")
 
 
+def problem_tags(dimension: DataFrame) -> DataFrame:
+    """(id, tag) of every problem of a dimension (id, title, tags as 'a, b'): each tag of it once."""
+    tags = F.array_distinct(F.split(F.coalesce(F.col("tags"), F.lit("")), r",\s*"))
+    rows = dimension.select(F.col(PID).cast("string").alias(PID), F.explode(tags).alias("tag"))
+    return rows.select(PID, F.trim("tag").alias("tag")).filter(F.col("tag") != "").distinct()
+
+
+def tag_index(dimension: DataFrame, catalog: DataFrame, params: Params = Params()) -> DataFrame:
+    """The inverted index of tags: per tag its number of problems, how many of them the catalog holds,
+    their mean uplift and the ``top_k`` best of them. The ranks of a tag that most problems have are
+    limited in each task before they move."""
+    rows = problem_tags(dimension).join(catalog.select(PID, "att_score", SCORE), PID, "left")
+    per_tag = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n_problems"), F.count("att_score").alias("n_tested"),
+                                      F.avg("att_score").alias("mean_uplift"))
+    w = Window.partitionBy("tag").orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
+    best = rows.filter(F.col("att_score").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= params.top_k)
+    best = best.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("_r", PID))).alias("_b"))
+    return per_tag.join(best, "tag", "left").select(
+        "tag", "n_problems", "n_tested", "mean_uplift",
+        F.coalesce(F.transform("_b", lambda x: x[PID]), F.array().cast("array<string>")).alias("best_problems"))
+
+
 def recommend_diverse(profiles: DataFrame, catalog: DataFrame, params: Params = Params(),
                       dimension: DataFrame | None = None) -> DataFrame:
-    """In-band top k with at most ``params.max_per_tag`` per primary tag (first
-    tag of the problem, else its difficulty tier)."""
+    """In-band top k in which no tag occurs more than ``params.max_per_tag`` times; all tags of a
+    problem count, its difficulty tier where it has none.
+
+    Greedy re-ranking, made per distinct rating (a bounded number): in each of the k rounds a rating
+    takes the best candidate all of whose tags still have room, one aggregate with partial maxima. The
+    state of a rating is the list of its picks and their tags. Of the candidates that suit the same
+    ratings and have the same tags only the best ``max_per_tag`` can be picked; the others are left out
+    before the ratings are joined."""
     cat = _quality_floor(catalog, params)
+    tier = F.array(difficulty_tier(F.col("estimated_difficulty")))
     if dimension is not None:
-        cat = cat.join(dimension.select(F.col(PID).cast("string").alias(PID), "tags"), PID, "left")
+        tags = problem_tags(dimension).groupBy(PID).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        cat = cat.drop("tags").join(tags, PID, "left").withColumn("tags", F.coalesce("tags", tier))
     else:
-        cat = cat.withColumn("tags", F.lit(None).cast("string"))
-    tag = F.when(F.col("tags") != "", F.split(F.col("tags"), ", ")[0])
-    cat = cat.withColumn("primary_tag", F.coalesce(tag, difficulty_tier(F.col("estimated_difficulty"))))
+        cat = cat.withColumn("tags", tier)
     ratings = profiles.select("current_rating").distinct()
-    cand = band_candidates(ratings, best_by_interval(cat, params, params.max_per_tag, "primary_tag"), params)
-    wt = Window.partitionBy("current_rating", "primary_tag").orderBy(F.desc_nulls_last(SCORE), F.asc(PID))
-    cand = cand.withColumn("_tr", F.row_number().over(wt)).filter(F.col("_tr") <= params.max_per_tag)
-    top = _top_k(cand, "current_rating", params.top_k).select(
-        "current_rating", "rec_rank", F.col(PID).alias("problem_id"), "primary_tag", SCORE)
+    cand = band_candidates(ratings, best_by_interval(cat, params, params.max_per_tag, "tags"), params)
+    order = F.struct(F.col(SCORE).isNull().alias("none"), (-F.col(SCORE)).alias("s"), F.col(PID).alias("p"))
+    cand = materialize(cand.select("current_rating", PID, "tags", SCORE, order.alias("_order")), "table")
+    picks = "array<struct<problem_id: string, tags: array<string>, final_score: double>>"
+    state = ratings.withColumn("_picked", F.array().cast(picks))
+    for _ in range(params.top_k):
+        used = F.flatten(F.transform("_picked", lambda x: x["tags"]))
+        taken = F.transform("_picked", lambda x: x["problem_id"])
+        now = state.select("current_rating", "_picked", used.alias("_used"), taken.alias("_taken"))
+        # one row per rating on the state's side
+        j = cand.join(now, "current_rating").filter(~F.array_contains("_taken", F.col(PID)) & F.forall(
+            "tags", lambda t: F.size(F.filter("_used", lambda u: u == t)) < params.max_per_tag))
+        best = j.groupBy("current_rating").agg(F.min_by(F.struct(F.col(PID).alias("problem_id"), "tags", F.col(SCORE).alias("final_score")),
+                                                        F.col("_order")).alias("_best"))
+        state = state.join(best, "current_rating", "left").select("current_rating", F.when(
+            F.col("_best").isNotNull(), F.concat("_picked", F.array("_best"))).otherwise(F.col("_picked")).alias("_picked"))
+        state = materialize(state, "table")  # a row per rating; the rounds' plans stay short
+    top = state.select("current_rating", F.posexplode("_picked").alias("_pos", "p")).select(
+        "current_rating", (F.col("_pos") + 1).alias("rec_rank"), "p.problem_id", F.col("p.tags")[0].alias("primary_tag"),
+        F.array_join("p.tags", ",").alias("tags"), F.col("p.final_score").alias(SCORE))
     return _with_status(profiles.select(HANDLE, "current_rating"), top, ["current_rating"])
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
+from ..functions.quantiles import rank_quantiles
 from ..functions.segments import IDX, SEG, drop_halo, is_segmented, strip
 from ..functions.sequence import running_frame, user_window
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from ..params import Params
 from ..schema import HANDLE, OK, PID, RATING, VERDICT
 
@@ -76,28 +77,37 @@ def survival_pairs(rows: DataFrame) -> DataFrame:
     return g.filter((F.col("time_to_event") >= 0) | (F.col("event_observed") == 0))
 
 
+def time_counts(pairs: DataFrame, time_col: str = "time_to_event") -> DataFrame:
+    """Pairs counted by (problem, time), a null time for those without event: written once, it
+    serves rates, sizes and quantiles. Partial counts in each task split a hot problem."""
+    t = F.when(F.col("event_observed") == 1, F.col(time_col))
+    return materialize(pairs.groupBy(PID, t.alias("t")).agg(F.count(F.lit(1)).alias("n")), "table")
+
+
 def survival_effects(pairs: DataFrame, params: Params = Params()) -> DataFrame:
     """Event rate, exact median time, sample size >= minimum, hazard-style ratio.
 
-    The mean event rate over kept problems is a scalar subquery (one value),
+    The median is found by rank selection over the counted times, so no task holds the times of a
+    problem. The mean event rate over kept problems is a scalar subquery (one value),
     not an unpartitioned window.
     """
-    per = pairs.groupBy(PID).agg(
-        F.avg("event_observed").alias("event_rate"),
-        F.median("time_to_event").alias("median_time_to_improve"),
-        F.count(F.lit(1)).alias("sample_size"),
+    counts = time_counts(pairs)
+    n = F.col("n")
+    per = counts.groupBy(PID).agg(
+        (F.sum(F.when(F.col("t").isNotNull(), n).otherwise(F.lit(0))) / F.sum(n)).alias("event_rate"),
+        F.sum(n).alias("sample_size"),
     ).filter(F.col("sample_size") >= F.lit(params.min_survival_samples))
+    medians = rank_quantiles(counts, [PID], "t", "n", [0.5]).select(PID, F.col("q")[0].alias("median_time_to_improve"))
     mean_rate = per.agg(F.avg("event_rate")).scalar()
-    return per.withColumn("hazard_ratio", F.coalesce(safe_div(F.col("event_rate"), mean_rate), F.lit(1.0)))
+    return per.join(medians, PID, "left").select(
+        PID, "event_rate", "median_time_to_improve", "sample_size",
+        F.coalesce(safe_div(F.col("event_rate"), mean_rate), F.lit(1.0)).alias("hazard_ratio"))
 
 
 def time_quantiles(pairs: DataFrame, time_col: str = "time_to_event") -> DataFrame:
-    """X11: median and 75th percentile of observed times per problem (exact;
-    the percentile state is a value->count map, bounded by distinct times)."""
-    q = F.percentile(F.col(time_col), F.array(F.lit(0.5), F.lit(0.75)))
-    return (pairs.filter(F.col("event_observed") == 1).groupBy(PID)
-            .agg(q.alias("_q"), F.count(F.lit(1)).alias("observed"))
-            .select(PID, F.col("_q")[0].alias("median_time"), F.col("_q")[1].alias("p75_time"), "observed"))
+    """X11: median and 75th percentile of observed times per problem, exact, by rank selection."""
+    q = rank_quantiles(time_counts(pairs, time_col), [PID], "t", "n", [0.5, 0.75])
+    return q.select(PID, F.col("q")[0].alias("median_time"), F.col("q")[1].alias("p75_time"), F.col("total").alias("observed"))
 
 
 def kaplan_meier(durations: DataFrame, time_col: str = "time_to_event",
@@ -126,52 +136,77 @@ def kaplan_meier(durations: DataFrame, time_col: str = "time_to_event",
     return per_t.select(PID, F.col("t").alias("time"), "at_risk", "events", "censored", surv.alias("survival"))
 
 
-def _level_tables(rows: DataFrame, block: int, levels: int) -> list[DataFrame]:
-    """Level 0 = rows (handle, unit = row index, mx = rating); level k = maxima of
-    ``block`` consecutive level k-1 units. Each carries ``parent = unit div block``, which
-    is 0 for all of the last level: a longer history is an error, not a censored row."""
-    b = F.lit(block)
-    short = F.raise_error(F.lit(f"a history is longer than {block}^{levels + 1} rows: more levels are needed"))
-    t = rows.select(HANDLE, F.col("idx").alias("unit"), F.col(RATING).alias("mx"))
-    out = []
-    for k in range(levels + 1):
-        up = F.floor(F.col("unit") / b).cast("long")
-        t = t.withColumn("parent", up if k < levels else F.when(up > 0, short.cast("long")).otherwise(up))
-        out.append(t)
-        if k < levels:
-            t = t.groupBy(HANDLE, F.col("parent").alias("unit")).agg(F.max("mx").alias("mx"))
-    return out
+def _with_maxima(units: DataFrame, block: int) -> DataFrame:
+    """(handle, seg, maxima): each run of ``block`` consecutive units as a sparse table, an array of
+    arrays; ``maxima[k][i]`` is the greatest value of units i .. i + 2^k - 1 of the run (cut at its end).
+    A run has ``block`` units at most, so no task gathers a whole history."""
+    runs = units.groupBy(HANDLE, "seg").agg(F.array_sort(F.collect_list(F.struct("unit", "mx"))).alias("_u"))
+    widths = F.array(*[F.lit(1 << k) for k in range((block - 1).bit_length() - 1)]).cast("array<int>")
+    own = F.transform("_u", lambda u: u["mx"])
+
+    def wider(acc, w):
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.transform(last, lambda x, i: F.greatest(x, F.get(last, i + w)))))
+
+    return runs.select(HANDLE, "seg", F.aggregate(widths, F.array(own), wider).alias("maxima"))
+
+
+def _first_in_run(maxima: F.Column, start: F.Column, th: F.Column, block: int) -> F.Column:
+    """Place of the first unit at or after ``start`` whose value reaches ``th``, or null: binary
+    lifting, a stretch of 2^k units is stepped over when its maximum is too small."""
+    ks = F.array(*[F.lit(k) for k in range((block - 1).bit_length() - 1, -1, -1)])
+
+    def over(at, k):
+        low = F.get(F.get(maxima, k), at) < th
+        return F.when(low, at + F.pow(F.lit(2), k).cast("int")).otherwise(at)
+
+    at = F.aggregate(ks, start.cast("int"), over)
+    return F.when(F.get(F.get(maxima, F.lit(0)), at) >= th, at)
 
 
 def first_reaching(rows: DataFrame, queries: DataFrame, block: int = 1024, levels: int = 3) -> DataFrame:
     """For each query (handle, qid, start, th): the first row index > start whose
     rating >= th, or null. Exact; raises where a history has more than
-    block^(levels+1) rows (2^40 by default).
-
-    Search: at every level k, the query looks only at the level-k units that
-    follow its own unit inside the same parent (<= block candidates each); the
-    lowest level with a hit wins. Descent: from the hit unit, the first child
-    with max >= th, down to a row. Every join is an equi-join on
-    (handle, parent) with at most ``block`` matches per query, so no pair
-    explosion, and block keys spread one heavy user over many tasks.
+    block^(levels+1) rows (2^40 by default). ``rows`` (handle, idx, rating) numbers each
+    history from 0 without gaps.
+
+    Rows lie in runs of ``block`` units, each a sparse table of power-of-two maxima; the units of the
+    next level are the runs' maxima. A query looks into the one run that holds its start; where nothing
+    there reaches ``th``, into the one run of runs, and so on; then down again, one run a level. So it
+    meets 2 * levels + 1 rows, each searched by binary lifting in log2(block) steps: O(log n). Joins are
+    equi-joins on (handle, run) against one row each, and run keys spread one heavy user over many tasks.
     """
-    tables = _level_tables(rows, block, levels)
-    hits = None
-    for k, t in enumerate(tables):
-        own = F.floor(F.col("start") / F.lit(block ** k)).cast("long")
-        q = queries.select(HANDLE, "qid", "th", own.alias("_own")).withColumn(
-            "parent", F.floor(F.col("_own") / F.lit(block)).cast("long"))
-        j = q.join(t, [HANDLE, "parent"], "inner").filter((F.col("unit") > F.col("_own")) & (F.col("mx") >= F.col("th")))
-        h = j.groupBy(HANDLE, "qid", "th").agg(F.min("unit").alias("unit")).withColumn("lvl", F.lit(k))
-        hits = h if hits is None else hits.unionByName(h)
-    first = hits.groupBy(HANDLE, "qid", "th").agg(F.min_by(F.struct("lvl", "unit"), F.col("lvl")).alias("_h"))
-    cur = first.select(HANDLE, "qid", "th", F.col("_h.lvl").alias("lvl"), F.col("_h.unit").alias("unit"))
-    for k in range(levels, 0, -1):
-        at = cur.filter(F.col("lvl") == k).select(HANDLE, "qid", "th", F.col("unit").alias("parent"))
-        child = tables[k - 1]
-        step = (at.join(child, [HANDLE, "parent"], "inner").filter(F.col("mx") >= F.col("th"))
-                .groupBy(HANDLE, "qid", "th").agg(F.min("unit").alias("unit")).withColumn("lvl", F.lit(k - 1)))
-        cur = cur.filter(F.col("lvl") != k).unionByName(step)
+    if block < 2:
+        raise ValueError("a run needs two units at least")
+    b = F.lit(block)
+    units = rows.select(HANDLE, F.col("idx").alias("unit"), F.col(RATING).alias("mx"))
+    short = F.raise_error(F.lit(f"a history is longer than {block}^{levels + 1} rows: more levels are needed"))
+    tables = []
+    for k in range(levels + 1):
+        seg = F.floor(F.col("unit") / b).cast("long")
+        units = units.withColumn("seg", seg if k < levels else F.when(seg > 0, short.cast("long")).otherwise(seg))
+        t = _with_maxima(units, block)
+        tables.append(t.withColumnsRenamed({HANDLE: "_user", "seg": "_seg"}))
+        units = t.select(HANDLE, F.col("seg").alias("unit"), F.array_max(F.col("maxima")[0]).alias("mx"))
+    cur = queries.select(HANDLE, "qid", "th", F.col("start").cast("long").alias("unit"), F.lit(None).cast("int").alias("lvl"))
+    here = (F.col(HANDLE) == F.col("_user")) & (F.col("_own") == F.col("_seg"))
+    for k in range(levels + 1):  # up: lvl is the level where the first hit was found
+        own = F.floor(F.col("unit") / b).cast("long")
+        # a query that has its hit meets no run; its key stays spread
+        cur = cur.withColumn("_own", F.when(F.col("lvl").isNull(), own).otherwise(-1 - own))
+        j = cur.join(tables[k], here, "left")
+        at = _first_in_run(F.col("maxima"), F.col("unit") % b + 1, F.col("th"), block)
+        j = j.withColumn("_at", F.when(F.col("lvl").isNull(), at))
+        cur = j.select(HANDLE, "qid", "th", F.when(F.col("_at").isNotNull(), F.col("_own") * b + F.col("_at"))
+                       .when(F.col("lvl").isNull(), F.col("_own")).otherwise(F.col("unit")).alias("unit"),
+                       F.when(F.col("_at").isNotNull(), F.lit(k)).otherwise(F.col("lvl")).alias("lvl"))
+    cur = cur.filter(F.col("lvl").isNotNull())
+    for k in range(levels, 0, -1):  # down: the first unit of the run that the hit stands for
+        cur = cur.withColumn("_own", F.when(F.col("lvl") == k, F.col("unit")).otherwise(-1 - F.col("unit")))
+        j = cur.join(tables[k - 1], here, "left")
+        at = _first_in_run(F.col("maxima"), F.lit(0), F.col("th"), block)
+        cur = j.select(HANDLE, "qid", "th", F.when(F.col("lvl") == k, F.col("unit") * b + at).otherwise(F.col("unit")).alias("unit"),
+                       F.when(F.col("lvl") == k, F.lit(k - 1)).otherwise(F.col("lvl")).alias("lvl"))
     return cur.select(HANDLE, "qid", F.col("unit").alias("event_idx"))
 
 
@@ -191,7 +226,8 @@ def time_to_improve(features: DataFrame, params: Params = Params(), block: int =
     ``duration`` is the time for observed rows and the follow-up otherwise."""
     base = drop_halo(features)
     rows = base.withColumn("idx", _feature_row_index(base, params))
-    rows = rows.select(HANDLE, PID, VERDICT, RATING, "idx")
+    # the features' windows run once: queries, runs and ends of histories read this narrow table
+    rows = materialize(rows.select(HANDLE, PID, VERDICT, RATING, "idx"), "table")
     solves = rows.filter(F.col(VERDICT) == F.lit(OK)).groupBy(HANDLE, PID).agg(
         F.min_by(F.struct(F.col("idx").alias("i"), F.col(RATING).alias("r")), F.col("idx")).alias("_s"))
     solves = solves.select(HANDLE, PID, F.col("_s.i").alias("solve_idx"), F.col("_s.r").alias("solve_rating"))

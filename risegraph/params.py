@@ -50,6 +50,8 @@ class Params:
     path_min_support: int = 30
     # fewest occurrences of a reported solve pattern
     pattern_min_support: int = 5
+    # longest gapped solve pattern (X9); consecutive members are at most transition_window solves apart
+    pattern_max_len: int = 3
     # placebo
     placebo_min_count: int = 20
     # recommender: candidate band [rating - below, rating + above], top k

@@ -33,10 +33,12 @@ class Analysis:
     """Artefacts of one submissions log.
 
     ``materialize`` keeps the artefacts that several consumers read (features,
-    cohort effects, survival, paths, graph, catalog, profiles) computed once:
-    ``True``/``"persist"`` caches them on the executors, ``"checkpoint"`` writes
-    them to the shared checkpoint folder (cuts lineage), ``False`` leaves every
-    consumer its own plan (best for a single report).
+    cohort effects, survival, paths, graph, catalog, profiles) computed once.
+    ``True`` caches the features, which keep their partitioning and order by user, and
+    writes the small artefacts as Parquet to the shared checkpoint folder, so the plans of their
+    consumers start from scans; ``"persist"`` caches all, ``"checkpoint"`` and ``"table"`` write
+    all there, ``False`` leaves every consumer its own plan (best for a single report).
+    The cohort cells are written once in any case.
     """
 
     def __init__(self, submissions: DataFrame, params: Params = Params(), clean: bool = True,
@@ -47,10 +49,12 @@ class Analysis:
         self.materialize = materialize
         self._catalogs: dict = {}
 
-    def _m(self, df: DataFrame) -> DataFrame:
+    def _m(self, df: DataFrame, large: bool = False) -> DataFrame:
         if not self.materialize:
             return df
-        return materialize(df, "persist" if self.materialize is True else self.materialize)
+        if self.materialize is True:
+            return materialize(df, "persist" if large else "table")
+        return materialize(df, self.materialize)
 
     # ------------------------------------------------------------ inputs
     @cached_property
@@ -97,7 +101,7 @@ class Analysis:
         f = user_features(self.sequenced, self.difficulty, self.params)
         if is_segmented(f):
             return materialize(f, "table")
-        return self._m(f)
+        return self._m(f, large=True)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -114,7 +118,8 @@ class Analysis:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return C.cem_cells(self.cem, self.params)
+        """Written once: every cohort report reads this small table."""
+        return C.written_cells(self.cem, self.params)
 
     @cached_property
     def baseline(self) -> DataFrame:
@@ -230,6 +235,10 @@ class Analysis:
     def path_patterns(self) -> DataFrame:
         return G.path_patterns(self.features_seq, self.params)
 
+    @cached_property
+    def gapped_patterns(self) -> DataFrame:
+        return G.gapped_patterns(self.features_seq, self.params)
+
     # ------------------------------------------------------------ placebo
     @cached_property
     def placebo_bias(self) -> DataFrame:
