@@ -150,6 +150,16 @@ def p_of(z: str) -> str:
             f"WHEN {z} = 0 THEN 1.0 ELSE 1 - exp(-{x} * {x}) * {series} END")
 
 
+def t_p_of(t: str, df: str) -> str:
+    """Two-sided Student p by the power series of the incomplete beta function I_y(1/2, df/2) at
+    y = t^2 / (df + t^2), its terms in closed form with lgamma (independent of the Spark form)."""
+    y, a = f"({t} * {t} / ({df} + {t} * {t}))", f"({df} / 2)"
+    series = (f"list_sum(list_transform(range(0, 4000), lambda n: exp((n + 0.5) * ln({y}) + {a} * ln(1 - {y}) "
+              f"+ lgamma({a} + n + 0.5) - lgamma({a}) - lgamma(n + 1.5))))")
+    return (f"CASE WHEN {t} IS NULL OR {df} IS NULL OR isnan({t}) THEN NULL WHEN isinf({t}) THEN 0.0 "
+            f"WHEN {t} = 0 THEN 1.0 ELSE greatest(1 - {series}, 0.0) END")
+
+
 def z_of(est: str, se: str) -> str:
     return (f"CASE WHEN {se} > 0 THEN {est} / {se} WHEN {se} = 0 AND {est} > 0 THEN 'inf'::DOUBLE "
             f"WHEN {se} = 0 AND {est} < 0 THEN '-inf'::DOUBLE END")
@@ -398,6 +408,60 @@ def dtier(c: str) -> str:
     return f"CASE WHEN {c} <= 1400 THEN 'easy' WHEN {c} <= 1700 THEN 'medium' ELSE 'hard' END"
 
 
+# titles and tags of the problems: part k belongs to problem k % 10
+DIM = """dim AS (
+  WITH p AS (SELECT 'P' || lpad(CAST(p_partkey % 10 AS VARCHAR), 2, '0') AS pid, p_partkey, p_name, p_type FROM part),
+  w AS (SELECT pid, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS tag FROM p),
+  c AS (SELECT pid, tag, row_number() OVER (PARTITION BY pid ORDER BY count(*) DESC, tag) AS r
+        FROM w WHERE tag <> '' GROUP BY pid, tag)
+  SELECT t.pid AS id_of_submission_task, t.title, l.tags
+  FROM (SELECT pid, arg_min(p_name, p_partkey) AS title FROM p GROUP BY pid) t
+  JOIN (SELECT pid, list(tag ORDER BY r) AS tags FROM c WHERE r <= 3 GROUP BY pid) l USING (pid))"""
+
+# lineitem -> submissions: handle = supplier, problem = brand, thresholds of the reference
+LI_SUBS = """subs AS (
+  WITH d AS (
+    SELECT CAST(l_suppkey AS VARCHAR) AS handle, epoch_us(CAST(l_shipdate AS TIMESTAMP)) AS time, l_orderkey, l_linenumber,
+           l_partkey, l_extendedprice, coalesce(p_brand, 'Brand#00') AS id_of_submission_task,
+           CASE WHEN l_returnflag = 'R' THEN 'WRONG_ANSWER' ELSE 'OK' END AS verdict,
+           CAST(round(l_discount * 100) AS INTEGER) - 5 + CASE p_brand WHEN 'Brand#11' THEN 15 WHEN 'Brand#12' THEN 8
+             WHEN 'Brand#54' THEN -8 WHEN 'Brand#55' THEN -15 ELSE 0 END AS step,
+           CASE WHEN p_brand = 'Brand#33' THEN NULL
+                ELSE CAST(800 + 40 * CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS INTEGER) AS DOUBLE) END AS problem_rating
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
+  SELECT * EXCLUDE (step), CAST(1500 + coalesce(sum(step) OVER (PARTITION BY handle
+           ORDER BY time, l_orderkey, l_linenumber, l_partkey, l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rating_at_submission
+  FROM d)"""
+LI_ORDER = "time, l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+
+
+def _li(fragment: str) -> str:
+    """A fragment over the lineitem log: its order of a history and the reference's minimums."""
+    if fragment == SUBS:
+        return LI_SUBS
+    f = fragment
+    for name in ("id_of_submission_task NULLS FIRST, verdict NULLS FIRST", "pid NULLS FIRST"):
+        f = f.replace(f"time, {name}, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST", LI_ORDER)
+    f = f.replace("s.time DESC, s.pid DESC NULLS LAST,\n             s.rating_at_submission DESC, s.problem_rating DESC NULLS LAST",
+                  ", ".join(f"s.{c} DESC" for c in LI_ORDER.split(", ")))
+    own = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, "
+    if fragment == FEAT:
+        f = f.replace("  SELECT handle, time, id_of_submission_task, verdict", f"  SELECT {own}handle, time, id_of_submission_task, verdict")
+    if fragment == SOL:
+        f = f.replace("SELECT handle, time,", f"SELECT {own}handle, time,")
+    if fragment == PROF:
+        for c in ("rating_at_submission", "roll_acc_20", "roll_ok_diff_20"):
+            f = f.replace(f"arg_max({c}, time)", f"last({c} ORDER BY {LI_ORDER})")
+    if fragment == BASE:
+        f = f.replace(f">= {MS})", ">= 50)")
+    if fragment == TREAT:
+        f = f.replace(f">= {MT})", ">= 10)")
+    if fragment == EFF:
+        f = f.replace(f"treated_count >= {MS} AND baseline_count >= {MS}", "treated_count >= 50 AND baseline_count >= 50")
+    return f
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(<expr>, 6)`` as ``(round(<expr>, 6) + 0.0)``: DuckDB
     rounds tiny negatives to -0.0, Spark to 0.0."""
@@ -484,7 +548,8 @@ def _queries() -> dict[str, str]:
     q["welch_stats"] = with_(*ATT_CHAIN) + f"""
       SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(t_stat, 6) AS t_stat,
              round(CASE WHEN den = 0 THEN NULL ELSE att_variance ^ 2 / den END, 6) AS welch_df,
-             round({p_of('t_stat')}, 6) AS p_value
+             round({p_of('t_stat')}, 6) AS p_value,
+             round({t_p_of('t_stat', '(CASE WHEN den = 0 THEN NULL ELSE att_variance ^ 2 / den END)')}, 6) AS p_value_t
       FROM (SELECT *, {z_of('att_score', 'sqrt(att_variance)')} AS t_stat
             FROM (SELECT id_of_submission_task, sum(weight * uplift) AS att_score, sum(a + b) AS att_variance,
                          sum(a ^ 2 / (treated_count - 1) + b ^ 2 / (baseline_count - 1)) AS den
@@ -501,36 +566,27 @@ def _queries() -> dict[str, str]:
                      rating_at_submission AS x FROM cem
               UNION ALL SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, 'accuracy', roll_acc_20 FROM cem
               UNION ALL SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, 'difficulty', roll_ok_diff_20 FROM cem),
-      t AS (SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, covariate, count(x) AS t_n,
-                   sum(x) AS t_s, sum(x * x) AS t_ss FROM lng GROUP BY ALL),
-      c AS (SELECT bin_rating, bin_acc, bin_diff, covariate, count(x) AS c_n, sum(x) AS c_s,
-                   sum(x * x) AS c_ss FROM lng GROUP BY ALL),
-      g AS (SELECT t.id_of_submission_task, t.covariate, sum(t_n) AS nt, sum(t_s) AS st, sum(t_ss) AS sst,
-                   sum(e.weight * c_s / c_n) AS mc, sum(e.weight * c_ss / c_n) AS msc
-            FROM t JOIN eff e ON t.id_of_submission_task = e.id_of_submission_task AND t.bin_rating = e.bin_rating
-                              AND t.bin_acc = e.bin_acc AND t.bin_diff = e.bin_diff
-                   JOIN c ON t.bin_rating = c.bin_rating AND t.bin_acc = c.bin_acc AND t.bin_diff = c.bin_diff
-                         AND t.covariate = c.covariate
-            GROUP BY ALL),
-      h AS (SELECT *, st / nt AS mt FROM g)
+      c AS (SELECT bin_rating, bin_acc, bin_diff, covariate, avg(x) AS m, var_pop(x) AS v FROM lng GROUP BY ALL),
+      t AS (SELECT l.id_of_submission_task, l.covariate, avg(x) AS mt, var_samp(x) AS vt
+            FROM lng l JOIN eff e USING (id_of_submission_task, bin_rating, bin_acc, bin_diff) GROUP BY ALL),
+      k AS (SELECT e.id_of_submission_task, c.covariate, e.weight AS w, c.m, c.v
+            FROM eff e JOIN c USING (bin_rating, bin_acc, bin_diff)),
+      mc AS (SELECT id_of_submission_task, covariate, sum(w * m) AS mc FROM k GROUP BY ALL),
+      vc AS (SELECT k.id_of_submission_task, k.covariate, sum(w * (v + (m - mc) ^ 2)) AS vc
+             FROM k JOIN mc USING (id_of_submission_task, covariate) GROUP BY ALL)
       SELECT id_of_submission_task, covariate, round(mt, 6) AS treated_mean, round(mc, 6) AS control_mean,
-             round(CASE WHEN greatest((vt + msc - mc * mc) / 2, 0.0) > 0
-                        THEN (mt - mc) / sqrt(greatest((vt + msc - mc * mc) / 2, 0.0)) END, 6) AS smd
-      FROM (SELECT *, CASE WHEN nt > 1 THEN (sst - nt * mt * mt) / (nt - 1) END AS vt FROM h)"""
+             round(CASE WHEN (vt + vc) / 2 > 0 THEN (mt - mc) / sqrt((vt + vc) / 2) END, 6) AS smd
+      FROM t JOIN mc USING (id_of_submission_task, covariate) JOIN vc USING (id_of_submission_task, covariate)"""
     q["att_effects_solvers"] = with_(*CEM_CHAIN) + f""",
-      a AS (SELECT bin_rating, bin_acc, bin_diff, count(rating_gain_20) AS a_n, sum(rating_gain_20) AS a_s,
-                   sum(rating_gain_20 * rating_gain_20) AS a_ss, sum(improved_20) AS a_imp
-            FROM cem GROUP BY ALL),
       s AS (SELECT id_of_submission_task, bin_rating, bin_acc, bin_diff, count(rating_gain_20) AS t_n,
-                   sum(rating_gain_20) AS t_s, sum(rating_gain_20 * rating_gain_20) AS t_ss,
-                   sum(improved_20) AS t_imp
+                   avg(rating_gain_20) AS t_m, var_samp(rating_gain_20) AS t_v, avg(improved_20) AS t_p
             FROM cem WHERE verdict = 'OK' GROUP BY ALL),
-      j AS (SELECT s.*, a_n - t_n AS c_n, a_s - t_s AS c_s, a_ss - t_ss AS c_ss, a_imp - t_imp AS c_imp
-            FROM s JOIN a ON s.bin_rating = a.bin_rating AND s.bin_acc = a.bin_acc AND s.bin_diff = a.bin_diff),
-      k AS (SELECT *, t_s / t_n - c_s / c_n AS uplift,
-                   (t_ss - t_n * (t_s / t_n) * (t_s / t_n)) / (t_n - 1) / t_n
-                   + (c_ss - c_n * (c_s / c_n) * (c_s / c_n)) / (c_n - 1) / c_n AS bucket_variance,
-                   t_imp / t_n - c_imp / c_n AS probability_uplift
+      j AS (SELECT s.*, count(*) AS c_n, avg(r.rating_gain_20) AS c_m, var_samp(r.rating_gain_20) AS c_v,
+                   avg(r.improved_20) AS c_p
+            FROM s JOIN cem r ON s.bin_rating = r.bin_rating AND s.bin_acc = r.bin_acc AND s.bin_diff = r.bin_diff
+                 AND NOT (r.id_of_submission_task = s.id_of_submission_task AND r.verdict = 'OK')
+            GROUP BY ALL),
+      k AS (SELECT *, t_m - c_m AS uplift, t_v / t_n + c_v / c_n AS bucket_variance, t_p - c_p AS probability_uplift
             FROM j WHERE t_n >= {MS} AND c_n >= {MS}),
       w AS (SELECT *, t_n / sum(t_n) OVER (PARTITION BY id_of_submission_task) AS weight,
                    sum(t_n) OVER (PARTITION BY id_of_submission_task) AS tot
@@ -596,6 +652,20 @@ def _queries() -> dict[str, str]:
       SELECT first, second, third, first || '>' || second || '>' || third AS pattern, support,
              round(support / pair_support, 6) AS confidence
       FROM tr JOIN pr USING (first, second)"""
+    q["gapped_patterns"] = with_(*CORE, SOL) + """,
+      n AS (SELECT handle, pid, row_number() OVER (PARTITION BY handle ORDER BY time, pid NULLS FIRST, rating_at_submission NULLS FIRST, problem_rating NULLS FIRST) AS i FROM sol),
+      one AS (SELECT pid AS pattern, count(DISTINCT handle) AS support FROM n GROUP BY pid),
+      pairs AS (SELECT a.handle, a.pid AS p1, b.pid AS p2, b.i FROM n a JOIN n b
+                  ON a.handle = b.handle AND b.i BETWEEN a.i + 1 AND a.i + 5),
+      two AS (SELECT p1 || '>' || p2 AS pattern, p1 AS prefix, 2 AS length, count(DISTINCT handle) AS support
+              FROM pairs GROUP BY p1, p2),
+      three AS (SELECT p1 || '>' || p2 || '>' || c.pid AS pattern, p1 || '>' || p2 AS prefix, 3 AS length,
+                       count(DISTINCT handle) AS support
+                FROM pairs JOIN n c USING (handle) WHERE c.i BETWEEN pairs.i + 1 AND pairs.i + 5 GROUP BY p1, p2, c.pid)
+      SELECT a.pattern, a.length, a.support, b.support AS prefix_support, round(a.support / b.support, 6) AS confidence
+      FROM (SELECT * FROM two UNION ALL SELECT * FROM three) a
+      JOIN (SELECT pattern, support FROM one UNION ALL SELECT pattern, support FROM two) b ON a.prefix = b.pattern
+      WHERE a.support >= 5"""
     # V X6 X7
     q["placebo_bias"] = with_(*CORE, PLACEBO_SRC, bias_sql("plsrc", "", "pbias")) + """
       SELECT id_of_submission_task, round(bias_score, 6) AS bias_score,
@@ -626,16 +696,19 @@ def _queries() -> dict[str, str]:
                                AND id_of_submission_task IN (SELECT id_of_submission_task FROM signif))
               WHERE rn <= 5),
       su AS (SELECT id_of_submission_task,
-                    string_agg(handle || ':' || CAST(CAST(rating_gain_20 AS BIGINT) AS VARCHAR), ','
+                    string_agg(handle || ':' || CAST(CAST(rating_at_submission AS BIGINT) AS VARCHAR) || ':'
+                               || CAST(CAST(future_rating_20 AS BIGINT) AS VARCHAR) || ':'
+                               || CAST(CAST(rating_gain_20 AS BIGINT) AS VARCHAR), ','
                                ORDER BY rating_gain_20 DESC, handle, rating_at_submission, future_rating_20) AS s
              FROM coh GROUP BY ALL),
       ns AS (SELECT source_problem AS id_of_submission_task,
-                    string_agg(target_problem, ',' ORDER BY transition_probability DESC, target_problem) AS s
+                    string_agg(target_problem || ':' || CAST(CAST(round(transition_probability * 1000000) AS BIGINT) AS VARCHAR),
+                               ',' ORDER BY transition_probability DESC, target_problem) AS s
              FROM (SELECT *, row_number() OVER (PARTITION BY source_problem
                                                ORDER BY transition_probability DESC, target_problem) AS r
                    FROM graph) WHERE r <= 5 GROUP BY ALL)
-      SELECT c.id_of_submission_task, round(att_score, 6) AS att_score, round(p_value, 6) AS p_value,
-             round(hazard_ratio, 6) AS hazard_ratio, round(estimated_difficulty, 6) AS estimated_difficulty,
+      SELECT """ + ", ".join(f"c.{x}" if kind == "k" else f"round(c.{x}, 6) AS {x}" for x, kind in CAT_COLS.items()
+                             if x != "total_treated_samples") + """,
              CAST(total_treated_samples AS BIGINT) AS total_treated_samples,
              coalesce(su.s, '') AS similar_users, coalesce(ns.s, '') AS next_steps
       FROM cat_sig c LEFT JOIN su USING (id_of_submission_task) LEFT JOIN ns USING (id_of_submission_task)"""
@@ -699,4 +772,60 @@ def _queries() -> dict[str, str]:
       FROM (SELECT e.*, CAST(floor((m.estimated_difficulty - e.bin_rating * 100) / 100) * 100 AS INTEGER) AS gap_band
             FROM eff e JOIN meta m USING (id_of_submission_task))
       WHERE gap_band IS NOT NULL GROUP BY gap_band"""
+    # stored artefacts read back
+    q["ingested_submissions"] = q["clean_submissions"]
+    q["stored_features"] = q["user_features"]
+    q["stored_catalog"] = with_(*rec_base) + f"SELECT {fix(rnd(CAT_COLS))} FROM cat_sig"
+    # problem dimension
+    q["problem_dimension"] = with_(DIM) + "SELECT id_of_submission_task, title, array_to_string(tags, ', ') AS tags FROM dim"
+    q["tag_index"] = with_(*rec_base, DIM) + """,
+      t AS (SELECT id_of_submission_task AS pid, unnest(tags) AS tag FROM dim),
+      x AS (SELECT t.tag, t.pid, c.att_score, row_number() OVER (PARTITION BY t.tag, c.att_score IS NULL
+                   ORDER BY c.final_score DESC NULLS LAST, t.pid) AS r
+            FROM t LEFT JOIN cat_all c ON c.id_of_submission_task = t.pid)
+      SELECT tag, count(*) AS n_problems, count(att_score) AS n_tested, round(avg(att_score), 6) AS mean_uplift,
+             coalesce(string_agg(pid, ',' ORDER BY r) FILTER (WHERE att_score IS NOT NULL AND r <= 5), '') AS best_problems
+      FROM x GROUP BY tag"""
+    q["recommendations_titled"] = with_(*rec_base, recs_sql("cat_all", "recs"), DIM) + f"""
+      SELECT handle, rec_rank, problem_id, coalesce(d.title, 'Unknown Problem') AS title,
+             coalesce(array_to_string(d.tags, ','), '') AS tags, CAST(coalesce(len(d.tags), 0) AS INTEGER) AS n_tags,
+             {dtier('estimated_difficulty')} AS difficulty_tier
+      FROM recs LEFT JOIN dim d ON d.id_of_submission_task = recs.problem_id"""
+    rounds = "".join(f""",
+      st{k + 1} AS (SELECT s.current_rating, CASE WHEN b.pid IS NULL THEN s.picked ELSE list_append(s.picked, b.pid) END AS picked,
+                           CASE WHEN b.pid IS NULL THEN s.used ELSE list_concat(s.used, b.tags) END AS used
+                    FROM st{k} s LEFT JOIN (
+                      SELECT c.current_rating, c.pid, c.tags FROM cand c JOIN st{k} s USING (current_rating)
+                      WHERE NOT list_contains(s.picked, c.pid)
+                        AND len(list_filter(c.tags, lambda t: len(list_filter(s.used, lambda u: u = t)) >= 2)) = 0
+                      QUALIFY row_number() OVER (PARTITION BY c.current_rating ORDER BY c.final_score DESC NULLS LAST, c.pid) = 1
+                    ) b USING (current_rating))""" for k in range(5))
+    q["recommend_diverse_tags"] = with_(*rec_base, DIM) + f""",
+      ratings AS (SELECT DISTINCT current_rating FROM prof),
+      cand AS (SELECT r.current_rating, c.id_of_submission_task AS pid, c.final_score,
+                      CASE WHEN len(d.tags) > 0 THEN list_sort(d.tags) ELSE [{dtier('c.estimated_difficulty')}] END AS tags
+               FROM ratings r JOIN cat_all c
+                 ON c.estimated_difficulty BETWEEN r.current_rating - 200 AND r.current_rating + 400
+               LEFT JOIN dim d USING (id_of_submission_task)),
+      st0 AS (SELECT current_rating, CAST([] AS VARCHAR[]) AS picked, CAST([] AS VARCHAR[]) AS used FROM ratings){rounds},
+      top AS (SELECT current_rating, unnest(picked) AS pid, unnest(range(1, len(picked) + 1)) AS rec_rank FROM st5)
+      SELECT p.handle, p.current_rating, CAST(t.rec_rank AS INTEGER) AS rec_rank, t.pid AS problem_id, c.tags[1] AS primary_tag,
+             array_to_string(c.tags, ',') AS tags, round(c.final_score, 6) AS final_score,
+             CASE WHEN t.pid IS NULL THEN 'no_match' ELSE 'success' END AS status
+      FROM prof p LEFT JOIN top t USING (current_rating)
+      LEFT JOIN cand c ON c.current_rating = t.current_rating AND c.pid = t.pid"""
+    # lineitem at the reference's thresholds
+    li = [_li(f) for f in FULL]
+    q["li_att_significance"] = with_(*li) + f"SELECT {fix(rnd(SIG_COLS))} FROM sig"
+    q["li_placebo_bias"] = with_(*li[:4], _li(PLACEBO_SRC), bias_sql("plsrc", "", "pbias")) + """
+      SELECT id_of_submission_task, round(bias_score, 6) AS bias_score,
+             round(probability_bias_score, 6) AS probability_bias_score, total_samples FROM pbias"""
+    q["li_survival_effects"] = with_(*li) + """
+      SELECT id_of_submission_task, round(event_rate, 6) AS event_rate,
+             round(median_time_to_improve, 6) AS median_time_to_improve, sample_size,
+             round(hazard_ratio, 6) AS hazard_ratio FROM surv"""
+    q["li_transition_graph"] = with_(*li[:4], _li(SOL), _li(GRAPH)) + """
+      SELECT source_problem, target_problem, transition_count, round(avg_gap, 6) AS avg_gap,
+             distinct_users, round(transition_probability, 6) AS transition_probability FROM graph"""
+    q["li_recommendations"] = with_(*li, cat_sql("cat_all", "sig"), _li(PROF), recs_sql("cat_all", "recs")) + f"SELECT {rc} FROM recs"
     return q

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.segments import is_segmented, strip
 from ..operators import recommend as R
 from ..params import Params
-from ..sources.ingest import with_handle_bucket, write_table
+from ..schema import HANDLE
+from ..sources.ingest import with_handle_bucket, write_lookup, write_table
 from .analysis import Analysis
 
 # artefact names (fixed: the reference's file names)
@@ -33,7 +34,12 @@ PLACEBO = "placebo_selection_bias"
 def _stage(spark: SparkSession, a: Analysis, attr: str, out_dir: str, name: str,
            partition_by: list[str] | None = None, df: DataFrame | None = None) -> DataFrame:
     path = f"{out_dir.rstrip('/')}/{name}"
-    write_table(getattr(a, attr) if df is None else df, path, partition_by)
+    df = getattr(a, attr) if df is None else df
+    if name == FEATURES and not partition_by:
+        # the windows dealt the rows by user already
+        write_lookup(df, path, HANDLE, a.params.order_by, by_range=False)
+    else:
+        write_table(df, path, partition_by)
     back = spark.read.parquet(path)
     if partition_by:
         back = back.drop(*partition_by)
@@ -82,7 +88,7 @@ def run_batch(spark: SparkSession, submissions: DataFrame, out_dir: str, params:
         arts = load_artifacts(spark, d)
         cat = catalog_from_artifacts(arts)
         prof = R.user_profiles(arts[FEATURES], params)
-        write_table(prof, f"{d}/user_profiles")
+        write_lookup(prof, f"{d}/user_profiles")
         write_table(R.recommendations(spark.read.parquet(f"{d}/user_profiles"), cat, params),
                     f"{d}/recommendations")
         paths.update(user_profiles=f"{d}/user_profiles", recommendations=f"{d}/recommendations")

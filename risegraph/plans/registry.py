@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_doubles
 from ..params import SMALL, Params
-from ..schema import PID
-from ..sources.adapters import load_events_submissions
-from ..sources.ingest import profile
+from ..schema import HANDLE, PID, SUBMISSIONS
+from ..session import scratch_path
+from ..sources.adapters import (LINEITEM_ORDER, load_events_dimension, load_events_submissions,
+                                load_lineitem_submissions)
+from ..sources.ingest import ingest, profile, write_lookup
 from ..operators import recommend as R
+from . import batch
 from .analysis import Analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +44,18 @@ def register(name: str, materialize: bool = False):
     return deco
 
 
+def register_plain(name: str):
+    """For reports that take ``(spark, sf_dir)`` themselves."""
+    def deco(fn: Query):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return round_doubles(fn(spark, sf_dir))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        _REGISTRY[name] = run
+        return fn
+    return deco
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
@@ -72,6 +87,30 @@ def _features(a: Analysis) -> DataFrame:
     return a.features
 
 
+@register_plain("ingested_submissions")
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as raw JSON files, ingested to Parquet and cleaned."""
+    raw = scratch_path(spark, "raw-submissions")
+    load_events_submissions(spark, sf_dir).write.json(raw)
+    return Analysis(ingest(spark, raw, scratch_path(spark, "ingested"), "json", SUBMISSIONS)).submissions
+
+
+@register("stored_features")
+def _stored_features(a: Analysis) -> DataFrame:
+    """The features read back from their lookup table."""
+    spark, path = a.features.sparkSession, scratch_path(a.features.sparkSession, "features")
+    write_lookup(a.features, path, HANDLE, a.params.order_by, by_range=False)
+    return spark.read.parquet(path)
+
+
+@register_plain("stored_catalog")
+def _stored_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every artefact written by the batch run, loaded again, and the catalog made of them."""
+    path = scratch_path(spark, "artefacts")
+    batch.run_batch(spark, load_events_submissions(spark, sf_dir), path, SMALL, recommendations=False)
+    return batch.catalog_from_artifacts(batch.load_artifacts(spark, path))
+
+
 # ---------------------------------------------------------------- C
 @register("outcome_gain")
 def _outcome(a: Analysis) -> DataFrame:
@@ -209,6 +248,11 @@ def _patterns(a: Analysis) -> DataFrame:
     return a.path_patterns
 
 
+@register("gapped_patterns")
+def _gapped(a: Analysis) -> DataFrame:
+    return a.gapped_patterns
+
+
 # ---------------------------------------------------------------- V / X6 / X7
 @register("placebo_bias")
 def _placebo(a: Analysis) -> DataFrame:
@@ -258,15 +302,21 @@ def _insights(a: Analysis) -> DataFrame:
     return R.global_insights(a.catalog(significant_only=True), a.params.top_att)
 
 
+def _whole(c: F.Column, scale: int = 1) -> F.Column:
+    return F.round(c * scale).cast("long").cast("string")
+
+
 @register("problem_details", materialize=True)
 def _details(a: Analysis) -> DataFrame:
+    """All of a problem's catalog columns, its cohort as handle:before:after:gain and its next
+    steps as problem:probability in millionths."""
     d = R.problem_details(a.catalog(significant_only=True), a.cohort_examples, a.transition_graph, a.params)
-    return d.select(
-        PID, "att_score", "p_value", "hazard_ratio", "estimated_difficulty", "total_treated_samples",
-        F.concat_ws(",", F.transform("similar_users", lambda s: F.concat_ws(
-            ":", s["handle"], s["rating_gain"].cast("long").cast("string")))).alias("similar_users"),
-        F.concat_ws(",", F.transform("next_steps", lambda s: s["target_problem"])).alias("next_steps"),
-    )
+    return d.withColumns({
+        "similar_users": F.concat_ws(",", F.transform("similar_users", lambda s: F.concat_ws(
+            ":", s["handle"], _whole(s["rating_before"]), _whole(s["rating_after"]), _whole(s["rating_gain"])))),
+        "next_steps": F.concat_ws(",", F.transform("next_steps", lambda s: F.concat_ws(
+            ":", s["target_problem"], _whole(s["transition_probability"], 1_000_000)))),
+    })
 
 
 @register("recommendations_enriched", materialize=True)
@@ -277,6 +327,34 @@ def _enriched(a: Analysis) -> DataFrame:
                     "problem_index")
 
 
+@register_plain("problem_dimension")
+def _dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_events_dimension(spark, sf_dir)
+
+
+@register_plain("tag_index")
+def _tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analysis(spark, sf_dir, materialize=True)
+    t = R.tag_index(load_events_dimension(spark, sf_dir), a.catalog(significant_only=False), a.params)
+    return t.withColumn("best_problems", F.array_join("best_problems", ","))
+
+
+@register_plain("recommendations_titled")
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U1 with a problem dimension: titles and tags of every recommendation."""
+    a = analysis(spark, sf_dir, materialize=True)
+    e = R.enrich(a.recommendations(significant_only=False), load_events_dimension(spark, sf_dir))
+    return e.select("handle", "rec_rank", "problem_id", "title", F.array_join("tags", ",").alias("tags"),
+                    F.size("tags").alias("n_tags"), "difficulty_tier")
+
+
+@register_plain("recommend_diverse_tags")
+def _diverse_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X12 over all tags of the problem dimension."""
+    a = analysis(spark, sf_dir, materialize=True)
+    return R.recommend_diverse(a.profiles, a.catalog(significant_only=False), a.params, load_events_dimension(spark, sf_dir))
+
+
 @register("user_tiers")
 def _tiers(a: Analysis) -> DataFrame:
     return R.user_tiers(a.profiles)
@@ -295,7 +373,7 @@ def _reachable(a: Analysis) -> DataFrame:
 
 @register("recommend_diverse", materialize=True)
 def _diverse(a: Analysis) -> DataFrame:
-    return R.recommend_diverse(a.profiles, a.catalog(significant_only=False), a.params)
+    return R.recommend_diverse(a.profiles, a.catalog(significant_only=False), a.params).drop("tags")
 
 
 @register("uplift_by_band", materialize=True)
@@ -306,3 +384,34 @@ def _by_band(a: Analysis) -> DataFrame:
 @register("uplift_by_gap")
 def _by_gap(a: Analysis) -> DataFrame:
     return R.uplift_by_gap(a.effects, a.metadata, a.params)
+
+
+# ---------------------------------------------------------------- lineitem at the reference's thresholds
+def _lineitem(spark: SparkSession, sf_dir: str, materialize: bool = False) -> Analysis:
+    return Analysis(load_lineitem_submissions(spark, sf_dir), Params(order_by=LINEITEM_ORDER), materialize=materialize)
+
+
+@register_plain("li_att_significance")
+def _li_att(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1-C9 of the lineitem log with cells of at least 50 rows."""
+    return _lineitem(spark, sf_dir).att_significance
+
+
+@register_plain("li_placebo_bias")
+def _li_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem(spark, sf_dir).placebo_bias
+
+
+@register_plain("li_survival_effects")
+def _li_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem(spark, sf_dir).survival_effects
+
+
+@register_plain("li_transition_graph")
+def _li_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem(spark, sf_dir).transition_graph
+
+
+@register_plain("li_recommendations")
+def _li_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem(spark, sf_dir, materialize=True).recommendations(significant_only=False)

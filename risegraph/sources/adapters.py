@@ -12,7 +12,7 @@ No shared table is a submissions log, so these adapters derive one with Spark
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.segments import index_hot_users, running_sum, strip
@@ -121,3 +121,33 @@ def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame, params: Para
 def load_lineitem_submissions(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
     return _view(submissions_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
                                            spark.read.parquet(f"{sf_dir}/part.parquet"), params))
+
+
+#: Tags that a derived problem has.
+DIMENSION_TAGS = 3
+
+
+def problem_dimension(parts: DataFrame, problem: F.Column, tags: int = DIMENSION_TAGS) -> DataFrame:
+    """(id, title, tags 'a, b') of the problems that ``parts`` (of the shared tables) are dealt to: the
+    title is the name of the first part, the tags are the most frequent words of its parts' names
+    and types (ties by word). Counted partially in each task; ranked on one row per problem and word."""
+    p = parts.select(problem.alias(PID), "p_partkey", "p_name", "p_type")
+    titles = p.groupBy(PID).agg(F.min_by("p_name", F.struct("p_partkey", "p_name")).alias("title"))
+    words = p.select(PID, F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tag"))
+    words = words.filter(F.col("tag") != "").groupBy(PID, "tag").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy(PID).orderBy(F.desc("n"), F.asc("tag"))
+    words = words.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= tags)
+    listed = words.groupBy(PID).agg(F.array_sort(F.collect_list(F.struct("r", "tag"))).alias("t"))
+    listed = listed.select(PID, F.array_join(F.transform("t", lambda x: x["tag"]), ", ").alias("tags"))
+    return titles.join(listed, PID, "left")
+
+
+def load_events_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and tags of the events adapter's problems: part k belongs to problem k % 10."""
+    kk = (F.col("p_partkey") % 10).cast("string")
+    return problem_dimension(spark.read.parquet(f"{sf_dir}/part.parquet"), F.concat(F.lit("P"), F.lpad(kk, 2, "0")))
+
+
+def load_lineitem_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and tags of the lineitem adapter's problems, the brands."""
+    return problem_dimension(spark.read.parquet(f"{sf_dir}/part.parquet"), F.coalesce(F.col("p_brand"), F.lit("Brand#00")))

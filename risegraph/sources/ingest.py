@@ -93,3 +93,24 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def with_handle_bucket(df: DataFrame, n_buckets: int, name: str = "handle_bucket") -> DataFrame:
     """Stable hash bucket of the handle, for partitioned feature sinks."""
     return df.withColumn(name, F.pmod(F.xxhash64(HANDLE), F.lit(n_buckets)).cast("int"))
+
+
+def write_lookup(df: DataFrame, path: str, key: str = HANDLE, order: tuple[str, ...] = (), by_range: bool = True,
+                 row_group_bytes: int = 16 << 20, expected_keys: int = 1_000_000, mode: str = "overwrite") -> str:
+    """A sink for lookups by ``key``. Rows are dealt by ranges of (key, order) and sorted, so a
+    key's rows lie side by side: the row groups' minima and maxima rule out all but one or two, and a
+    Bloom filter of the key (sized for ``expected_keys`` in a row group) rules out gaps. A key that
+    holds many rows is split over files by ``order``. ``by_range=False`` keeps the frame's own
+    partitions (no further shuffle): a key is then in one file, and the Bloom filters rule out the others."""
+    if by_range:
+        df = df.repartitionByRange(key, *order)
+    df = df.sortWithinPartitions(key, *order)
+    w = df.write.mode(mode).option("parquet.block.size", row_group_bytes)
+    w = w.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", expected_keys)
+    w.parquet(path)
+    return path
+
+
+def read_keys(spark: SparkSession, path: str, keys: list, key: str = HANDLE) -> DataFrame:
+    """The rows of some keys of a lookup table; the filter is pushed to its row groups."""
+    return spark.read.parquet(path).filter(F.col(key).isin(*keys))
