@@ -80,14 +80,13 @@ def _baselines(cells: DataFrame) -> DataFrame:
     """The cells' moments merged to one row for each bin combination (null bins are a cell too),
     some 7,600 with cleaned ratings: the same values as aggregating the rows again."""
     n_i = F.col("treated_count")
-    c = cells.filter(n_i > 0)
-    parts = c.select(*BINS, n_i.alias("gain_n"), F.col("treated_gain").alias("gain_mean"),
-                     F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0)).alias("gain_m2"))
-    base = merged(parts, BINS, ["gain"])
-    probs = c.groupBy(*BINS).agg((F.sum(n_i * F.col("treated_improve_prob")) / F.sum(n_i)).alias("baseline_improve_prob"))
-    return null_safe(base, probs, BINS).select(
+    parts = cells.filter(n_i > 0).select(
+        *BINS, n_i.alias("gain_n"), F.col("treated_gain").alias("gain_mean"),
+        F.coalesce((n_i - 1) * F.col("_var"), F.lit(0.0)).alias("gain_m2"),
+        n_i.alias("improve_n"), F.col("treated_improve_prob").alias("improve_mean"), F.lit(0.0).alias("improve_m2"))
+    return merged(parts, BINS, ["gain", "improve"]).select(
         *BINS, F.col("gain_mean").alias("baseline_gain"), F.sqrt(var_samp(F.col("gain_n"), F.col("gain_m2"))).alias("baseline_std"),
-        F.col("gain_n").alias("baseline_count"), "baseline_improve_prob")
+        F.col("gain_n").alias("baseline_count"), F.col("improve_mean").alias("baseline_improve_prob"))
 
 
 def cem_baseline(cells: DataFrame, params: Params = Params()) -> DataFrame:

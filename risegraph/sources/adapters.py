@@ -97,23 +97,23 @@ UNRATED_BRAND = "Brand#33"
 def submissions_from_lineitem(lineitem: DataFrame, part: DataFrame, params: Params = Params()) -> DataFrame:
     """handle = supplier, problem = part brand, verdict OK unless returned,
     rating = 1500 + running sum of (discount points - 5) + a brand effect."""
-    brands = part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    # what depends on the brand is worked out once per part
+    brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
+    brands = part.select(
+        F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias(PID), _case(F.col("p_brand"), BRAND_STEP, 0).alias("_effect"),
+        F.when(F.col("p_brand") == UNRATED_BRAND, F.lit(None).cast("double"))
+         .otherwise((F.lit(800) + F.lit(40) * brand_no).cast("double")).alias(PROBLEM_RATING))
     brands, _ = broadcast_if_small(brands, params.broadcast_max_rows)
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                          "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-    d = li.join(brands, "l_partkey", "left")
-    step = (F.round(F.col("l_discount") * 100).cast("int") - F.lit(5)
-            + _case(F.col("p_brand"), BRAND_STEP, 0))
-    brand_no = F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int")
-    d = d.select(
+    d = li.join(brands, "l_partkey", "left").select(
         F.col("l_suppkey").cast("string").alias(HANDLE),
         epoch_micros("l_shipdate").alias(TIME),
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
-        F.coalesce(F.col("p_brand"), F.lit("Brand#00")).alias(PID),
+        F.coalesce(F.col(PID), F.lit("Brand#00")).alias(PID),
         F.when(F.col("l_returnflag") == "R", F.lit("WRONG_ANSWER")).otherwise(F.lit("OK")).alias(VERDICT),
-        step.alias("step"),
-        F.when(F.col("p_brand") == UNRATED_BRAND, F.lit(None).cast("double"))
-         .otherwise((F.lit(800) + F.lit(40) * brand_no).cast("double")).alias(PROBLEM_RATING),
+        (F.round(F.col("l_discount") * 100).cast("int") - F.lit(5) + F.coalesce(F.col("_effect"), F.lit(0))).alias("step"),
+        PROBLEM_RATING,
     )
     return _walk(d, params.with_(order_by=LINEITEM_ORDER))
 
