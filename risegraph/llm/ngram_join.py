@@ -38,11 +38,11 @@ SIZE = 5
 PERCENT = 75
 #: Hash functions by whose minima groups are formed.
 ROUNDS = 4
-#: The most frequent tokens that come last in the order; bounds the list sent to tasks. Any
-#: number gives the same links.
-FREQUENT_MOST = 1 << 18
-#: A token is counted as frequent where so many documents of one batch have it.
-FREQUENT_FROM = 4
+#: Counters by which tokens are put in order, rare ones first; tokens that share one count
+#: together. Bounds what is sent to tasks. Any number gives the same links.
+COUNTERS = 1 << 22
+#: Pieces in which the counters are added up.
+PIECES = 64
 #: Shingles of a group's block, and of the queries that meet it in one task.
 BLOCK, QUERIES = 1 << 16, 1 << 18
 #: Parts over which rows that belong to one key are spread.
@@ -142,39 +142,60 @@ def star_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return written(verified(pairs, sets, percent), "ngram-star-links")
 
 
-def frequent_tokens(sets: DataFrame) -> list[int]:
-    """The most frequent tokens, at most FREQUENT_MOST, the most frequent one last."""
-    def run(batches):
-        import numpy as np
+def token_counts(sets: DataFrame):
+    """How many sets have a token of each counter (numpy, at most 65,535): every task counts its own
+    sets, and the tasks' counters are added up piece by piece."""
+    import numpy as np
+    width = COUNTERS // PIECES
+
+    def count(batches):
+        import zlib
+
         import pyarrow as pa
-        held, size = [], 0
-        def told():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= FREQUENT_FROM
-            return pa.RecordBatch.from_arrays([pa.array(tokens[many].astype(np.int64)), pa.array(counts[many], pa.int64())],
-                                              ["token", "n"])
+        total, held, size = np.zeros(COUNTERS, np.uint32), [], 0
+
+        def add():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            total[at] += n.astype(np.uint32)
+
         for batch in batches:
             for x in batch.column(0):
-                held.append(_tokens(x.as_buffer()))
+                held.append((_tokens(x.as_buffer()) & np.uint64(COUNTERS - 1)).astype(np.uint32))
                 size += len(held[-1])
-                if size > 1_000_000:
-                    yield told()
+                if size > 500_000:
+                    add()
                     held, size = [], 0
         if held:
-            yield told()
+            add()
+        if total.any():
+            pieces = [zlib.compress(total[i * width:(i + 1) * width].tobytes(), 1) for i in range(PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "counts"])
 
-    counts = sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_MOST).collect()
-    return [r["token"] for r in reversed(top)]
+    def add_up(batches):
+        import zlib
 
+        import pyarrow as pa
+        total = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
+                total[piece] = total[piece] + own if piece in total else own
+        some = {p: np.minimum(t, 0xFFFF).astype("<u2").tobytes() for p, t in total.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array(list(some.values()), pa.binary())], ["piece", "counts"])
+
+    kind = "piece int, counts binary"
+    rows = sets.select("tokens").mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add_up, kind).collect()
+    out = np.zeros(COUNTERS, "<u2")
+    for r in rows:
+        out[r["piece"] * width:(r["piece"] + 1) * width] = np.frombuffer(r["counts"], "<u2")
+    return out
 
-def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], percent: int) -> DataFrame:
+
+def queries_of_groups(nodes: DataFrame, sets: DataFrame, counts, percent: int) -> DataFrame:
     """(a, g): node a has a leading token in common with a member of the other group g of fit size."""
     import numpy as np
     spark = nodes.sparkSession
-    order = np.array(frequent, np.uint64)
-    by_token = np.argsort(order)
-    last = spark.sparkContext.broadcast((order[by_token], by_token))
+    often = spark.sparkContext.broadcast(counts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # a row for each part: its leading tokens and, by place, their nodes; group and size of those
     # nodes that are in groups of more than one
@@ -182,7 +203,7 @@ def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], pe
 
     def deal(batches):
         import pyarrow as pa
-        known, place = last.value
+        rank = often.value
 
         def told(base, held):
             lead = np.concatenate([h[4] for h in held])
@@ -214,10 +235,8 @@ def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], pe
                 base = node >> ROW_BITS << ROW_BITS
                 x = _tokens(x.as_buffer())
                 lead = len(x) - needed(len(x), percent) + 1
-                if len(known):
-                    spot = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    rank = np.where(known[spot] == x, place[spot] + 1, 0)
-                    x = x[np.argsort(rank, kind="stable")]
+                # rare tokens first, equally frequent ones by their hash
+                x = x[np.argsort(rank[x & np.uint64(COUNTERS - 1)], kind="stable")]
                 held.append((node, n.as_py(), group.as_py(), members.as_py(), x[:lead].copy()))
                 size += lead
         if held:
@@ -225,22 +244,31 @@ def queries_of_groups(nodes: DataFrame, sets: DataFrame, frequent: list[int], pe
 
     def meet(batches):
         import pyarrow as pa
-        tokens, spots, nodes_, sizes, groups, members = [], [], [], [], [], []
-        for batch in batches:
-            for _, base, t, i, x, r, n, many, g, m in zip(*(batch.column(k).to_pylist() for k in range(10))):
-                i = np.frombuffer(i, "<u2")
-                node = np.frombuffer(r, "<u4").astype(np.int64) + base
-                group, count = node.copy(), np.ones(len(node), np.int64)
-                many = np.frombuffer(many, "<u2")
-                group[many], count[many] = np.frombuffer(g, np.int64), np.frombuffer(m, "<u4")
-                tokens.append(_tokens(t))
-                spots.append(np.frombuffer(x, "<u2").astype(np.int64))
-                for to, x in ((nodes_, node), (sizes, np.frombuffer(n, "<u4").astype(np.int64)), (groups, group), (members, count)):
-                    to.append(x[i])
-        if not tokens:
+        held = [x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in range(1, 10)))]
+        if not held:
+            return
+        # most tokens have one holder: only the others' columns are built
+        tokens = np.concatenate([_tokens(x[1]) for x in held])
+        ways = np.argsort(tokens, kind="stable")
+        same = np.flatnonzero(tokens[ways[1:]] == tokens[ways[:-1]])
+        shared = np.zeros(len(tokens), bool)
+        shared[ways[same]] = shared[ways[same + 1]] = True
+        del ways, same
+        tokens, columns, at = tokens[shared], [], 0
+        for base, t, i, x, r, n, many, g, m in held:
+            i = np.frombuffer(i, "<u2")
+            own = shared[at:at + len(i)]
+            at, i = at + len(i), i[own]
+            node = np.frombuffer(r, "<u4").astype(np.int64) + base
+            group, count = node.copy(), np.ones(len(node), np.int32)
+            many = np.frombuffer(many, "<u2")
+            group[many], count[many] = np.frombuffer(g, np.int64), np.frombuffer(m, "<u4")
+            columns.append((np.frombuffer(x, "<u2")[own].astype(np.int32), node[i], np.frombuffer(n, "<u4")[i].astype(np.int64), group[i], count[i]))
+        del held
+        if not len(tokens):
             return
-        columns = map(np.concatenate, (tokens, spots, nodes_, sizes, groups, members))
-        tokens, spots, nodes_, sizes, groups, members = columns
+        spots, nodes_, sizes, groups, members = map(np.concatenate, zip(*columns))
+        del columns
         # by token, then by group from small to large
         ways = np.lexsort((groups, members, tokens))
         tokens, spots, nodes_, sizes, groups, members = (x[ways] for x in (tokens, spots, nodes_, sizes, groups, members))
@@ -357,8 +385,7 @@ def similar_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT,
         "node", "n", F.coalesce("grp", "node").alias("grp"), F.coalesce("members", F.lit(1).cast("long")).alias("members")),
         "ngram-nodes")
     with joined_in_place(docs.sparkSession):
-        frequent = frequent_tokens(sets)
-        queries = written(queries_of_groups(nodes, sets, frequent, percent), "ngram-queries")
+        queries = written(queries_of_groups(nodes, sets, token_counts(sets), percent), "ngram-queries")
         links = written(opened(queries, nodes, sets, percent), "ngram-links")
     label = written(components(links.union(stars)), "ngram-components")
     parts = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
