@@ -5,7 +5,8 @@ partitions' totals (one row per partition) give every partition its global offse
 sum. Pass two adds the two and cuts at multiples of the sequence length; each piece is a
 boundary record. All sequences but the last are full.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed again; a null
+Defined cases: a special token's string in a text gives its id, as the plain tokenizer does (no
+other special ids are added); a null or empty text is the end id alone; repeated rows are packed again; a null
 doc_id is carried; other columns are ignored; an empty table gives no pieces.
 """
 
@@ -39,9 +40,7 @@ def _tokenizer(path: str):
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 def _drops_white_space(tokenizer) -> bool:
