@@ -2,12 +2,15 @@
 
 The standard library's parser streams tags and text into lines: one for each block of running
 text. A line's ratio is its characters against its tags, characters inside links counting as
-tags do. Lines of menus, forms and the like (by element or by class) get no ratio. The ratios
-are smoothed by a Gaussian over neighbouring lines, and lines above the threshold, the
-deviation of the smoothed ratios, seed the content. Content is selected by region, the
-innermost article or main element or else the run of lines between boilerplate: a region with
-a seed is kept whole, so a short paragraph stays with its article. Where articles exist, only
-they are regions.
+tags do. Lines of menus and the like (elements that never hold an article) get no ratio; blocks
+that only a form or their class, id or role mark as no content come second: they count where the
+page has nothing else. The ratios are smoothed by a Gaussian over neighbouring lines, and lines
+above the threshold, the deviation of the smoothed ratios, seed the content. Content is clustered by
+region, the outermost article or main element or else the run of lines between boilerplate. An
+article with a seed is kept whole, so a short paragraph stays with it; a run without markup is
+kept from its first seed to its last, so the ratios alone cut off what stands around a text.
+Where articles exist, only they are regions; an article or main element starts afresh inside a
+marked block, and counts if no other stands outside of one.
 
 Defined cases: null or empty html gives an empty text; a null url or page_id is carried;
 repeated rows are extracted again; unclosed, stray and cut-off tags are taken as a browser
@@ -37,11 +40,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never content.
-SKIPPED = frozenset("script style noscript template head title nav footer aside form menu dialog button select "
+SKIPPED = frozenset("script style noscript template head title nav footer aside menu dialog button select "
                     "textarea iframe object svg canvas audio video".split())
 #: Elements that hold an article.
 REGIONS = frozenset(("article", "main"))
-#: Words of a class, id or role that mark an element as no content.
+#: What an element's text is: content, marked as none, or never content.
+CONTENT, MARKED, NEVER = 0, 1, 2
+#: Words of a class, id or role that mark a block as no content.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
                   "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
                   "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies "
@@ -54,19 +59,20 @@ _PARTS = re.compile(r"[a-z]+")
 
 
 class LineEvents(HTMLParser):
-    """Turns parser events into lines: (text, tags, characters in links, region, no content)."""
+    """Turns parser events into lines: (text, tags, characters in links, region, CONTENT or not)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, no content, region
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.open: list[tuple[str, int, int]] = []  # name, CONTENT or not, region
+        self.wrapped: set[int] = set()  # regions inside a marked block
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.regions = self.run = 0
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip() if self.text else ""
         if text:
-            _, out, region = self.open[-1] if self.open else ("", False, 0)
+            _, out, region = self.open[-1] if self.open else ("", CONTENT, 0)
             if out:
                 self.run += 1  # content before and after it are different runs
             self.lines.append((text, self.tags, self.linked, region or -1 - self.run, out))
@@ -88,28 +94,36 @@ class LineEvents(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        _, out, region = self.open[-1] if self.open else ("", False, 0)
-        if not out:
-            out = tag in SKIPPED or (tag == "header" and not region) or self._marked(tag, attrs)
-        if tag in REGIONS and not region:
+        _, out, region = self.open[-1] if self.open else ("", CONTENT, 0)
+        before = out
+        if tag in REGIONS and not region and out < NEVER:
             self.regions += 1
             region = self.regions
-        if tag in BLOCKS or out and not (self.open and self.open[-1][1]):
+            if out:
+                self.wrapped.add(region)
+            out = CONTENT
+        if out < NEVER:
+            out = max(out, self._kind(tag, attrs, region))
+        if tag in BLOCKS or out != before:
             self._end_line()
         if tag == "a":
             self.links += 1
         self.open.append((tag, out, region))
 
     @staticmethod
-    def _marked(tag, attrs) -> bool:
+    def _kind(tag, attrs, region: int) -> int:
+        if tag in SKIPPED or tag == "header" and not region:
+            return NEVER
+        kind = MARKED if tag == "form" else CONTENT
         if tag in ("body", "html", "article", "main"):
-            return False
+            return kind
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_PARTS.findall(value.lower())):
-                return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                return NEVER
+            # a marked word inside a sentence is a part of it
+            if tag in BLOCKS and name in ("class", "id", "role") and value and not MARKS.isdisjoint(_PARTS.findall(value.lower())):
+                kind = MARKED
+        return kind
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -142,7 +156,7 @@ class LineEvents(HTMLParser):
                 self.links -= 1
             del self.open[at]
             return
-        if tag in BLOCKS or self.open[at][1] != (at > 0 and self.open[at - 1][1]):
+        if tag in BLOCKS or self.open[at][1] != (self.open[at - 1][1] if at > 0 else CONTENT):
             self._end_line()
         self.tags += 1
         self.links -= sum(x[0] == "a" for x in self.open[at:])
@@ -155,7 +169,7 @@ class LineEvents(HTMLParser):
         if self.links:
             self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
+    def finish(self) -> list[tuple[str, int, int, int, int]]:
         self.close()
         self._end_line()
         return self.lines
@@ -180,17 +194,33 @@ def main_text(html: str) -> str:
     events = LineEvents()
     events.feed(html)
     lines = events.finish()
-    ratios = [0.0 if out else max(0, len(t) - 2 * linked) / max(1, tags) for t, tags, linked, _, out in lines]
+    inside = [x for x in lines if x[4] == CONTENT and x[3] > 0]
+    if any(x[3] not in events.wrapped for x in inside):
+        inside = [x for x in inside if x[3] not in events.wrapped]
+    proper = {x[3] for x in inside}
+    # what may be content: articles, else unmarked lines, else marked ones
+    level = next((k for k in (CONTENT, MARKED) if any(x[4] == k and _ratio(x) for x in lines)), NEVER)
+    may = [x[4] == CONTENT and x[3] in proper if proper else x[4] <= level < NEVER for x in lines]
+    ratios = [_ratio(x) if ok else 0.0 for x, ok in zip(lines, may)]
     if not any(ratios):
         return ""
     soft = smoothed(ratios)
     mean = sum(soft) / len(soft)
     threshold = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in soft) / len(soft))
-    proper = any(region > 0 and not out for *_, region, out in lines)
-    seeds = {x[3] for x, s in zip(lines, soft) if not x[4] and s >= threshold and (x[3] > 0 or not proper)}
-    if not seeds:  # content, but short: its best region
-        seeds = {max((s, -i, x[3]) for i, (x, s) in enumerate(zip(lines, soft)) if not x[4] and (x[3] > 0 or not proper))[2]}
-    return "\n\n".join(t for t, _, _, region, out in lines if not out and region in seeds)
+    seeds = [i for i, (r, s) in enumerate(zip(ratios, soft)) if r > 0 and s >= threshold]
+    if not seeds:  # content, but short: its best line
+        seeds = [max((s, -i, i) for i, (r, s) in enumerate(zip(ratios, soft)) if r > 0)[2]]
+    first, last = {}, {}
+    for i in seeds:
+        region = lines[i][3]
+        first.setdefault(region, 0 if region in proper else i)
+        last[region] = len(lines) if region in proper else i
+    return "\n\n".join(x[0] for i, (x, ok) in enumerate(zip(lines, may)) if ok and first.get(x[3], len(lines)) <= i <= last.get(x[3], -1))
+
+
+def _ratio(line: tuple[str, int, int, int, int]) -> float:
+    text, tags, linked, *_ = line
+    return max(0, len(text) - 2 * linked) / max(1, tags)
 
 
 def extract(pages: DataFrame) -> DataFrame:
