@@ -49,11 +49,28 @@ def test_exact_dedup(spark):
         expected.append((i, min(ids) if ids else None, len(groups[t]), t not in kept, hashlib.sha256(t.encode()).hexdigest()))
         kept.add(t)
     same(exact_dedup.exact_dedup(documents(spark)).collect(), expected)
+    # every head hot, in runs of 1, 3 and 64 salts
+    for salts in (1, 3, 64):
+        same(exact_dedup.exact_dedup(documents(spark), salts=salts, hot_from=0).collect(), expected)
     left = exact_dedup.drop_exact_copies(documents(spark))
     assert left.columns == documents(spark).columns
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in left.collect()) == sorted(groups)
 
 
+def test_neighbours_find_the_copies(spark):
+    rows = corpus()
+    runs = exact_dedup.sorted_runs(documents(spark), "doc_id", "text").collect()
+    texts = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows}
+    assert not any(r["hot"] for r in runs)  # no head holds 64 rows here
+    assert sum(r["place"] > 1 for r in runs) == len(rows) - len(texts) > 10
+    many = rows + [(5000 + i, "one text " * 40) for i in range(150)]
+    runs = exact_dedup.sorted_runs(documents(spark, many), "doc_id", "text", salts=8).collect()
+    assert sum(r["hot"] for r in runs) == 150 and len({r["run"] for r in runs if r["hot"]}) == 8
+    assert sum(r["norm"] is not None for r in runs) == 8
+    kept = [r for r in exact_dedup.exact_dedup(documents(spark, many), salts=8).collect() if (r["doc_id"] or 0) >= 5000]
+    assert {(r["keep_id"], r["group_size"]) for r in kept} == {(5000, 150)} and [r["doc_id"] for r in kept if r["kept"]] == [5000]
+
+
 def brute_components(rows, least=75, size=5):
     sets = []
     for _, t in rows:
@@ -98,8 +115,10 @@ def test_ngram_join_without_stars(spark, monkeypatch):
 def test_quality_rules(spark):
     xxhash = pytest.importorskip("xxhash")
     rows = corpus()
-    good = {1, 2, 3, 4, 100, 101}
-    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(9, 0, 0), (5, 1, 1), (None, 1, 0), (6, None, None)], LABELS)
+    good = {*range(14), *range(100, 106)}
+    held = {i for i in good if zlib.crc32(str(i).encode()) % 4 == 3}
+    assert 2 < len(held) < len(good) - 2
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(200, 0, 0), (201, 1, 1), (None, 1, 0), (202, None, None)], LABELS)
 
     def grams(w):
         single = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
@@ -110,11 +129,11 @@ def test_quality_rules(spark):
     for i, t in rows:
         g = grams(WORD.findall(t or ""))
         raw.update(g)
-        if i in good:
+        if i in good - held:
             trusted.update(g)
     n, m, b = sum(raw.values()), sum(trusted.values()), quality.BUCKETS
     weight = [math.log((trusted[k] + 1) / (m + b)) - math.log((raw[k] + 1) / (n + b)) for k in range(b)]
-    expected = collections.Counter()
+    found = []
     for i, t in rows:
         w = WORD.findall(t or "")
         windows = [tuple(w[k:k + 8]) for k in range(len(w) - 7)]
@@ -124,12 +143,20 @@ def test_quality_rules(spark):
         g = grams(w)
         score = sum(weight[k] for k in g) / len(g) if g else 0.0
         failed = len(w) < 20 or 100 * covered > 30 * len(w)
-        expected[(i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), covered,
-                  failed, round(score, 4), not failed and score >= quality.THRESHOLD)] += 1
+        found.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), covered,
+                      failed, score))
+    own = sorted(r[-1] for r in found if r[0] in held and not r[-2])
+    at = quality.REJECTED * (len(own) - 1)
+    least = own[int(at)] + (at - int(at)) * (own[int(at) + 1] - own[int(at)])
+    expected = collections.Counter((*r[:-1], round(r[-1], 4), not r[-2] and r[-1] >= least) for r in found)
+    assert {r[-1] for r in expected if not r[-3]} == {True, False}
     got = collections.Counter(tuple(r[:7]) + (round(r["score"], 4), r["kept"])
                               for r in quality.quality_rules(documents(spark), labels).collect())
     assert got == expected
     assert quality.keep_good(documents(spark), labels).count() == sum(n for x, n in expected.items() if x[-1])
+    # nothing held out: the base rule alone
+    few = spark.createDataFrame([(i, 1, 0) for i in good - held], LABELS)
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(documents(spark), few).collect())
 
 
 def test_packing(spark):
@@ -137,10 +164,11 @@ def test_packing(spark):
     from tokenizers import Tokenizer
     path = tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    pieces = packing.pack(documents(spark), path, length=256, with_ids=True).collect()
+    rows = corpus() + [(700, "a <|endoftext|> b"), (701, "x<|endoftext|>y <|startoftext|>"), (702, "<|ENDOFTEXT|> <|endof text|>")]
+    assert 49407 in t.encode(rows[-3][1], add_special_tokens=False).ids
+    pieces = packing.pack(documents(spark, rows), path, length=256, with_ids=True).collect()
     by_doc = collections.defaultdict(list)
-    for i, text in corpus():
+    for i, text in rows:
         by_doc[i].append(t.encode(text or "", add_special_tokens=False).ids + [2])
     # every sequence but the last is full and gapless
     held = collections.defaultdict(list)

@@ -29,6 +29,38 @@ def test_main_text():
     assert html_text.main_text("<div>" * 2000 + "deep") == "deep"
 
 
+LONG = "<p>A paragraph that is long enough to be the text of a page, with some more words.</p>"
+WORDS = "A paragraph that is long enough to be the text of a page, with some more words."
+
+
+def test_wrapped_articles_and_inline_marks():
+    for around in ("<div class='layout has-sidebar'>{}</div>", "<div id='page' class='with-banner'>{}</div>", "<form>{}</form>",
+                   "<div class='search-page'><div class='no-ads'>{}</div></div>"):
+        for own in ("<article>%s</article>", "<main>%s</main>", "<article class='sidebar-left'>%s</article>"):
+            assert html_text.main_text(around.format(own % LONG)) == WORDS
+    # without anything else, what a form or a mark encloses is content; beside other text it isn't
+    assert html_text.main_text(f"<form>{LONG}</form>") == html_text.main_text(f"<div class=widget>{LONG}</div>") == WORDS
+    assert html_text.main_text(f"<form>{LONG}</form><p>Other text of the page.</p>") == "Other text of the page."
+    assert html_text.main_text("<article><p>One <span class='related-term'>word</span> <b id=ad>in</b> it.</p></article>") == "One word in it."
+    # a reader's article among the comments doesn't count beside the page's own
+    assert html_text.main_text(f"<article><p>Mine is here.</p></article><section class=comments><article>{LONG}</article></section>") == "Mine is here."
+    assert html_text.main_text(f"<aside><article>{LONG}</article></aside><p>Mine is here.</p>") == "Mine is here."
+
+
+def test_the_smoothed_ratio_decides_without_markup():
+    menu = "".join(f"<div><a href='/{i}'>Menu item {i}</a></div>" for i in range(8))
+    body = f"<h2>A title</h2>{LONG}<p>Short.</p>{LONG * 2}<div><a>A list of</a> <a>links inside</a></div>{LONG}"
+    page = f"<div><div>{menu}</div><div>{body}</div><div>{menu}</div></div>"
+    expected = "\n\n".join(["A title", WORDS, "Short.", WORDS, WORDS, "A list of links inside", WORDS])
+    assert html_text.main_text(page) == expected
+    lines = html_text.LineEvents()
+    lines.feed(page)
+    assert len(lines.finish()) == 16 + 7
+    tags = "".join(f"<div><b>{i}</b><b>x</b><b>y</b></div>" for i in range(9))  # many tags, few characters, no link
+    assert html_text.main_text(f"<div>{tags}{LONG * 3}{tags}</div>").count(WORDS) == 3
+    assert len(html_text.main_text(f"<div>{tags}{LONG * 3}{tags}</div>").split("\n\n")) < 12
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>Some text</p>"), (2, None, None), (None, "v", ""), (1, "u", "<p>Some text</p>")]
     got = sorted(map(tuple, html_text.extract(pages(spark, rows)).collect()), key=str)
