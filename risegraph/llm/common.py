@@ -44,11 +44,7 @@ def written_by_part(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def joined_in_place(spark: SparkSession, batch_rows: int = 1000):
-    """Lets joins on (part, row) keep the partitioning by part, and rows with large values go to
-    Python in small batches; for plans run inside."""
-    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false",
-           "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+def _settings(spark: SparkSession, own: dict[str, str]):
     old = {key: spark.conf.get(key) for key in own}
     for key, value in own.items():
         spark.conf.set(key, value)
@@ -59,6 +55,18 @@ def joined_in_place(spark: SparkSession, batch_rows: int = 1000):
             spark.conf.set(key, value)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows with large values go to Python so many at a time; for plans run inside."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
+
+
+def joined_in_place(spark: SparkSession, batch_rows: int = 1000):
+    """Lets joins on (part, row) keep the partitioning by part, and rows with large values go to
+    Python in small batches; for plans run inside."""
+    return _settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false",
+                             "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)})
+
+
 def fetched(stored: DataFrame, wanted: DataFrame, row: str, *columns: Column) -> DataFrame:
     """``wanted`` with ``columns`` of the row of ``stored`` that its column ``row`` numbers."""
     small = wanted.select("*", F.shiftright(row, ROW_BITS).cast("int").alias("_part")).hint("shuffle_hash")
