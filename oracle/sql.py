@@ -462,6 +462,46 @@ def _li(fragment: str) -> str:
     return f
 
 
+# Discriminant scores per problem from the rows themselves, five strata of treated rows
+def _cov(i: str, k: str, ridge: str) -> str:
+    own = f"t{i}{k} - t{i} * t{k} / t + c{i}{k} - c{i} * c{k} / c"
+    return f"(({own}) / greatest(t + c - 2, 1) + {ridge}) AS s{i}{k}"
+
+
+PROP = """pc AS (
+  SELECT id_of_submission_task AS pid, bin_rating AS x0, bin_acc AS x1, bin_diff AS x2, count(*) AS t_n
+  FROM cem WHERE bin_rating IS NOT NULL AND bin_acc IS NOT NULL AND bin_diff IS NOT NULL GROUP BY ALL),
+pa AS (SELECT x0, x1, x2, sum(t_n) AS a_n FROM pc GROUP BY ALL),
+pm AS (SELECT pc.*, CAST(a_n - t_n AS BIGINT) AS c_n FROM pc JOIN pa USING (x0, x1, x2) WHERE a_n > t_n),
+ps AS (SELECT pid, """ + ", ".join(
+    f"CAST(sum({s}_n) AS DOUBLE) AS {s}, " + ", ".join(f"CAST(sum({s}_n * x{i}) AS DOUBLE) AS {s}{i}" for i in range(3)) + ", "
+    + ", ".join(f"CAST(sum({s}_n * x{i} * x{k}) AS DOUBLE) AS {s}{i}{k}" for i in range(3) for k in range(i, 3)) for s in "tc") + """
+  FROM pm GROUP BY pid),
+pv AS (SELECT pid, t0 / t - c0 / c AS d0, t1 / t - c1 / c AS d1, t2 / t - c2 / c AS d2, """ + ", ".join(
+    _cov(str(i), str(k), "1e-6" if i == k else "0") for i in range(3) for k in range(i, 3)) + """ FROM ps),
+pd AS (SELECT *, s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02) AS det FROM pv),
+pw AS (SELECT pid,
+         ((s11 * s22 - s12 * s12) * d0 + (s02 * s12 - s01 * s22) * d1 + (s01 * s12 - s02 * s11) * d2) / det AS w0,
+         ((s02 * s12 - s01 * s22) * d0 + (s00 * s22 - s02 * s02) * d1 + (s01 * s02 - s00 * s12) * d2) / det AS w1,
+         ((s01 * s12 - s02 * s11) * d0 + (s01 * s02 - s00 * s12) * d1 + (s00 * s11 - s01 * s01) * d2) / det AS w2
+       FROM pd WHERE det <> 0),
+pq AS (SELECT pm.*, round(w0 * x0 + w1 * x1 + w2 * x2, 9) AS score FROM pm JOIN pw USING (pid)),
+pk AS (SELECT *, CAST(least(4, floor(5 * (sum(t_n) OVER (PARTITION BY pid ORDER BY score, x0, x1, x2
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - t_n / 2) / sum(t_n) OVER (PARTITION BY pid))) AS INTEGER) AS stratum
+       FROM pq),
+pr AS (SELECT pk.pid, pk.stratum, pk.score, r.id_of_submission_task = pk.pid AS own, r.rating_gain_20 AS g, r.improved_20 AS i
+       FROM pk JOIN cem r ON r.bin_rating = pk.x0 AND r.bin_acc = pk.x1 AND r.bin_diff = pk.x2),
+pstr AS (
+  SELECT pid AS id_of_submission_task, stratum, count(*) FILTER (WHERE own) AS treated, count(*) FILTER (WHERE NOT own) AS controls,
+         avg(g) FILTER (WHERE own) AS treated_gain, avg(g) FILTER (WHERE NOT own) AS control_gain,
+         avg(g) FILTER (WHERE own) - avg(g) FILTER (WHERE NOT own) AS uplift,
+         var_samp(g) FILTER (WHERE own) / count(*) FILTER (WHERE own)
+           + var_samp(g) FILTER (WHERE NOT own) / count(*) FILTER (WHERE NOT own) AS variance,
+         avg(i) FILTER (WHERE own) - avg(i) FILTER (WHERE NOT own) AS probability_uplift,
+         min(score) AS low_score, max(score) AS high_score
+  FROM pr GROUP BY pid, stratum)"""
+
+
 def _positive_zero(sql: str) -> str:
     """Wrap every ``round(<expr>, 6)`` as ``(round(<expr>, 6) + 0.0)``: DuckDB
     rounds tiny negatives to -0.0, Spark to 0.0."""
@@ -602,6 +642,23 @@ def _queries() -> dict[str, str]:
              total_treated_samples, round(att_probability_uplift, 6) AS att_probability_uplift,
              round(att_std_err, 6) AS att_std_err, round(z_score, 6) AS z_score, round(p_value, 6) AS p_value
       FROM sig"""
+    q["propensity_strata"] = with_(*CEM_CHAIN, PROP) + """
+      SELECT id_of_submission_task, stratum, treated, controls, round(treated_gain, 6) AS treated_gain,
+             round(control_gain, 6) AS control_gain, round(uplift, 6) AS uplift, round(variance, 6) AS variance,
+             round(probability_uplift, 6) AS probability_uplift, round(low_score, 6) AS low_score,
+             round(high_score, 6) AS high_score FROM pstr"""
+    q["propensity_effects"] = with_(*CEM_CHAIN, PROP) + f""",
+      att AS (SELECT id_of_submission_task, sum(treated * uplift) / sum(treated) AS att_score,
+                     sum(treated * treated * variance) / (sum(treated) * sum(treated)) AS att_variance,
+                     CAST(sum(treated) AS BIGINT) AS total_treated_samples, count(*) AS strata,
+                     sum(treated * probability_uplift) / sum(treated) AS att_probability_uplift
+              FROM pstr WHERE treated >= {MS} AND controls >= {MS} GROUP BY ALL),
+      sig AS (SELECT *, {p_of('z_score')} AS p_value
+              FROM (SELECT *, {z_of('att_score', 'att_std_err')} AS z_score
+                    FROM (SELECT *, sqrt(att_variance) AS att_std_err FROM att)))
+      SELECT id_of_submission_task, round(att_score, 6) AS att_score, round(att_variance, 6) AS att_variance, total_treated_samples,
+             strata, round(att_probability_uplift, 6) AS att_probability_uplift, round(att_std_err, 6) AS att_std_err,
+             round(z_score, 6) AS z_score, round(p_value, 6) AS p_value FROM sig"""
     # T
     q["survival_rows"] = with_(*CORE, SROWS) + """
       SELECT handle, time, id_of_submission_task, is_solve, round(rating_at_solve, 6) AS rating_at_solve,

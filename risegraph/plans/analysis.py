@@ -19,6 +19,7 @@ from ..functions.segments import halo_width, index_hot_users, is_segmented, stri
 from ..operators import matching as C
 from ..operators import paths as G
 from ..operators import placebo as V
+from ..operators import propensity as X
 from ..operators import recommend as R
 from ..operators import survival as S
 from ..operators.features import user_features
@@ -182,6 +183,15 @@ class Analysis:
     def att_effects_solvers(self) -> DataFrame:
         return C.att_effects_solvers(self.cem, self.params)
 
+    # ------------------------------------------------------------ propensity strata
+    @cached_property
+    def propensity_strata(self) -> DataFrame:
+        return X.propensity_strata(self.cells, self.params)
+
+    @cached_property
+    def propensity_effects(self) -> DataFrame:
+        return X.propensity_effects(self.propensity_strata, self.params)
+
     # ------------------------------------------------------------ survival
     @cached_property
     def survival_rows(self) -> DataFrame:

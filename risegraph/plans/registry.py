@@ -194,6 +194,16 @@ def _solvers(a: Analysis) -> DataFrame:
     return a.att_effects_solvers
 
 
+@register("propensity_strata")
+def _strata(a: Analysis) -> DataFrame:
+    return a.propensity_strata
+
+
+@register("propensity_effects")
+def _propensity(a: Analysis) -> DataFrame:
+    return a.propensity_effects
+
+
 # ---------------------------------------------------------------- T
 @register("survival_rows")
 def _surv_rows(a: Analysis) -> DataFrame:
