@@ -290,19 +290,38 @@ def queries_of_groups(nodes: DataFrame, sets: DataFrame, counts, percent: int) -
                     node = int(nodes_[a + q])
                     found.update((node, g) for g in np.unique(groups[a + q + 1:b][fit]).tolist())
             if len(found) > 200_000:
-                yield _pairs(pa, found)
+                yield _packed_pairs(pa, found, parts)
                 found = set()
         if found:
-            yield _pairs(pa, found)
+            yield _packed_pairs(pa, found, parts)
+
+    def each_once(batches):
+        import pyarrow as pa
+        known = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2) for x in batch.column(1)]
+            known = np.unique(np.concatenate([known, *own]), axis=0)
+        if len(known):
+            yield pa.RecordBatch.from_arrays([pa.array(known[:, 0]), pa.array(known[:, 1])], ["a", "g"])
 
     leads = fetched(sets, nodes, "node", F.col("tokens")).select("node", "n", "grp", "members", "tokens").mapInArrow(
         deal, "part int, base long, " + ", ".join(f"{x} binary" for x in names[2:]))
-    return leads.repartition(parts, "part").mapInArrow(meet, "a long, g long").distinct()
+    # a pair is found wherever it shares a token: its findings travel packed and are one row in the end
+    found = leads.repartition(parts, "part").mapInArrow(meet, "part int, pairs binary")
+    return found.repartition(parts, "part").mapInArrow(each_once, "a long, g long")
 
 
-def _pairs(pa, found):
-    a, g = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(g, pa.int64())], ["a", "g"])
+def _packed_pairs(pa, found, parts: int):
+    """Rows (part of the query, its pairs as 64-bit values)."""
+    import numpy as np
+    pairs = np.array(sorted(found), np.int64)
+    part = pairs[:, 0] % parts
+    ways = np.argsort(part, kind="stable")
+    pairs, part = pairs[ways], part[ways]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[np.concatenate([[0], cuts])], pa.int32()),
+         pa.array([x.astype("<i8").tobytes() for x in np.split(pairs, cuts)], pa.binary())], ["part", "pairs"])
 
 
 def opened(queries: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
