@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 import struct
 import sys
 import unicodedata
@@ -58,51 +57,63 @@ class WordIds:
     """Ids of texts as little-endian unsigned 32-bit values, word by word where the tokenizer
     allows it: a word's ids are then looked up once."""
 
-    #: all of these are white space to the tokenizer as well
-    cut = re.compile(rb"[^\x20\x09-\x0D]+").findall
-
     def __init__(self, path: str, most: int = CACHE_WORDS):
         self.tokenizer, self.most = _tokenizer(path), most
         self.by_word = _drops_white_space(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str | bytes, bytes] = {}
         from tokenizers.pre_tokenizers import ByteLevel
         self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        import numpy as np
         if not self.by_word:
             whole = [t.decode(errors="replace") for t in texts]
             return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
-        split = [self.cut(t) for t in texts]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        # cut at ASCII white space, which the tokenizer cuts at as well; a word may be empty
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.large_binary()).to_pylist()
         known = self.known
-        out = [[*map(known.get, words)] for words in split]
-        new = {w for words, ids in zip(split, out) if None in ids for w, x in zip(words, ids) if x is None}
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > self.most:
             known.clear()
+            new = words
+        if len(self.parts) > self.most:
             self.parts.clear()
-        self._learn(list(new))
-        for i, ids in enumerate(out):
-            if None in ids:
-                out[i] = [known[w] if x is None else x for w, x in zip(split[i], ids)]
-        return [b"".join(ids) for ids in out]
+        self._learn(new)
+        ids = pa.array([known[w] for w in words], pa.large_binary()).take(coded.indices)
+        raw = memoryview(ids.buffers()[2] or b"")
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
     def _learn(self, words: list[bytes]) -> None:
-        known, rest = self.known, []
+        known, parts, tokenize, rest = self.known, self.parts, self.tokenizer.model.tokenize, []
         for w in words:
-            s = w.decode(errors="replace")
-            core = s.rstrip(_PUNCTUATION)
+            if not w:
+                known[w] = w
+                continue
+            core = w.rstrip(_PUNCTUATION)
             # letters, then marks at the end: the tokenizer cuts between them
-            ids = self._letters(core) if core else None
+            if core.isalpha():  # ASCII ones
+                low = core.lower()
+                ids = parts.get(low)
+                if ids is None:
+                    ids = parts[low] = _packed([t.id for t in tokenize(low.decode())])
+            else:
+                ids = self._letters(core.decode(errors="replace")) if core and not core.isascii() else None
             if ids is None:
-                rest.append((w, s))
+                rest.append((w, w.decode(errors="replace")))
             else:
-                known[w] = ids + self._whole(s[len(core):]) if len(core) < len(s) else ids
+                known[w] = ids + self._whole(w[len(core):].decode()) if len(core) < len(w) else ids
         for i in range(0, len(rest), 5000):
             self._joined(rest[i:i + 5000])
 
     def _letters(self, word: str) -> bytes | None:
-        """The ids of a word of letters alone: one unit of the tokenizer's."""
-        if not word.isascii() and ("\u03a3" in word or not unicodedata.is_normalized("NFC", word)):
+        """The ids of a word of letters alone, some not ASCII: one unit of the tokenizer's."""
+        if "\u03a3" in word or not unicodedata.is_normalized("NFC", word):
             return None
         low = word.lower()
         if not (word.isalpha() and low.isalpha()):
@@ -138,7 +149,7 @@ def _packed(ids: list[int]) -> bytes:
 
 
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
-_PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+_PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 @functools.cache
@@ -157,8 +168,8 @@ def token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         words, part, before = word_ids(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
                 ids = [x + end for x in words.encode(some.column(1).to_pylist())]
                 counts = [len(x) // 4 for x in ids]
                 starts = before + np.cumsum([0] + counts)

@@ -201,6 +201,19 @@ def test_word_ids_equal_whole_texts():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_whatever_the_batch():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " ", "\x0b\x0c\r\n", " a  B,\t", "word, Word; WORD! wörd, WÖRD.", "x\x1cy z", "", *[t or "" for _, t in corpus()]]
+    for size, most in ((1, 0), (3, 40), (len(texts), 10_000)):
+        words = packing.WordIds(tokenizers.path("word_bpe_49k.json"), most=most)
+        got = [x for k in range(0, len(texts), size) for x in words.encode([x.encode() for x in texts[k:k + size]])]
+        for text, ids in zip(texts, got, strict=True):
+            assert [*struct.unpack(f"<{len(ids) // 4}I", ids)] == t.encode(text, add_special_tokens=False).ids
+        assert b"" in words.known and b"word," in words.known or most < 10_000
+
+
 def test_byte_bpe(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
