@@ -1,7 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
 Words and word pairs are hashed into ``BUCKETS``. One pass counts every bucket over all
-documents, and over the trusted ones (a bounded sample of rows labelled good, but a quarter of
+documents, one over the trusted ones (every row labelled good, but a quarter of
 them). A document's score is the mean log-likelihood ratio of its n-grams between the two smoothed
 multinomials. The threshold is the ``REJECTED`` quantile of the scores of the quarter of trusted
 texts that was held out, so at every size of the table an unseen trusted text passes with the same
@@ -21,17 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, whole_text
+from ..functions.quantiles import rank_quantiles
+from .common import SPACE, WORD, whole_text, written
 
 BUCKETS = 16384
-#: At most so many labelled documents are trusted text, those with the smallest md5 of their id.
-TRUSTED_MOST = 20_000
 #: A prior count for every bucket.
 PRIOR = 1.0
 #: Trusted texts whose id's crc32 leaves this rest don't train the weights; they set the threshold.
 HELD, FOLDS = 3, 4
 #: Share of the held-out trusted texts past the base rule that the threshold rejects.
 REJECTED = 0.01
+#: Scores are counted in blocks so wide to find the quantile; a few thousand hold them all.
+BLOCK = 0.005
 WINDOW = 8
 
 
@@ -50,28 +51,38 @@ def grams(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: _bucket(w)), F.coalesce(pairs, F.array().cast("array<int>")))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
-    """(doc_id, held): at most ``most`` ids labelled good."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, held): all ids labelled good."""
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    some = good.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    return some.withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD)
+    return good.withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD)
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_text, held) of all trusted documents, written."""
+    # the ids grow with the labels: no broadcast
+    ids = trusted_ids(labels).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
+    return written(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(
+        ids, F.col("_key") == F.col("_id")).select("_text", "held"), "quality-trusted")
+
+
+def bucket_counts(texts: DataFrame) -> list[int]:
+    """Each bucket's n-grams over all ``_text``."""
+    each = with_words(texts, "_text").select(F.explode(grams(F.col("_words"))).alias("bucket"))
+    out = [0] * BUCKETS
+    for r in each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def weights(docs: DataFrame, trusted: DataFrame, text_col: str = "text") -> list[float]:
     """Each bucket's log-likelihood ratio; empty without trusted text."""
     from math import log
-    # at most TRUSTED_MOST ids, which bounds the broadcast
-    ids = trusted_ids(labels).filter("not held").select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted"))
-    flagged = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(
-        F.broadcast(ids), F.col("_key") == F.col("_id"), "left").select("_text", F.coalesce("_trusted", F.lit(0)).alias("_trusted"))
-    each = with_words(flagged, "_text").select("_trusted", F.explode(grams(F.col("_words"))).alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("good")).collect()
-    all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
+    good = bucket_counts(trusted.filter("not held"))
+    all_good = sum(good)
     if not all_good:
         return []
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for r in counts:
-        raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
+    raw = bucket_counts(docs.select(F.col(text_col).alias("_text")))
+    all_raw = sum(raw)
     base = log(all_raw + PRIOR * BUCKETS) - log(all_good + PRIOR * BUCKETS)
     return [log(g + PRIOR) - log(r + PRIOR) + base for g, r in zip(good, raw)]
 
@@ -120,22 +131,23 @@ def with_score(docs: DataFrame, text_col: str, table: list[float]) -> DataFrame:
     return df.withColumn("score", score).drop("_words").withColumn("base_failed", failed)
 
 
-def threshold(docs: DataFrame, labels: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text",
-              rejected: float = REJECTED) -> float | None:
+def threshold(trusted: DataFrame, table: list[float], rejected: float = REJECTED) -> float | None:
     """The ``rejected`` quantile of the held-out trusted texts' scores; None without such texts."""
-    # at most TRUSTED_MOST ids, which bounds the broadcast, the texts that are scored and the quantile's state
-    ids = trusted_ids(labels).filter("held").select(F.col("doc_id").alias("_id"))
-    held = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(
-        F.broadcast(ids), F.col("_key") == F.col("_id"), "left_semi")
+    held = trusted.filter("held").select("_text")
     # no filter: pushed below the projections, it would compute every array anew for each element
     passed = F.when(~F.col("base_failed"), F.col("score"))
-    return with_score(held, "_text", table).agg(F.percentile(passed, rejected)).first()[0]
+    # written: the quantile reads the counted scores twice
+    scores = written(with_score(held, "_text", table).select(passed.alias("score")), "quality-held")
+    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    found = rank_quantiles(counts, [], "score", "n", [rejected], BLOCK).first()
+    return found["q"][0] if found else None
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` (as ``_0``, ``_1``, ...) with the base statistics, score and verdict."""
-    table = weights(docs, labels, id_col, text_col)
-    least = threshold(docs, labels, table, id_col, text_col)
+    trusted = trusted_texts(docs, labels, id_col, text_col)
+    table = weights(docs, trusted, text_col)
+    least = threshold(trusted, table)
     df = with_score(docs.toDF(*[f"_{i}" for i in range(len(docs.columns))]), f"_{docs.columns.index(text_col)}", table)
     good = F.lit(True) if least is None else F.col("score") >= F.lit(least)
     return df.withColumn("kept", ~F.col("base_failed") & good)

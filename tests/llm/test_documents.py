@@ -159,6 +159,38 @@ def test_quality_rules(spark):
     assert all(r["kept"] != r["base_failed"] for r in quality.quality_rules(documents(spark), few).collect())
 
 
+def test_quality_rules_trust_every_good_label(spark):
+    n = 30_000
+    from pyspark.sql import functions as F
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    docs = ids.select("doc_id", F.concat(F.lit("w"), (F.col("doc_id") % 3).cast("string")).alias("text")).union(
+        spark.createDataFrame([(None, "w0 w1"), (n, "w2")], "doc_id long, text string"))
+    own = quality.trusted_ids(labels)
+    held = {i for i in range(n) if zlib.crc32(str(i).encode()) % 4 == 3}
+    assert own.count() == n and {r["doc_id"] for r in own.filter("held").collect()} == held
+    good = collections.Counter(i % 3 for i in range(n) if i not in held)
+    trusted = quality.trusted_texts(docs, labels)
+    counts = quality.bucket_counts(trusted.filter("not held"))
+    assert sorted(x for x in counts if x) == sorted(good.values())
+    table = quality.weights(docs, trusted)
+    raw, seen = collections.Counter(i % 3 for i in range(n)) + collections.Counter([0, 1, 2]), sum(good.values())
+    b = quality.BUCKETS
+    expected = [math.log((good[k] + 1) / (seen + b)) - math.log((raw[k] + 1) / (n + 4 + b)) for k in range(3)]
+    places = [k for k, x in enumerate(counts) if x]
+    assert sorted(round(table[k], 9) for k in places) == sorted(round(x, 9) for x in expected)
+    # the threshold is a quantile of all held-out texts past the base rule
+    long = docs.withColumn("text", F.concat(F.repeat(F.concat("text", F.lit(" ")), 7), F.lit("a b c d e f g h i j k l m "), F.col("doc_id").cast("string")))
+    trusted = quality.trusted_texts(long, labels)
+    table = quality.weights(long, trusted)
+    scored = quality.with_score(long.join(own.filter("held"), "doc_id").select("text"), "text", table)
+    scores = sorted(r["score"] for r in scored.select("score", "base_failed").collect() if not r["base_failed"])
+    assert len(scores) == len(held)
+    at = quality.REJECTED * (len(scores) - 1)
+    least = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    assert abs(quality.threshold(trusted, table) - least) < 1e-12
+
+
 def test_packing(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
