@@ -349,6 +349,73 @@ def test_classes_beat_the_base_on_unseen_text(spark):
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_every_training_word_moves_on_its_own_neighbours(spark):
+    import numpy as np
+    import random
+    rnd = random.Random(3)
+    names = [f"w{k}q" for k in range(14_000)]
+    rows = [(i, " ".join(names[int(14_000 * rnd.random() ** 3)] for _ in range(rnd.randint(300, 700)))) for i in range(80)]
+    rows += [(None, "W1q  w2Q"), (900, ""), (901, None)]
+    coded = class_lm.code_texts(documents(spark, rows), "doc_id", "text")
+    hashes, ranks, distinct = class_lm.vocabulary(class_lm.count_words(coded))
+    vocab = (hashes, ranks)
+    classes, pairs = class_lm.cluster(coded, vocab, 2)
+    moved, parts = class_lm.move_words(coded, vocab, classes, pairs)
+    streams = class_lm.class_streams(coded, vocab, classes, moved, parts)
+    import xxhash
+    rank = dict(zip(hashes.tolist(), ranks.tolist()))
+
+    def kind(w):
+        h = xxhash.xxh3_64_intdigest(w.encode())
+        return rank.get(h, class_lm.FREQUENT + xxhash.xxh3_64_intdigest(w.encode()[-3:]) % class_lm.ENDINGS)
+
+    texts = [(i, WORD.findall((t or "").translate(LOWER))) for i, t in rows]
+    held = {i for i, _ in texts if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
+    first = {w: int(classes[kind(w)]) for _, ws in texts for w in ws}
+    end, steps, size = class_lm.CLASSES, class_lm.transition_logs(pairs), pairs.sum(1)
+    near = collections.defaultdict(list)
+    for i, ws in texts:
+        own = [end, *(first[w] for w in ws), end]
+        if i not in held:
+            for k, w in enumerate(ws):
+                near[w].append((own[k], own[k + 2]))
+    expected = dict(first)
+    for w, seen in near.items():
+        if kind(w) >= class_lm.FREQUENT:
+            gain = sum(steps[a, :end] + steps[:end, b] for a, b in seen) - len(seen) * np.log10(size[:end] + 1.0)
+            expected[w] = gain
+    rest = [w for w in near if kind(w) >= class_lm.FREQUENT]
+    assert len(rest) > 500 and any(w not in near for w in first)
+    got = collections.defaultdict(set)
+    by_id = collections.defaultdict(list)
+    for i, ws in texts:
+        by_id[i].append(ws)
+    for r in streams.collect():
+        bounds, stream = np.frombuffer(r["bounds"], "<i8"), list(r["stream"])
+        for k, i in enumerate(r["doc_ids"]):
+            own = stream[bounds[k] + k:bounds[k + 1] + k + 1]
+            [ws] = by_id[i]
+            assert own[-1] == end and len(own) == len(ws) + 1
+            for w, c in zip(ws, own):
+                got[w].add(c)
+    for w, seen in got.items():
+        [c] = seen
+        if isinstance(expected[w], int):
+            assert c == expected[w]
+        else:
+            assert expected[w][c] >= expected[w].max() - 1e-9
+    assert sum(first[w] not in got[w] for w in rest) > len(rest) // 2
+    # distinct training words by class, and transitions, of the new classes
+    kinds = sum(np.frombuffer(r["classes"], "<i8") for r in moved.filter("chunk = -1").collect())
+    assert kinds.tolist() == [sum(c in got[w] for w in rest) for c in range(end)]
+    wanted = collections.Counter()
+    for i, ws in texts:
+        if i not in held:
+            own = [end, *(min(got[w]) for w in ws), end]
+            wanted.update(zip(own, own[1:]))
+    assert {(a, b): int(n) for (a, b), n in np.ndenumerate(class_lm.transitions(streams)) if n} == dict(wanted)
+
+
 def test_passages(spark):
     got = passages.repeated_passages(documents(spark)).collect()
     pairs = {(r["doc_id"], r["other_id"]) for r in got}
