@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, joined_in_place, written, written_by_part
+from .common import LARGE_ROWS, arrow_rows, joined_in_place, written, written_by_part
 
 FREQUENT, ENDINGS, ENDING_BYTES = 8192, 8192, 3
 TYPES = FREQUENT + ENDINGS
@@ -122,7 +122,7 @@ def code_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long"), out, F.col(text_col).cast("string").cast("binary"))
     with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
-        return written_by_part(rows.mapInArrow(run, CODED), "lm-coded")
+        return written_by_part(rows.mapInArrow(run, CODED), "lm-coded", LARGE_ROWS)
 
 
 def _chunk(row: dict):
@@ -205,7 +205,7 @@ def count_words(coded: DataFrame) -> DataFrame:
     dealt = coded.select("chunk", "held", "bounds", "words", "endings", "index").mapInArrow(
         deal, "part int, chunk long, held binary, docs long, words binary, endings binary, used binary, doc binary, tf binary")
     return written(dealt.repartition(parts, "part").mapInArrow(
-        meet, "chunk long, part int, sums binary, soft binary, known binary"), "lm-counts")
+        meet, "chunk long, part int, sums binary, soft binary, known binary"), "lm-counts", LARGE_ROWS)
 
 
 def vocabulary(counted: DataFrame):
@@ -505,7 +505,7 @@ def class_streams(coded: DataFrame, vocab, classes, moved: DataFrame, parts: int
     with joined_in_place(spark, CHUNKS_AT_ONCE):
         return written(coded.join(to, ["part", "chunk"], "left").select(
             "chunk", "doc_ids", "held", "bounds", "words", "endings", "index", "moved").mapInArrow(
-            run, "chunk long, doc_ids array<long>, held array<boolean>, bounds binary, stream binary"), "lm-streams")
+            run, "chunk long, doc_ids array<long>, held array<boolean>, bounds binary, stream binary"), "lm-streams", LARGE_ROWS)
 
 
 def _told(row):

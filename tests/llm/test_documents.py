@@ -349,6 +349,23 @@ def test_classes_beat_the_base_on_unseen_text(spark):
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_large_rows_are_not_one_page(spark):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+    from risegraph.llm.common import LARGE_ROWS, written
+    raw = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda k: F.sha2((F.col("id") * 4000 + k).cast("string").cast("binary"), 512))
+    rows = spark.range(0, 90, 1, 1).select("id", F.array_join(raw, "").cast("binary").alias("value"))  # half a megabyte each
+    stored = written(rows, "large-rows", LARGE_ROWS)
+    [name] = stored.inputFiles()
+    meta = pq.ParquetFile(name.removeprefix("file://").removeprefix("file:")).metadata
+    assert meta.num_rows == 90 and meta.num_row_groups > 1
+    assert meta.row_group(0).column(1).total_uncompressed_size < 40 << 20
+    assert stored.exceptAll(rows).count() == rows.exceptAll(stored).count() == 0
+    coded = class_lm.code_texts(documents(spark), "doc_id", "text")
+    name = coded.inputFiles()[0]
+    assert pq.ParquetFile(name.removeprefix("file://").removeprefix("file:")).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
 def test_every_training_word_moves_on_its_own_neighbours(spark):
     import numpy as np
     import random
