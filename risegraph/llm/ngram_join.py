@@ -26,7 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW_BITS, WORD, fetched, joined_in_place, whole_text, written, written_by_part
@@ -425,10 +425,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the first row of each component, by id; texts without words all stay."""
+    names = ["_id", "_none", "_key"]
+
+    def named(doc_id: Column, key: Column) -> list[Column]:
+        return [x.alias(n) for x, n in zip((F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), key), names)]
+
     stay = similar_documents(docs, id_col=id_col, text_col=text_col).filter("first").select(
-        F.col("doc_id").alias("_stay"), F.col("text_key").alias("_stay_key")).distinct()
-    keyed = docs.withColumn("_key", text_key(text_col))
-    kept = keyed.join(stay, keyed[id_col].cast("long").eqNullSafe(stay["_stay"]) & (keyed["_key"] == stay["_stay_key"]), "left_semi")
-    again = Window.partitionBy(id_col, "_key").orderBy(F.lit(1))
-    return kept.withColumn("_again", F.row_number().over(again)).filter(
-        (F.col("_again") == 1) | ~whole_text(text_col).rlike(WORD)).select(*docs.columns)
+        *named(F.col("doc_id"), F.col("text_key"))).distinct()
+    # whole rows are moved once: the window keeps the join's partitioning
+    rows = docs.select(F.struct("*").alias("_doc"), *named(F.col(id_col).cast("long"), text_key(text_col)))
+    again = Window.partitionBy(*names, F.col("_doc")[id_col]).orderBy(F.lit(1))
+    kept = rows.join(stay, names, "left_semi").withColumn("_again", F.row_number().over(again))
+    return kept.filter((F.col("_again") == 1) | ~whole_text(f"_doc.{text_col}").rlike(WORD)).select("_doc.*")
