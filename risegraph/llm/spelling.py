@@ -10,6 +10,9 @@ The number of symbols grows with the vocabulary, so that few words share a reduc
 Counts are added up in each task before they move, so a word that a third of all rows hold is one
 row of a task. Reduced words travel as 64-bit hashes: a collision is one more pair to verify.
 
+No join is broadcast: Spark takes a neighbourhood for no larger than the words it was made from, by
+the size of their packed file, and would send over a hundred times that through the driver.
+
 Defined cases: a null text has no words; a null id hashes as an empty id; repeated rows count
 again; other columns are ignored; texts without words and an empty table give an empty result.
 Ties of form go to the smallest word in code-point order.
@@ -83,17 +86,22 @@ def neighbourhood(red: str, symbols: str) -> F.Column:
     return F.array_distinct(F.filter(F.concat(deleted, replaced, inserted), lambda x: x >= r))
 
 
+def shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """The join of both, neither of which is sent to the driver, whatever size Spark takes it for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_pairs(words: DataFrame, symbols: str) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words exactly one edit apart, once."""
     keyed = words.withColumn("red", reduced("word", symbols))
     forms = keyed.select("red").distinct()
     around = forms.select(F.xxhash64("red").alias("own"), F.explode(neighbourhood("red", symbols)).alias("near"))
     around = around.select("own", F.xxhash64("near").alias("near"))
-    met = around.join(forms.select(F.xxhash64("red").alias("near")), "near")
+    met = shuffled(around, forms.select(F.xxhash64("red").alias("near")), "near")
     side = keyed.select(F.xxhash64("red").alias("key"), "word", "n")
     a = side.select(F.col("key").alias("own"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = side.select(F.col("key").alias("near"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    pairs = met.join(a, "own").join(b, "near")
+    pairs = shuffled(shuffled(met, a, "own"), b, "near")
     # words of one reduced form meet twice and each meets itself
     pairs = pairs.filter((F.col("own") != F.col("near")) | (F.col("a") < F.col("b")))
     return pairs.filter(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
@@ -105,7 +113,7 @@ def followed(forms: DataFrame) -> DataFrame:
     steps = written(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         on = steps.select(F.col("word").alias("_w"), F.col("root").alias("_next"))
-        moved = steps.join(on, steps["root"] == on["_w"], "left").select(
+        moved = shuffled(steps, on, steps["root"] == F.col("_w"), "left").select(
             "word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved"))
         moved = written(moved, "spelling-roots")
         if not moved.filter("moved").limit(1).count():
@@ -122,11 +130,11 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         pairs.select("b", "a", "a_n"))
     best = ends.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"),
                                     F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("w"))).alias("top"))
-    out = words.join(best, "word", "left")
+    out = shuffled(words, best, "word", "left")
     enough = -F.col("top.n") >= least_ratio * F.col("n")
     out = written(out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                              F.when(enough, F.col("top.w")).alias("form"),
                              F.when(enough, -F.col("top.n")).alias("form_n")), "spelling-forms")
     roots = followed(out.filter(F.col("form").isNotNull()))
-    return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
+    return shuffled(out, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"),
                                                   "n", "n_near", "form_n")

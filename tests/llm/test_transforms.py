@@ -131,6 +131,20 @@ def test_spelling_on_the_corpus_and_symbols(spark):
     assert len(spelling.symbols_for(10 ** 30)) == len(spelling.SYMBOLS)
 
 
+def test_spelling_sends_no_table_to_the_driver(spark, monkeypatch):
+    """Small tables would be broadcast, and neighbourhoods count as small."""
+    plans, real = [], spelling.written
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(spelling, "written", planned)
+    out = spelling.variants(documents(spark, variant_rows()), least_count=1)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def brute_licenses(rows, phrases=licenses.PHRASES, templates=licenses.TEMPLATES, containment=licenses.CONTAINMENT):
     ready = [licenses.Template(label, text, containment) for label, text in templates]
     out = []
